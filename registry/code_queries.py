@@ -72,32 +72,37 @@ def long_line_findings(spark, sf):
 
 # --- secrets ------------------------------------------------------------------
 
-_RULES = """
-rules(ord, rule, severity, pattern, grp) AS (VALUES
-  (0, 'SEC-AWS-KEY', 'CRITICAL', '\\bAKIA[0-9A-Z]{16}\\b', 0),
-  (1, 'SEC-STRIPE-KEY', 'HIGH', '\\b(sk|pk|rk)_(live|test)_[A-Za-z0-9]{16,}\\b', 0),
-  (2, 'SEC-PRIVATE-KEY', 'CRITICAL', '-----BEGIN (RSA|EC|DSA|OPENSSH|PGP) PRIVATE KEY-----', 0),
-  (3, 'SEC-DB-CONN', 'HIGH',
-   '\\b(postgres|postgresql|mysql|mongodb(?:\\+srv)?)://[^\\s"'']+:[^\\s"''@]+@[^\\s"'']+', 0),
-  (4, 'SEC-GENERIC-ASSIGN', 'MEDIUM',
-   '(?i)\\b(api[_-]?key|secret[_-]?key|access[_-]?token|password)\\b\\s*[:=]\\s*[''"]([^''"\\s]{8,})[''"]', 2)),
+# rule, severity, RE2 pattern, group of the value
+_RULES = (
+    ("SEC-AWS-KEY", "CRITICAL", r"\bAKIA[0-9A-Z]{16}\b", 0),
+    ("SEC-STRIPE-KEY", "HIGH", r"\b(sk|pk|rk)_(live|test)_[A-Za-z0-9]{16,}\b", 0),
+    ("SEC-PRIVATE-KEY", "CRITICAL", r"-----BEGIN (RSA|EC|DSA|OPENSSH|PGP) PRIVATE KEY-----", 0),
+    ("SEC-DB-CONN", "HIGH",
+     r"""\b(postgres|postgresql|mysql|mongodb(?:\+srv)?)://[^\s"'']+:[^\s"''@]+@[^\s"'']+""", 0),
+    ("SEC-GENERIC-ASSIGN", "MEDIUM",
+     r"""(?i)\b(api[_-]?key|secret[_-]?key|access[_-]?token|password)\b\s*[:=]\s*[''"]([^''"\s]{8,})[''"]""", 2),
+)
+_RAW_HITS = "\nUNION ALL ".join(
+    f"SELECT repo_id, path, line_no, line, {i} AS ord, '{rule}' AS rule, '{severity}' AS severity, "
+    f"regexp_extract_all(line, '{pattern}', {group}) AS vals FROM code_lines"
+    for i, (rule, severity, pattern, group) in enumerate(_RULES)
+)
+_STARS = "left({0}, 4) || repeat('*', least(16, greatest(4, length({0}) - 4))::INT)"
+_HITS = f"""
 raw_hits AS (
-  SELECT repo_id, path, line_no, line, ord, rule, severity, unnest(vals) AS value, unnest(range(1, len(vals) + 1)) AS nth
-  FROM (SELECT *, CASE grp WHEN 2 THEN regexp_extract_all(line, pattern, 2) ELSE regexp_extract_all(line, pattern, 0) END AS vals
-        FROM code_lines JOIN rules ON regexp_matches(line, pattern))),
+  SELECT * EXCLUDE (vals), unnest(vals) AS value, unnest(range(1, len(vals) + 1)) AS nth
+  FROM ({_RAW_HITS}) WHERE len(vals) > 0),
 hits AS (
-  SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no, ord, nth) AS match,
-         left(value, 4) || repeat('*', least(16, greatest(4, length(value) - 4))::INT) AS starred
+  SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no, ord, nth) AS match
   FROM raw_hits
   WHERE length(value) >= 8 AND lower(value) NOT IN ('changeme','your_api_key','example','placeholder','dummy','fake','test','password')
-    AND NOT regexp_full_match(lower(value), 'x{4,}|\\*{4,}|0{4,}')),
+    AND NOT regexp_full_match(lower(value), 'x{{4,}}|\\*{{4,}}|0{{4,}}')),
 evidence AS (
-  SELECT repo_id, path, line_no, line,
-         list_reduce(list_prepend(line, list(DISTINCT value)), lambda acc, v:
-           replace(acc, v, left(v, 4) || repeat('*', least(16, greatest(4, length(v) - 4))::INT))) AS shown
-  FROM hits GROUP BY ALL)
+  SELECT repo_id, path, line_no,
+         list_reduce(list_prepend(line, vals), lambda acc, v: replace(acc, v, {_STARS.format('v')})) AS shown
+  FROM (SELECT repo_id, path, line_no, line, list(DISTINCT value) AS vals FROM hits GROUP BY ALL))
 """
-_SECRETS = with_ctes("code_files", "code_lines") + "," + _RULES
+_SECRETS = with_ctes("code_files", "code_lines") + "," + _HITS
 
 
 @query(_SECRETS + """
