@@ -84,7 +84,11 @@ def _section(text: Column, header: str) -> Column:
 
 
 def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Exactly one JSON value. In brackets, so that text after it is an error."""
+    bracketed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.try_variant_get(bracketed, "$[0]", "variant").isNotNull()
+    two = F.try_variant_get(bracketed, "$[1]", "variant").isNotNull()
+    return bracketed.isNotNull() & one & ~two
 
 
 def parse_package_json(text: Column) -> Column:
