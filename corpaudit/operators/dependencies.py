@@ -15,16 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpaudit import constants as K
-from corpaudit.functions import basename, decode_text, py_strip, split_lines, strip_version_spec, unify_newlines
+from corpaudit.functions import basename, decode_text, py_strip, strip_version_spec, unify_newlines
 from corpaudit.operators.files import only_files
 from corpaudit.operators.findings import finding_rows
 
 _ENTRIES = "array<struct<scope:string,name:string,operator:string,version:string>>"
+# Whitespace within a line. The patterns below start at a line and stay on it.
+_SPACE = r"[\s\x1c-\x1f&&[^\n]]"
 # name, extras, operator, version
 _REQUIREMENT = (
-    r"(?U)\A\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(\[[^\]]*\])?\s*(==|>=|<=|~=|!=|>|<)?\s*([^\s#;]*)"
+    rf"(?dmU)^{_SPACE}*([A-Za-z0-9][A-Za-z0-9._-]*){_SPACE}*(\[[^\]\n]*\])?"
+    rf"{_SPACE}*(==|>=|<=|~=|!=|>|<)?{_SPACE}*([^\s#;]*)"
 )
-_KEY = r'\A"?([A-Za-z0-9._-]+)"?(?U:\s)*='
+_KEY = rf'(?dmU)^{_SPACE}*"?([A-Za-z0-9._-]+)"?{_SPACE}*='
 _DEV_SECTIONS = (
     r"\[project\.optional-dependencies\.dev\]",
     r"\[tool\.poetry\.dev-dependencies\]",
@@ -42,26 +45,25 @@ def _none() -> Column:
     return F.array().cast(_ENTRIES)
 
 
-def _stripped_lines(text: Column) -> Column:
-    return F.transform(split_lines(text), py_strip)
+def _bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _keys(block: Column, scope: str) -> Column:
     """Keys of "key = value" lines."""
-    names = F.transform(_stripped_lines(block), lambda l: F.regexp_extract(l, _KEY, 1))
-    return F.transform(F.filter(names, lambda n: n != ""), lambda n: _entry(scope, n))
+    names = F.regexp_extract_all(unify_newlines(block), F.lit(_KEY), 1)
+    return F.transform(names, lambda n: _entry(scope, n))
 
 
 def parse_requirements(text: Column) -> Column:
-    def parsed(line: Column) -> Column:
-        return _entry(
-            "runtime",
-            F.regexp_extract(line, _REQUIREMENT, 1),
-            F.regexp_extract(line, _REQUIREMENT, 3),
-            F.regexp_extract(line, _REQUIREMENT, 4),
-        )
-
-    return F.filter(F.transform(_stripped_lines(text), parsed), lambda e: e["name"] != "")
+    unified = unify_newlines(text)
+    parts = {
+        part: F.regexp_extract_all(unified, F.lit(_REQUIREMENT), group).alias(part)
+        for part, group in (("name", 1), ("operator", 3), ("version", 4))
+    }
+    rows = F.arrays_zip(*parts.values())
+    return F.transform(rows, lambda r: _entry("runtime", r["name"], r["operator"], r["version"]))
 
 
 def parse_pyproject(text: Column) -> Column:
@@ -83,25 +85,28 @@ def _section(text: Column, header: str) -> Column:
     return F.regexp_extract(text, rf"(?dms){header}(.*?)(?=^\[|\z)", 1)
 
 
-def _is_json(text: Column) -> Column:
-    """Exactly one JSON value. In brackets, so that text after it is an error."""
-    bracketed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.try_variant_get(bracketed, "$[0]", "variant").isNotNull()
-    two = F.try_variant_get(bracketed, "$[1]", "variant").isNotNull()
-    return bracketed.isNotNull() & one & ~two
+def parse_package_json(text: Column) -> Column:
+    """Keys and versions of both sections; null unless the text is one JSON value.
 
+    Read as the only element of an array, so that anything after it is an error.
+    """
+    shape = "array<struct<dependencies:map<string,string>,devDependencies:map<string,string>>>"
+    listed = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), shape, {"allowSingleQuotes": "false"}
+    )
 
-def parse_package_json(text: Column) -> Column:
-    """Keys and versions of both sections; malformed text declares nothing."""
-    sections = "dependencies map<string,string>, devDependencies map<string,string>"
-    parsed = F.from_json(F.when(_is_json(text), text), sections)
+    def declared(section: Column, scope: str) -> Column:
+        rows = F.transform(F.map_entries(section), lambda e: _entry(scope, e["key"], "", e["value"]))
+        return F.coalesce(rows.cast(_ENTRIES), _none())
 
-    def declared(section: str, scope: str) -> Column:
-        entries = F.map_entries(parsed[section])
-        rows = F.transform(entries, lambda e: _entry(scope, e["key"], "", e["value"]))
-        return F.coalesce(rows, _none())
+    def entries(document: Column) -> Column:
+        return F.concat(
+            declared(document["dependencies"], "runtime"), declared(document["devDependencies"], "dev")
+        )
 
-    return F.concat(declared("dependencies", "runtime"), declared("devDependencies", "dev"))
+    return _bound(
+        listed, lambda l: F.when(F.size(l) == 1, F.flatten(F.transform(l, entries)).cast(_ENTRIES))
+    )
 
 
 def parse_cargo(text: Column) -> Column:
@@ -116,20 +121,17 @@ def parse_go_mod(text: Column) -> Column:
 
     A block closes at a line that is just ")", else it runs to the end.
     """
-    space = r"[\s&&[^\n]]"
-    block = rf"^{space}*require \((?s:.*?)(?:^{space}*\){space}*$|\z)"
-    single = rf"^{space}*require [^\n]*"
+    block = rf"^{_SPACE}*require \((?s:.*?)(?:^{_SPACE}*\){_SPACE}*$|\z)"
+    single = rf"^{_SPACE}*require [^\n]*"
     pieces = F.regexp_extract_all(unify_newlines(text), F.lit(f"(?dmU){block}|{single}"), 0)
+    in_block = rf"(?dmU)^{_SPACE}*(?!require \()(?!\){_SPACE}*$)(\S+)"
+    alone = r"(?U)\A\s*require \s*(\S+)"
 
     def modules(piece: Column) -> Column:
-        in_block = F.filter(
-            _stripped_lines(piece),
-            lambda l: ~F.startswith(l, F.lit("require (")) & ~l.isin("", ")"),
-        )
-        listed = F.transform(in_block, lambda l: F.regexp_extract(l, r"(?U)\A(\S+)", 1))
-        alone = F.regexp_extract(py_strip(piece), r"(?U)\Arequire \s*(\S+)", 1)
-        return F.when(F.startswith(py_strip(piece), F.lit("require (")), listed).otherwise(
-            F.filter(F.array(alone), lambda n: n != "")
+        is_block = piece.rlike(r"(?U)\A\s*require \(")
+        name = F.regexp_extract(piece, alone, 1)
+        return F.when(is_block, F.regexp_extract_all(piece, F.lit(in_block), 1)).otherwise(
+            F.filter(F.array(name), lambda n: n != "")
         )
 
     return F.transform(F.flatten(F.transform(pieces, modules)), lambda n: _entry("runtime", n))
@@ -175,22 +177,17 @@ def manifests(files: DataFrame, *, root_only: bool = True) -> DataFrame:
 
 
 def manifest_facts(name: Column, text: Column) -> dict[str, Column]:
-    """ecosystem, entries and unparsed of a manifest given its name and text."""
+    """ecosystem, entries (null if unparsable) of a manifest by name and text."""
     entries = F.when(F.lit(False), _none())
     ecosystem = F.when(F.lit(False), F.lit(""))
     for manifest, parse in PARSERS.items():
         entries = entries.when(name == manifest, parse(text).cast(_ENTRIES))
         ecosystem = ecosystem.when(name == manifest, F.lit(K.MANIFESTS[manifest][0]))
-    malformed = (name == "package.json") & ~_is_json(text)
-    return {
-        "ecosystem": ecosystem,
-        "entries": F.coalesce(entries, _none()),
-        "unparsed": text.isNull() | malformed,
-    }
+    return {"ecosystem": ecosystem, "entries": entries}
 
 
 def parse_manifests(texts: DataFrame) -> DataFrame:
-    """(repo_id, path, text) of manifests to parsed manifests."""
+    """(repo_id, path, text) of manifests to (…, entries); null when unparsable."""
     name = basename(F.col("path"))
     unread_pyproject = (name == "pyproject.toml") & F.col("text").isNull()
     facts = manifest_facts(name, F.col("text"))
@@ -199,7 +196,6 @@ def parse_manifests(texts: DataFrame) -> DataFrame:
         facts["ecosystem"].alias("ecosystem"),
         F.col("path").alias("manifest_file"),
         facts["entries"].alias("entries"),
-        facts["unparsed"].alias("unparsed"),
     )
 
 
@@ -243,7 +239,7 @@ def _pinned(name: Column) -> Column:
         F.when(name == "requirements.txt", versioned)
         .when(name == "pyproject.toml", exact)
         .when(name == "package.json", fixed)
-        .when(name == "go.mod", ~F.col("unparsed"))
+        .when(name == "go.mod", F.lit(True))
         .otherwise(F.lit(False))
     )
 
@@ -290,14 +286,19 @@ def manifest_summary(parsed: DataFrame, locks: DataFrame) -> DataFrame:
         if accepted
     ]
     repeats = F.when(name == "requirements.txt", repeated_names(F.col("entries")))
-    own = parsed.withColumn("directory", _directory(F.col("manifest_file")))
+    own = parsed.select(
+        "repo_id", "ecosystem", "manifest_file",
+        _directory(F.col("manifest_file")).alias("directory"),
+        F.coalesce("entries", _none()).alias("entries"),
+        F.col("entries").isNull().alias("unparsed"),
+    )
     return own.join(locks, ["repo_id", "directory"], "left").select(
         "repo_id",
         "ecosystem",
         "manifest_file",
         _names("runtime").alias("runtime"),
         _names("dev").alias("dev"),
-        _pinned(name).alias("pinned"),
+        (_pinned(name) & ~F.col("unparsed")).alias("pinned"),
         (F.coalesce(reduce(or_, locked), F.lit(False)) & ~F.col("unparsed")).alias("lockfile_present"),
         F.coalesce(repeats, F.array().cast("array<string>")).alias("duplicates"),
     )

@@ -13,16 +13,12 @@ from pyspark.sql import Window as W
 from corpaudit import constants as K
 from corpaudit.functions import location, severity_rank
 from corpaudit.operators.skew import numbered
-from corpaudit.schemas import FINDINGS
+from corpaudit.schemas import FINDING_COLUMNS
 
 ALL_CLEAR = "Nothing of note was found; keep it that way."
 DEFAULT_ACTION = "Look into the finding and settle it as your policies require."
 
 
-def _column(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def finding_rows(
     rows: DataFrame,
     *,
@@ -37,23 +33,21 @@ def finding_rows(
     recommendation="",
 ) -> DataFrame:
     """Project rows that carry repo_id to the findings schema."""
-    severity = _column(severity)
+    rank = severity_rank(severity) if isinstance(severity, Column) else K.SEVERITIES.index(severity)
     values = {
         "repo_id": F.col("repo_id"),
         "id": id,
         "severity": severity,
-        "severity_rank": severity_rank(severity),
+        "severity_rank": rank,
         "category": category,
         "title": title,
         "path": path,
-        "line": line,
+        "line": F.lit(line).cast("int"),
         "evidence": evidence,
         "explanation": explanation,
         "recommendation": recommendation,
     }
-    return rows.select(
-        *[_column(values[f.name]).cast(f.dataType).alias(f.name) for f in FINDINGS.fields]
-    )
+    return rows.select(*[F.lit(values[name]).alias(name) for name in FINDING_COLUMNS])
 
 
 def all_findings(parts: Sequence[DataFrame]) -> DataFrame:

@@ -99,20 +99,16 @@ PRESENCE_CHECKS_COMPACT = ("has_readme", "has_license", "has_gitignore", "has_te
 
 def presence_findings(facts: DataFrame, *, checks: Sequence[str] = PRESENCE_CHECKS) -> DataFrame:
     """One pass over the facts; each missing thing becomes a row."""
-    missing = F.array_compact(
-        F.array(*[F.when(~F.col(flag), F.lit(flag)) for flag in checks])
-    )
-    rows = facts.select("repo_id", F.explode(missing).alias("flag"))
-
-    def text(position: int) -> Column:
-        chain = F.when(F.lit(False), F.lit(""))
-        for flag in checks:
-            chain = chain.when(F.col("flag") == flag, F.lit(_MISSING[flag][position]))
-        return chain
-
+    names = ("id", "severity", "title", "explanation", "recommendation")
+    reports = [
+        F.when(~F.col(flag), F.struct(*[F.lit(v).alias(n) for n, v in zip(names, _MISSING[flag])]))
+        for flag in checks
+    ]
+    rows = facts.select("repo_id", F.explode(F.array_compact(F.array(*reports))).alias("missing"))
     return finding_rows(
-        rows, id=text(0), severity=text(1), category="Hygiene", title=text(2),
-        explanation=text(3), recommendation=text(4),
+        rows.select("repo_id", "missing.*"),
+        id=F.col("id"), severity=F.col("severity"), category="Hygiene", title=F.col("title"),
+        explanation=F.col("explanation"), recommendation=F.col("recommendation"),
     )
 
 

@@ -168,7 +168,7 @@ def scan(files: DataFrame, repos: DataFrame | None = None, options: ScanOptions
     manifests = dependencies.manifest_summary(
         features.filter(F.col("manifest").isNotNull()).select(
             "repo_id", "manifest.ecosystem", F.col("path").alias("manifest_file"),
-            "manifest.entries", "manifest.unparsed",
+            "manifest.entries",
         ),
         dependencies.lockfiles(features),
     )
