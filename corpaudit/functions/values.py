@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,15 @@ from corpaudit import constants as K
 __all__ = [
     "content_sha256", "stable_hash_int", "hashed_id", "shannon_entropy", "redact",
     "human_size", "severity_rank", "severity_penalty", "score_band",
-    "strip_version_spec",
+    "strip_version_spec", "evaluated_once",
 ]
 
 
+def evaluated_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once per row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def content_sha256(content: Column, max_bytes: int | None = None) -> Column:
     if max_bytes is not None:
         content = F.substring(content, 1, max_bytes)

