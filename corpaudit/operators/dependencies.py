@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpaudit import constants as K
 from corpaudit.functions import basename, decode_text, evaluated_once, py_strip, strip_version_spec, unify_newlines
 from corpaudit.operators.files import only_files
-from corpaudit.operators.findings import finding_rows
+from corpaudit.operators.findings import explode_reports, report_if
 
 _ENTRIES = "array<struct<scope:string,name:string,operator:string,version:string>>"
 # Whitespace within a line. The patterns below start at a line and stay on it.
@@ -299,43 +299,38 @@ def manifest_summary(parsed: DataFrame, locks: DataFrame) -> DataFrame:
     )
 
 
+def _unlocked() -> Column:
+    return ~F.col("lockfile_present") & F.col("ecosystem").isin(*K.LOCKED_ECOSYSTEMS)
+
+
 def missing_lockfiles(summary: DataFrame) -> DataFrame:
-    unlocked = ~F.col("lockfile_present") & F.col("ecosystem").isin(*K.LOCKED_ECOSYSTEMS)
-    return summary.filter(unlocked)
+    return summary.filter(_unlocked())
 
 
 def dependency_findings(summary: DataFrame) -> DataFrame:
-    """Large lists, repeats and missing lockfiles."""
-    count = F.size("runtime")
-
-    def rows(kept, rule, severity, title, explanation, recommendation):
-        return finding_rows(
-            kept,
-            id=F.concat(F.lit(f"{rule}-"), F.col("ecosystem")),
-            severity=severity,
-            category="Dependencies",
-            title=title,
-            path=F.col("manifest_file"),
-            explanation=explanation,
-            recommendation=recommendation,
-        )
-
-    large = rows(
-        summary.filter(count > K.MANY_DEPENDENCIES), "DEP-LARGE", "LOW",
-        "Very long dependency list",
-        F.concat(count.cast("string"), F.lit(" runtime dependencies are declared.")),
-        "Check which of them are still used.",
-    )
-    repeated = rows(
-        summary.filter(F.size("duplicates") > 0), "DEP-DUP", "LOW",
-        "Dependency declared twice",
-        F.concat(F.lit("Declared again: "), F.array_join("duplicates", ", ")),
-        "Keep one declaration of each.",
-    )
-    unlocked = rows(
-        missing_lockfiles(summary), "DEP-NOLOCK", "INFO",
-        "No lockfile",
-        "Without a lockfile the resolved versions can change.",
-        "Commit the lockfile of the package manager.",
-    )
-    return large.unionByName(repeated).unionByName(unlocked)
+    """Large lists, repeats and missing lockfiles, in one pass over the manifests."""
+    count, path = F.size("runtime"), F.col("manifest_file")
+
+    def named(rule: str) -> Column:
+        return F.concat(F.lit(f"{rule}-"), F.col("ecosystem"))
+
+    reports = [
+        report_if(
+            count > K.MANY_DEPENDENCIES, id=named("DEP-LARGE"), severity="LOW",
+            title="Very long dependency list", path=path,
+            explanation=F.concat(count.cast("string"), F.lit(" runtime dependencies are declared.")),
+            recommendation="Check which of them are still used.",
+        ),
+        report_if(
+            F.size("duplicates") > 0, id=named("DEP-DUP"), severity="LOW",
+            title="Dependency declared twice", path=path,
+            explanation=F.concat(F.lit("Declared again: "), F.array_join("duplicates", ", ")),
+            recommendation="Keep one declaration of each.",
+        ),
+        report_if(
+            _unlocked(), id=named("DEP-NOLOCK"), severity="INFO", title="No lockfile", path=path,
+            explanation="Without a lockfile the resolved versions can change.",
+            recommendation="Commit the lockfile of the package manager.",
+        ),
+    ]
+    return explode_reports(summary, reports, "Dependencies")

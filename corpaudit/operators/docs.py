@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpaudit import constants as K
 from corpaudit.functions import decode_text, readme_sections
-from corpaudit.operators.findings import all_findings, finding_rows
+from corpaudit.operators.findings import explode_reports, report_if
 from corpaudit.operators.hygiene import exists_at
 
 
@@ -53,30 +53,29 @@ def readme_scores(candidates: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def readme_findings(scores: DataFrame) -> DataFrame:
-    absent = finding_rows(
-        scores.filter(F.col("readme").isNull()),
-        id="DOC-000", severity="MEDIUM", category="Documentation", title="No README",
-        explanation="Nothing documents the project.",
-        recommendation="Write a README: what it is, how to install and use it, its license.",
-    )
-    present = scores.filter(F.col("readme").isNotNull())
-    short = finding_rows(
-        present.filter(F.col("length_chars") < K.SHORT_README_CHARS),
-        id="DOC-001", severity="MEDIUM", category="Documentation", title="Very short README",
-        path=F.col("readme"),
-        explanation=F.concat(
-            F.lit("It has "), F.col("length_chars").cast("string"), F.lit(" characters.")
-        ),
-        recommendation="Say more about installation, use and configuration.",
-    )
+    """A missing, short or incomplete README, in one pass over the scores."""
     required = F.array(*[F.lit(s) for s in K.REQUIRED_SECTIONS])
-    gaps = present.withColumn("absent", F.array_except(required, F.col("sections")))
-    listed = F.array_join("absent", ", ")
-    incomplete = finding_rows(
-        gaps.filter(F.size("absent") > 0),
-        id="DOC-002", severity="LOW", category="Documentation", title="README leaves out sections",
-        path=F.col("readme"),
-        explanation=F.concat(F.lit("It says nothing on: "), listed),
-        recommendation=F.concat(F.lit("Cover these: "), listed),
-    )
-    return all_findings([absent, short, incomplete])
+    rows = scores.withColumn("absent", F.array_except(required, F.col("sections")))
+    readme, listed = F.col("readme"), F.array_join("absent", ", ")
+    reports = [
+        report_if(
+            readme.isNull(), id="DOC-000", severity="MEDIUM", title="No README", path="",
+            explanation="Nothing documents the project.",
+            recommendation="Write a README: what it is, how to install and use it, its license.",
+        ),
+        report_if(
+            readme.isNotNull() & (F.col("length_chars") < K.SHORT_README_CHARS),
+            id="DOC-001", severity="MEDIUM", title="Very short README", path=readme,
+            explanation=F.concat(
+                F.lit("It has "), F.col("length_chars").cast("string"), F.lit(" characters.")
+            ),
+            recommendation="Say more about installation, use and configuration.",
+        ),
+        report_if(
+            readme.isNotNull() & (F.size("absent") > 0),
+            id="DOC-002", severity="LOW", title="README leaves out sections", path=readme,
+            explanation=F.concat(F.lit("It says nothing on: "), listed),
+            recommendation=F.concat(F.lit("Cover these: "), listed),
+        ),
+    ]
+    return explode_reports(rows, reports, "Documentation")

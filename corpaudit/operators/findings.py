@@ -50,6 +50,26 @@ def finding_rows(
     return rows.select(*[F.lit(values[name]).alias(name) for name in FINDING_COLUMNS])
 
 
+def report_if(condition: Column, **values) -> Column:
+    """One possible finding of a row, for explode_reports."""
+    return F.when(condition, F.struct(*[F.lit(v).alias(n) for n, v in values.items()]))
+
+
+def explode_reports(rows: DataFrame, reports: Sequence[Column], category: str) -> DataFrame:
+    """Findings of all reports in one pass over the rows.
+
+    Every report has the same fields: id, severity, title, path, explanation,
+    recommendation. The outer explode keeps rows from being computed twice.
+    """
+    listed = F.array_compact(F.array(*reports))
+    found = rows.select("repo_id", F.explode_outer(listed).alias("report"))
+    return finding_rows(
+        found.filter(F.col("report").isNotNull()).select("repo_id", "report.*"),
+        id=F.col("id"), severity=F.col("severity"), category=category, title=F.col("title"),
+        path=F.col("path"), explanation=F.col("explanation"), recommendation=F.col("recommendation"),
+    )
+
+
 def all_findings(parts: Sequence[DataFrame]) -> DataFrame:
     """Bag union of the checks that are enabled."""
     return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpaudit import constants as K
 from corpaudit.functions import content_sha256, hashed_id, human_size, under_any_dir
 from corpaudit.operators.files import duplicate_candidates, scanned_files
-from corpaudit.operators.findings import all_findings, finding_rows
+from corpaudit.operators.findings import all_findings, explode_reports, finding_rows, report_if
 from corpaudit.operators.skew import hot_groups
 
 # Groups of copies up to this size are listed whole in one row; the members of
@@ -102,15 +102,9 @@ def presence_findings(facts: DataFrame, *, checks: Sequence[str] = PRESENCE_CHEC
     """One pass over the facts; each missing thing becomes a row."""
     names = ("id", "severity", "title", "explanation", "recommendation")
     reports = [
-        F.when(~F.col(flag), F.struct(*[F.lit(v).alias(n) for n, v in zip(names, _MISSING[flag])]))
-        for flag in checks
+        report_if(~F.col(flag), path="", **dict(zip(names, _MISSING[flag]))) for flag in checks
     ]
-    rows = facts.select("repo_id", F.explode(F.array_compact(F.array(*reports))).alias("missing"))
-    return finding_rows(
-        rows.select("repo_id", "missing.*"),
-        id=F.col("id"), severity=F.col("severity"), category="Hygiene", title=F.col("title"),
-        explanation=F.col("explanation"), recommendation=F.col("recommendation"),
-    )
+    return explode_reports(facts, reports, "Hygiene")
 
 
 def risky_extensions(spark) -> DataFrame:

@@ -118,8 +118,10 @@ def secret_hits(
     match counts from 1 within the file. The value itself is not kept.
     """
     rules = list(rules)
-    lowered = F.lower(text)
-    applies = F.array(*[F.coalesce(_may_match(r, text, lowered), F.lit(False)) for r in rules])
+    applies = evaluated_once(
+        F.lower(text),
+        lambda low: F.array(*[F.coalesce(_may_match(r, text, low), F.lit(False)) for r in rules]),
+    )
     # evaluated once per file; most files end here
     return evaluated_once(
         applies,

@@ -98,11 +98,14 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
     def capped(limit: int | None):
         return text if limit is None else decode_text(content, limit)
 
-    coded = marked.withColumn("code_text", F.when(F.col("is_code"), capped(options.code_max_bytes)))
-    counted = code.with_line_counts(coded, "code_text")
-
     searched = F.when(F.col("scanned") & readable, capped(options.secret_max_bytes))
-    hits = secrets.secret_hits(searched, options.rules, min_stars=options.min_stars)
+    texts = marked.withColumns({
+        "code_text": F.when(F.col("is_code"), capped(options.code_max_bytes)),
+        "secret_text": searched,
+    })
+    counted = code.with_line_counts(texts, "code_text")
+
+    hits = secrets.secret_hits(F.col("secret_text"), options.rules, min_stars=options.min_stars)
     if not options.enable_secrets:
         hits = F.slice(hits, 1, 0)
     manifest = F.struct(*[c.alias(n) for n, c in dependencies.manifest_facts(path, text).items()])
