@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from corpaudit import constants as K
 from corpaudit.operators import dependencies as deps
-from corpaudit.operators import code, diff, docs, findings, hygiene, python_code, reports, scoring, secrets
-from corpaudit.operators.files import scanned_files
+from corpaudit.operators import diff, findings, hygiene, reports, scoring
 from corpaudit.plans import scan as plans
 from registry import bindings as B
 from registry.bindings import with_ctes
