@@ -157,7 +157,10 @@ def _code_lines(hash_call: str) -> str:
     return " || nl || ".join(f"({line})" for line in lines) + " || CASE WHEN l_quantity > 25 THEN nl ELSE '' END"
 
 
-_CODE_PATH = "'src/f' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
+_CODE_PATH = (
+    "'src/f' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
+    " || '_' || cast(l_quantity as int)"
+)
 
 
 def code_texts(spark, folder) -> DataFrame:
