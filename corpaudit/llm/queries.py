@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpaudit.llm import langid, packing
+from corpaudit.llm import brown_lm, langid, packing, pages, pii
 from corpaudit.llm.common import fold_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,22 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     filters = langid.train(docs.filter(~held_out).select("text", "lang"))
     found = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), filters)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_class_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold_mod(F.col("doc_id"), 10) == 0, F.lit(False))
+    scored = brown_lm.score_by_classes(docs, docs.filter(~held_out))
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), *columns)
+
+
+@query
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query
+def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
