@@ -192,6 +192,7 @@ _FRAMES = (
     '<body><div class="nav topbar breadcrumb" data-label="drop">{1}</div><section class="story" data-label="keep"><h2>{1}</h2><p>{0}</p><p>{1}</p></section><div class="notice alert" data-label="drop"><p>{2}</p></div>'
     '<div role="complementary" class="widget" data-label="drop"><ul><li>{1}</li></ul></div><div role="contentinfo" data-label="drop">{0}</div>',
     '<body><article data-label="keep"><p>{1}</p></article><footer data-label="drop">&copy; {2}</footer>',
+    '<section id="comments" data-label="drop"><article class="comment"><p>{0}</p></article><article class="comment reply"><p>{1}</p></article></section><article data-label="keep"><p>{2}</p></article>',
     '<article data-label="keep">{1}</article>', '<p data-label="keep">{1}<p data-label="keep">{0}', '<div data-label="keep">{2}</div>',
     '<body><nav data-label="drop">{2}</nav><article data-label="keep"><h1>{1}</h1><ul><li>{1}</li><li><a href="/x">{3}</a></li></ul><p>{0}</p><div class="comments" data-label="drop"><p>{0}</p></div></article>',
 )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpaudit.llm import brown_lm, langid, packing, pages, pii
+from corpaudit.llm import brown_lm, langid, mixing, packing, pages, pii, vectors
 from corpaudit.llm.common import fold_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,83 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op3_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"), 0.95)
+
+
+#: Target weights of the mix, by name of the node; nodes without one weigh 1.
+DOMAIN_WEIGHTS = {"web": 5, "books": 3, "forum": 2}
+LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2}
+SOURCE_WEIGHTS = {"src0": 2}
+MIX_SEED, MIX_EPOCHS = 7, 2
+DOMAIN = "case try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3 when 1 then 'books' when 2 then 'forum' else 'web' end"
+
+
+@query
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix as large as the corpus: scarce leaves repeat, and their shortages move up the tree."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", F.expr(DOMAIN).alias("domain"))
+    weights = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
+    chosen = mixing.mixed(docs, ("domain", "lang", "source"), weights, 1.0, MIX_EPOCHS, MIX_SEED)
+    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "taken")
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in weights.items()) + " else 1 end"
+
+
+def _fill_sql(out: str, nodes: str, parents: str, name: str) -> str:
+    by = f"partition by {parents}" if parents else ""
+    order = f"order by supply::double / weight, {name}"
+    return f"""
+{out}_marked as (
+  select *, total - coalesce(sum(supply) over ({by} {order} rows between unbounded preceding and 1 preceding), 0) as left_over,
+    sum(weight) over ({by} {order} rows between current row and unbounded following) as rest_weight,
+    row_number() over ({by} {order}) as place
+  from {nodes}),
+{out}_level as (
+  select *, min(case when left_over::hugeint * weight <= supply::hugeint * rest_weight then place end) over ({by}) as turn
+  from {out}_marked),
+{out} as (
+  select *, coalesce(least(supply, (max(case when place = turn then left_over end) over ({by}))::hugeint * weight
+    // max(case when place = turn then rest_weight end) over ({by})), supply)::bigint as budget
+  from {out}_level)"""
+
+
+ORACLES["op4_source_mixing"] = f"""
+with sized as (
+  select doc_id, coalesce(lang, '(none)') as k_lang, coalesce(source, '(none)') as k_source, lang, source,
+    case try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3 when 1 then 'books' when 2 then 'forum' else 'web' end as domain,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens
+  from documents),
+leaves as (
+  select domain, k_lang, k_source, sum(n_tokens)::bigint as tokens, (sum(n_tokens) * {MIX_EPOCHS})::bigint as supply
+  from sized group by all),
+n1 as (
+  select domain, sum(supply)::bigint as supply, {_case("domain", DOMAIN_WEIGHTS)} as weight,
+    (select sum(n_tokens) from sized)::bigint as total
+  from leaves group by domain),
+{_fill_sql("b1", "n1", "", "domain")},
+n2 as (
+  select l.domain, k_lang, sum(l.supply)::bigint as supply, {_case("k_lang", LANG_WEIGHTS)} as weight, any_value(b1.budget) as total
+  from leaves l join b1 on l.domain = b1.domain group by l.domain, k_lang),
+{_fill_sql("b2", "n2", "domain", "k_lang")},
+n3 as (
+  select l.domain, l.k_lang, k_source, l.tokens, l.supply, {_case("k_source", SOURCE_WEIGHTS)} as weight, b2.budget as total
+  from leaves l join b2 on l.domain = b2.domain and l.k_lang = b2.k_lang),
+{_fill_sql("b3", "n3", "domain, k_lang", "k_source")},
+targets as (select *, budget // tokens as whole, budget % tokens as rest from b3 where tokens > 0),
+joined as (
+  select s.*, t.whole, t.rest, md5('{MIX_SEED}:' || t.whole || ':' || coalesce(s.doc_id::varchar, '')) as key
+  from sized s join targets t using (domain, k_lang, k_source) where s.n_tokens > 0),
+placed as (
+  select *, coalesce(sum(n_tokens) over (partition by domain, k_lang, k_source order by key, doc_id
+    rows between unbounded preceding and 1 preceding), 0) as before from joined)
+select doc_id, domain, lang, source, n_tokens, epoch::int as epoch, n_tokens as taken
+from joined, unnest(range(whole)) as e(epoch)
+union all
+select doc_id, domain, lang, source, n_tokens, whole::int, least(n_tokens, rest - before)::bigint from placed where before < rest
+"""
