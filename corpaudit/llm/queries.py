@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpaudit.llm import brown_lm, langid, mixing, packing, pages, pii, vectors
+from corpaudit.llm import brown_lm, langid, mixing, packing, pages, pii, quality, vectors
 from corpaudit.llm.common import fold_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,59 @@ from joined, unnest(range(whole)) as e(epoch)
 union all
 select doc_id, domain, lang, source, n_tokens, whole::int, least(n_tokens, rest - before)::bigint from placed where before < rest
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.rules(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("class_distance", "word_distance")
+
+
+_SQL_CLASSES = {"spaces": r"[\x20\x09-\x0D]", "symbols": "[#*$%&|<>]", "capitals": "[A-Z]", "digits": "[0-9]", "wide": r"[^\x00-\x7F]"}
+_COUNTED = ", ".join(f"len(regexp_extract_all(t, '{p}')) as c_{n}" for n, p in _SQL_CLASSES.items())
+_BOTH = "sum(case when {p} > 0 then {p} * log2(2 * {p} / ({p} + {q})) else 0 end + case when {q} > 0 then {q} * log2(2 * {q} / ({p} + {q})) else 0 end) / 2"
+_DIVERGED = "sqrt(greatest(" + _BOTH.format(p="p", q="q") + ", 0))"
+ORACLES["op8_quality_rules"] = f"""
+with base as (
+  select row_number() over () as row, doc_id, coalesce(lang, '(none)') as lang, text is not null as present, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+measured as (select *, len(w) as n_words, length(t) as size, {_COUNTED} from base),
+ws as (select row, lang, n_words, unnest(w) as word, unnest(range(1, n_words + 1)) as pos from measured),
+windows as (
+  select row, i as pos, w[i:i + 7] as win from measured, unnest(range(1, n_words - 6)) as r(i)),
+twice as (select row, pos from windows qualify count(*) over (partition by row, win) > 1),
+repeats as (select row, count(distinct pos + k)::bigint as n_repeat_words from twice, range(8) as r(k) group by row),
+lines as (
+  select row, count(*) - count(distinct line) as n_dup_lines
+  from (select row, unnest(string_split(t, chr(10))) as line from measured)
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by row),
+counted as (select lang, word, count(*) as n from ws group by lang, word),
+ranked as (select *, row_number() over (partition by lang order by n desc, word) as k from counted),
+refs as (
+  select m.lang, sum(n_words) as ref_words, sum(size) as ref_size, {", ".join(f"sum(c_{n}) as r_{n}" for n in _SQL_CLASSES)}
+  from measured m where present group by m.lang),
+class_shares as (
+  select row, unnest([{", ".join(f"c_{n} / greatest(size, 1)" for n in _SQL_CLASSES)},
+    (size - {" - ".join(f"c_{n}" for n in _SQL_CLASSES)}) / greatest(size, 1)]) as p,
+    unnest([{", ".join(f"r_{n} / greatest(ref_size, 1)" for n in _SQL_CLASSES)},
+    (ref_size - {" - ".join(f"r_{n}" for n in _SQL_CLASSES)}) / greatest(ref_size, 1)]) as q
+  from measured m join refs using (lang) where n_words >= 50 and ref_words >= 1000),
+by_class as (select row, {_DIVERGED} as far from class_shares group by row),
+hits as (
+  select m.row, r.k, count(ws.pos) / any_value(m.n_words) as p, any_value(r.n) / any_value(refs.ref_words) as q
+  from measured m join refs using (lang) join ranked r on r.lang = m.lang and r.k <= 16
+    left join ws on ws.row = m.row and ws.word = r.word
+  where m.n_words >= 50 and refs.ref_words >= 1000 group by m.row, r.k),
+rests as (select row, 0 as k, 1 - sum(p) as p, 1 - sum(q) as q from hits group by row),
+by_word as (select row, {_DIVERGED} as far from (select * from hits union all select * from rests) group by row),
+judged as (
+  select m.*, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    coalesce(c.far, 0) as class_far, coalesce(v.far, 0) as word_far
+  from measured m left join lines using (row) left join repeats using (row)
+    left join by_class c using (row) left join by_word v using (row))
+select doc_id, n_words::bigint as n_words, (size - c_spaces)::bigint as word_chars, c_symbols::bigint as n_symbols,
+  n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and class_far <= 0.25 and word_far <= 0.42 as kept
+from judged
+"""
