@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpaudit.llm import brown_lm, langid, mixing, packing, pages, pii, quality, vectors
+from corpaudit.llm import brown_lm, jaccard, langid, mixing, packing, pages, pii, quality, vectors
 from corpaudit.llm.common import fold_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,8 @@ select doc_id, n_words::bigint as n_words, (size - c_spaces)::bigint as word_cha
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and class_far <= 0.25 and word_far <= 0.42 as kept
 from judged
 """
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(table(spark, folder, "documents").select("doc_id", "text"), 4, 85, 100)
