@@ -15,7 +15,7 @@ from corpaudit.llm.common import in_arrow, mix, text_slices, words_of
 
 UNKNOWN = "und"
 #: Lengths of the character n-grams; a word's borders count as one character each.
-LENGTHS = (1, 2, 3, 4)
+LENGTHS = (2, 3)
 #: An n-gram enters a language's filter if it makes up this share of the language's n-grams. So at
 #: most 1 / LEAST_SHARE n-grams of a language can enter, whatever the corpus holds.
 LEAST_SHARE = 2e-5
@@ -60,20 +60,40 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(hashes)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and, for every hash, its place among them.
+
+    A table by the leading bits gives nearly all of them; the rest, where two share a cell, is sorted.
+    """
+    cell = (hashes >> np.uint64(42)).astype(np.int64)
+    table = np.zeros(1 << 22, np.uint64)
+    table[cell] = hashes
+    used = np.flatnonzero(table)
+    place = np.zeros(1 << 22, np.int64)
+    place[used] = np.arange(len(used))
+    back, values = place[cell], table[used]
+    lost = np.flatnonzero(table[cell] != hashes)
+    if len(lost):
+        more, at = np.unique(hashes[lost], return_inverse=True)
+        back[lost] = len(values) + at
+        values = np.concatenate([values, more])
+    return values, back
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): n-grams of all texts by their language. Each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=4 << 20):
             bounds, codes, words = words_of(batch.column("text"))
             owners, hashes = grams(words)
             langs = batch.column("lang").to_pylist()
             rows = np.repeat(np.arange(len(langs)), np.diff(bounds))
             names = {name: i for i, name in enumerate(sorted({x for x in langs if x is not None}))}
             number = np.array([names.get(x, -1) for x in langs], np.int64)
+            unique, back = distinct(hashes)
             for name, i in names.items():
                 times = np.bincount(codes[number[rows] == i], minlength=len(words)).astype(np.int64)
-                unique, back = np.unique(hashes, return_inverse=True)
                 sums = np.bincount(back, times[owners], minlength=len(unique)).astype(np.int64)
                 kept = sums > 0
                 yield pa.RecordBatch.from_arrays(
@@ -157,16 +177,16 @@ def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=4 << 20):
             bounds, codes, words = words_of(batch.column("text"))
             owners, hashes = grams(words)
             names = filters.names if filters else ()
             votes = np.zeros((len(words), len(names) + 1), np.int64)
-            unique, back = np.unique(hashes, return_inverse=True)
             if filters:
-                hits = filters.contained(unique)[back]
+                unique, back = distinct(hashes)
+                hits = filters.contained(unique)
                 for i in range(len(names)):
-                    votes[:, i] = np.bincount(owners, hits[:, i], minlength=len(words))
+                    votes[:, i] = np.bincount(owners, hits[:, i][back], minlength=len(words))
             votes[:, -1] = np.bincount(owners, minlength=len(words))
             running = np.zeros((len(codes) + 1, votes.shape[1]), np.int64)
             np.cumsum(votes[codes], axis=0, out=running[1:])

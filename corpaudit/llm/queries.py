@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpaudit.llm import brown_lm, jaccard, langid, mixing, packing, pages, pii, quality, vectors
+from corpaudit.llm import brown_lm, jaccard, langid, mixing, packing, pages, passages, pii, quality, vectors
 from corpaudit.llm.common import fold_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,8 @@ from judged
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.groups(table(spark, folder, "documents").select("doc_id", "text"), 4, 85, 100)
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.without_repeats(table(spark, folder, "documents").select("doc_id", "text"), 400)
