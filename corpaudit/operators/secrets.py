@@ -7,6 +7,7 @@ decide which files and lines meet a regular expression at all.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -76,17 +77,28 @@ SECRET_RULES = (
         folded=True,
     ),
 )
+# Up to so many values of a line are redacted in the whole line, more only in its first characters.
+FEW_VALUES, HEAD_CHARS = 16, 4096
 _HITS = "array<struct<line:int,rule:int,match:int,evidence:string,length:int,entropy:double>>"
 _LINE_HITS = "array<struct<rule:int,value:string>>"
 
 
+# What makes a pattern see more than its own match: anchors and look-arounds.
+_LOOKS_AROUND = re.compile(r"[\^$]|\\[AGZz]|\(\?<?[=!]")
+
+
 def _may_match(rule: SecretRule, text: Column, lowered: Column) -> Column:
-    """Necessary condition for a match: a hint, then the pattern over the text."""
+    """Necessary condition for a match in some line: a hint, and the pattern over the text.
+
+    A pattern with anchors or look-arounds can match a line but not the text, so for it the hints
+    decide alone.
+    """
+    matches = F.lit(True) if _LOOKS_AROUND.search(rule.pattern) else text.rlike(rule.pattern)
     if not rule.hints:
-        return text.rlike(rule.pattern)
+        return text.isNotNull() & matches
     where = lowered if rule.folded else text
     hinted = reduce(or_, [F.contains(where, F.lit(h)) for h in rule.hints])
-    return hinted & text.rlike(rule.pattern)
+    return hinted & matches
 
 
 def _line_hits(rules: Sequence[SecretRule], line: Column, applies: Column) -> Column:
@@ -101,13 +113,36 @@ def _line_hits(rules: Sequence[SecretRule], line: Column, applies: Column) -> Co
     return F.concat(*[hits(i, r) for i, r in enumerate(rules)])
 
 
+def _hidden(text: Column, values: Column, min_stars: int) -> Column:
+    """The text with every value redacted, longest first."""
+    longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(longest_first, text, lambda done, v: F.replace(done, v, redact(v, min_stars=min_stars)))
+
+
 def _redacted(line: Column, values: Column, min_stars: int) -> Column:
-    """The line with every found value redacted, longest first, cut for display."""
-    longest_first = F.array_sort(
-        F.array_distinct(values), lambda a, b: F.length(b) - F.length(a)
-    )
-    clean = F.aggregate(longest_first, line, lambda text, v: F.replace(text, v, redact(v, min_stars=min_stars)))
-    return F.substring(py_strip(clean), 1, K.EVIDENCE_CHARS)
+    """The line with every found value redacted, cut for display; computed once for all its hits.
+
+    With many values the line's head is enough for the display: only values that begin in it are
+    replaced, and what reaches beyond it, where others may begin, is cut off. So the work grows with
+    the line, not with the line times its values.
+    """
+
+    def head(size: Column, some: Column) -> Column:
+        reach = F.coalesce(F.array_max(F.transform(some, lambda v: F.length(v))), F.lit(0))
+        area = F.substring(line, F.lit(1), size + reach)
+        clean = _hidden(area, some, min_stars)
+        whole = F.length(line) <= size + reach
+        return F.when(whole, clean).otherwise(F.left(clean, F.greatest(F.lit(0), F.length(clean) - reach)))
+
+    def near(size: Column, distinct: Column) -> Column:
+        return F.filter(distinct, lambda v: F.contains(F.substring(line, F.lit(1), size + F.length(v)), v))
+
+    def display(distinct: Column) -> Column:
+        size = F.length(line) - F.length(F.ltrim(line)) + HEAD_CHARS
+        short = evaluated_once(size, lambda n: evaluated_once(near(n, distinct), lambda some: head(n, some)))
+        return F.when(F.size(distinct) <= FEW_VALUES, _hidden(line, distinct, min_stars)).otherwise(short)
+
+    return F.substring(py_strip(evaluated_once(F.array_distinct(values), display)), 1, K.EVIDENCE_CHARS)
 
 
 def secret_hits(
@@ -138,7 +173,13 @@ def _examined(text: Column, rules: list[SecretRule], applies: Column, min_stars:
             (i + 1).alias("number"), line.alias("line"), _line_hits(rules, line, applies).alias("hits")
         ),
     )
-    kept = F.filter(per_line, lambda s: F.size(s["hits"]) > 0)
+    kept = F.transform(
+        F.filter(per_line, lambda s: F.size(s["hits"]) > 0),
+        lambda s: F.struct(
+            s["number"].alias("number"), s["hits"].alias("hits"),
+            _redacted(s["line"], s["hits"]["value"], min_stars).alias("evidence"),
+        ),
+    )
     found = F.flatten(
         F.transform(
             kept,
@@ -147,7 +188,7 @@ def _examined(text: Column, rules: list[SecretRule], applies: Column, min_stars:
                 lambda h: F.struct(
                     s["number"].alias("line"),
                     h["rule"].alias("rule"),
-                    _redacted(s["line"], s["hits"]["value"], min_stars).alias("evidence"),
+                    s["evidence"].alias("evidence"),
                     F.length(h["value"]).alias("length"),
                     shannon_entropy(h["value"]).alias("entropy"),
                 ),

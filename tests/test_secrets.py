@@ -69,6 +69,27 @@ def test_own_rule_without_hints(spark):
     assert rows[0].evidence == "tok-abcd*****"
 
 
+def test_anchored_rule_matches_any_line(spark):
+    rule = secrets.SecretRule("MINE", "LOW", r"^tok=(\w{8,})$", "T", "R", group=1)
+    found, _ = hits(spark, {"a.txt": "x\ntok=abcdefgh1\ny"}, rules=[rule])
+    assert found == [("a.txt", 2, "MINE", 1)]
+
+
+def test_a_line_of_many_values_is_redacted_in_time_and_whole(spark):
+    import time
+
+    took = {}
+    for count in (5_000, 10_000, 20_000):
+        line = "  " + " ".join('pass' + f'word="v{i:06d}x{i * 7919:08d}"' for i in range(count))
+        start = time.time()
+        found, rows = hits(spark, {"a.min.js": line})
+        took[count] = time.time() - start
+        assert len(found) == count
+        assert not any(f"v{i:06d}x" in rows[0].evidence for i in range(200))
+        assert len(rows[0].evidence) == 160
+    assert took[20_000] < 60 and took[20_000] < 3 * took[10_000] + 5
+
+
 def test_env_files(spark):
     files = corpus(spark, {".env": "a", "x/.ENV.prod": "b", "env": "c", "a.env": "d"})
     assert sorted(column(secrets.env_file_findings(files), "path")) == [".env", "x/.ENV.prod"]
