@@ -91,7 +91,14 @@ def parse_package_json(text: Column) -> Column:
     )
 
     def declared(section: Column, scope: str) -> Column:
-        rows = F.transform(F.map_entries(section), lambda e: _entry(scope, e["key"], "", e["value"]))
+        def once(entries: Column) -> Column:
+            # a repeated key keeps its first place and its last value
+            keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+            last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+            return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
+
+        kept = evaluated_once(F.map_entries(section), once)
+        rows = F.transform(kept, lambda e: _entry(scope, e["key"], "", e["value"]))
         return F.coalesce(rows.cast(_ENTRIES), _none())
 
     def entries(document: Column) -> Column:

@@ -13,11 +13,10 @@ from corpaudit import constants as K
 from corpaudit.functions import content_sha256, hashed_id, human_size, under_any_dir
 from corpaudit.operators.files import duplicate_candidates, scanned_files
 from corpaudit.operators.findings import all_findings, explode_reports, finding_rows, report_if
-from corpaudit.operators.skew import hot_groups
+from corpaudit.operators.skew import numbered
 
-# Groups of copies up to this size are listed whole in one row; the members of
-# larger ones stay rows of duplicate_members.
-LISTED_COPIES = 1000
+# Paths in one page of a group's list.
+PAGE_ROWS = 1000
 
 
 def exists_at(names: Sequence[str]) -> Column:
@@ -207,52 +206,44 @@ def duplicate_groups(digests: DataFrame, *, scope: str = "repo") -> DataFrame:
     )
 
 
-def duplicate_members(digests: DataFrame, groups: DataFrame, *, scope: str = "repo") -> DataFrame:
-    """Every file of every group, one row each."""
+def duplicate_members(
+    digests: DataFrame, groups: DataFrame, *, scope: str = "repo", carried: Sequence[str] = ()
+) -> DataFrame:
+    """Every file of every group, one row each, with the carried columns of the group."""
     keys = _scope(scope)
     rows = digests.select(*keys, _member(scope).alias("member"))
-    return rows.join(groups.select(*keys), keys, "left_semi")
+    return rows.join(groups.select(*keys, *carried), keys)
 
 
 def duplicate_lists(
-    digests: DataFrame,
-    groups: DataFrame,
-    *,
-    scope: str = "repo",
-    listed_copies: int = LISTED_COPIES,
+    digests: DataFrame, groups: DataFrame, *, scope: str = "repo", page_rows: int = PAGE_ROWS
 ) -> DataFrame:
-    """Groups with their sorted paths; null for groups above listed_copies.
+    """Groups with their sorted paths, in pages of at most page_rows, numbered from 0.
 
-    The largest groups leave through a bounded broadcast before anything is
-    shuffled. Of all others only members of listable groups are collected.
+    Every group has this form, whatever its size; a small one is a single page.
     """
     keys = _scope(scope)
-    hot = F.broadcast(hot_groups(digests, keys, hot_rows=listed_copies).select(*keys))
-    listable = groups.filter(F.col("copies") <= listed_copies)
-    members = duplicate_members(digests.join(hot, keys, "left_anti"), listable, scope=scope)
-    lists = members.groupBy(*keys).agg(F.sort_array(F.collect_list("member")).alias("paths"))
-    return groups.join(lists, keys, "left")
+    members = numbered(duplicate_members(digests, groups, scope=scope), keys, [F.col("member")], "__n")
+    page = F.floor((F.col("__n") - 1) / page_rows).cast("int").alias("page")
+    lists = members.groupBy(*keys, page).agg(F.sort_array(F.collect_list("member")).alias("paths"))
+    return groups.join(lists, keys)
 
 
-def duplicate_findings(lists: DataFrame) -> DataFrame:
+def duplicate_findings(groups: DataFrame) -> DataFrame:
     """One finding per group within a repository.
 
-    The id hashes the joined paths where they are listed, else the content
-    digest.
+    The id hashes the content digest, for groups of every size; the members are
+    rows of duplicate_members.
     """
-    paths, copies = F.col("paths"), F.col("copies")
-    listing = F.coalesce(
-        F.concat(F.lit(": "), F.array_join(paths, ", ")), F.lit(", listed in the members table")
-    )
     return finding_rows(
-        lists,
-        id=hashed_id("HYG-DUP-", F.coalesce(F.array_join(paths, ":"), F.col("digest"))),
+        groups,
+        id=hashed_id("HYG-DUP-", F.col("digest")),
         severity="LOW",
         category="Hygiene",
         title="Copies of one file",
         path=F.col("first_path"),
         explanation=F.concat(
-            copies.cast("string"), F.lit(" files are equal"), listing,
+            F.col("copies").cast("string"), F.lit(" files are equal, the first is "), F.col("first_path"),
             F.lit(". Copies take "), human_size(F.col("reclaimable_bytes")), F.lit("."),
         ),
         recommendation="Keep one copy and refer to it.",

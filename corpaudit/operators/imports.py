@@ -37,10 +37,10 @@ def import_classes(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct modules per repository with their class.
 
     imports (repo_id, path, module) is reduced to distinct modules before the
-    join; modules is a name list of bounded length and is broadcast.
+    join; Spark chooses how, by the size of the name list.
     """
     counted = imports.groupBy("repo_id", "module").agg(F.count(F.lit(1)).alias("files"))
-    joined = counted.join(F.broadcast(modules), "module", "left")
+    joined = counted.join(modules, "module", "left")
     known = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("is_stdlib", "is_first_party", "is_third_party")}
     name = (
         F.when(known["is_first_party"], "first_party")
@@ -57,7 +57,7 @@ def import_classes(imports: DataFrame, modules: DataFrame) -> DataFrame:
 def unknown_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct imported modules that are neither first party nor stdlib."""
     own = modules.filter(F.col("is_stdlib") | F.col("is_first_party")).select("module")
-    return imports.select("repo_id", "module").distinct().join(F.broadcast(own), "module", "left_anti").select(
+    return imports.select("repo_id", "module").distinct().join(own, "module", "left_anti").select(
         "repo_id", "module"
     )
 

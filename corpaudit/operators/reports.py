@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,16 +85,31 @@ def dashboard_dependencies(manifests: DataFrame) -> DataFrame:
     )
 
 
-def _part(step: str, part_rows: int) -> Column:
-    return F.floor((F.col(step) - 1) / F.lit(part_rows)).cast("int").alias("part")
+_ORDER = "o0 int, o1 string, o2 string, o3 int, o4 string"
 
 
-def _section(rows: DataFrame, order: Sequence[Column], entry: Column, name: str, part_rows: int) -> DataFrame:
-    """Rows to arrays of at most part_rows entries, in order, per (repo_id, part)."""
-    steps = numbered(rows, ["repo_id"], order, "__step")
-    parts = steps.select("repo_id", _part("__step", part_rows), F.struct("__step", entry.alias("entry")).alias("e"))
-    lists = parts.groupBy("repo_id", "part").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return lists.select("repo_id", "part", F.transform("es", lambda e: e["entry"]).alias(name))
+def _entries(rows: DataFrame, name: str, order: Sequence[Column], entry: Column) -> DataFrame:
+    """Rows of one list: repository, list, place in it, and the entry under the list's name."""
+    kinds = [f.strip().split() for f in _ORDER.split(",")]
+    places = [c.cast(kind).alias(column) for c, (column, kind) in zip(order, kinds)]
+    return rows.select("repo_id", F.lit(name).alias("list"), *places, entry.alias(name))
+
+
+def _lists(tables: Sequence[DataFrame], names: Sequence[str], part_rows: int) -> DataFrame:
+    """All lists in parts of at most part_rows entries each, in order, per (repo_id, part).
+
+    The entries of all lists are one tall table that is numbered once.
+    """
+    tall = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    order = [F.col(f.strip().split()[0]) for f in _ORDER.split(",")]
+    steps = numbered(tall, ["repo_id", "list"], order, "__step")
+    part = F.floor((F.col("__step") - 1) / F.lit(part_rows)).cast("int").alias("part")
+
+    def gathered(name: str) -> Column:
+        pair = F.when(F.col("list") == name, F.struct("__step", F.col(name).alias("entry")))
+        return F.transform(F.array_sort(F.collect_list(pair)), lambda e: e["entry"]).alias(name)
+
+    return steps.groupBy("repo_id", part).agg(*[gathered(n) for n in names])
 
 
 def json_report(
@@ -106,7 +122,7 @@ def json_report(
     extensions: DataFrame,
     largest: DataFrame,
     findings: DataFrame,
-    duplicate_lists: DataFrame,
+    duplicate_members: DataFrame,
     doc_scores: DataFrame,
     recommendations: DataFrame,
     errors: DataFrame,
@@ -115,25 +131,29 @@ def json_report(
 ) -> DataFrame:
     """Nested documents per repository.
 
-    A repository is one document (part 0) unless a list outgrows part_rows;
-    then its lists go on in further parts, nothing left out. So a document has
-    a bounded size and no task collects a whole huge repository.
+    Every list of a repository is cut into parts of part_rows entries; part 0
+    also holds what there is once. Lists that fit are whole in part 0, longer
+    ones go on in further parts, nothing left out. So a document has a bounded
+    size and no task collects a whole huge repository. Equal files are listed
+    one by one (duplicate_members with first_path), each with the first file of
+    its group.
     """
     finding = F.struct(
         "id", "severity", "category", "title", "path", "line", "evidence", "explanation",
         "recommendation", reason_text().alias("reason"), severity_penalty(F.col("severity")).alias("penalty"),
     )
-    found = _section(findings, canonical_order(), finding, "raw", part_rows)
-    copies = _section(
-        duplicate_lists, [F.col("first_path"), F.col("digest")],
-        F.coalesce(F.col("paths"), F.array(F.col("first_path"))), "duplicate_groups", part_rows,
-    )
-    types = _section(
-        extensions, [F.col("extension")], F.struct("extension", "files"), "extension_distribution", part_rows
-    )
-    failures = _section(
-        errors, [F.col("path"), F.col("error")], F.concat_ws(": ", "path", "error"), "errors", part_rows
-    )
+    none = F.lit(0)
+    names = ["raw", "duplicate_groups", "extension_distribution", "errors"]
+    tables = [
+        _entries(findings, "raw", canonical_order(), finding),
+        _entries(
+            duplicate_members, "duplicate_groups", [none, F.col("first_path"), F.col("member")],
+            F.struct(F.col("first_path").alias("first"), F.col("member").alias("path")),
+        ),
+        _entries(extensions, "extension_distribution", [none, F.col("extension")], F.struct("extension", "files")),
+        _entries(errors, "errors", [none, F.col("path"), F.col("error")], F.concat_ws(": ", "path", "error")),
+    ]
+    lists = _lists(tables, names, part_rows)
 
     def listed(rows: DataFrame, order: str, entry: Column, name: str) -> DataFrame:
         # bounded per repository: six manifests, ten files, eight recommendations
@@ -158,13 +178,10 @@ def json_report(
         .join(doc_scores.select("repo_id", "doc_score"), "repo_id", "left")
         .withColumn("part", F.lit(0))
     )
-    keys = ["repo_id", "part"]
-    whole = head
-    for section in (found, copies, types, failures):
-        whole = whole.join(section, keys, "full_outer")
+    whole = head.join(lists, ["repo_id", "part"], "full_outer")
 
     is_head = F.col("part") == 0
-    raw = F.coalesce("raw", F.array().cast(found.schema["raw"].dataType))
+    raw = F.coalesce("raw", F.array().cast(lists.schema["raw"].dataType))
 
     def reasons(category: str, dimension: str) -> Column:
         own = F.transform(
@@ -175,7 +192,7 @@ def json_report(
             own = F.concat(own, F.coalesce(line, F.array().cast("array<string>")))
         return own.alias(dimension)
 
-    kept = [f for f in found.schema["raw"].dataType.elementType.fieldNames() if f not in ("reason", "penalty")]
+    kept = [f for f in lists.schema["raw"].dataType.elementType.fieldNames() if f not in ("reason", "penalty")]
     plain = F.transform(raw, lambda f: F.struct(*[f[c].alias(c) for c in kept]))
     weight_map = F.create_map(*[x for d, w in weights.items() for x in (F.lit(d), F.lit(float(w)))])
     counts = F.struct(*[F.col(s) for s in K.SEVERITIES])

@@ -8,70 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# A group this small sorts in one task without harm.
-HOT_ROWS = 1_000_000
-# At most this many groups are treated as hot. Every other group then holds
-# less than 1/HOT_GROUPS of the table, and the broadcasts below stay bounded.
-HOT_GROUPS = 256
-# Aimed-at slices per hot group.
-SLICES = 256
+from corpaudit.storage import stored
 
+# monotonically_increasing_id() puts the partition above these bits
+_ROW_BITS = 33
 
-def hot_groups(rows: DataFrame, keys: Sequence[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest groups above hot_rows: keys and count, HOT_GROUPS rows at most."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
-    over = counts.filter(F.col("group_rows") > hot_rows)
-    return over.orderBy(F.desc("group_rows"), *keys).limit(HOT_GROUPS)
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """row_number() over (keys, order) that never sorts a group in one task.
 
-def numbered(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    *,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """row_number() over (keys, order) that never sorts a hot group in one task.
-
-    Ordinary groups use the plain window. A hot group is cut into consecutive
-    slices of its own order at boundaries drawn by hash from its rows; a row's
-    number is its place in the slice plus the sizes of the slices before. The
-    boundaries only steer the work: any choice gives the same numbers. They
-    follow from row values alone, so a recomputed task sees the same ones.
-
-    rows is read several times; pass a stored table, not a long computation.
+    The rows are range-partitioned by keys and order, sorted within the partitions and written once
+    with a running id. A row's number is its place in its partition plus the group's rows in the
+    partitions before, which a small table of counts gives. Every group takes the same path.
     """
     keys = list(keys)
-    parts = [f"__o{i}" for i in range(len(order))]
-    keyed = rows.withColumn("__key", F.struct(*[c.alias(p) for c, p in zip(order, parts)]))
-    hot = F.broadcast(hot_groups(rows, keys, hot_rows=hot_rows))
-
-    cold = keyed.join(hot, keys, "left_anti").withColumn(
-        name, F.row_number().over(W.partitionBy(*keys).orderBy("__key"))
-    )
-
-    heated = keyed.join(hot, keys, "inner")
-    stride = F.greatest(F.lit(1), F.floor(F.col("group_rows") / SLICES)).cast("bigint")
-    drawn = heated.filter(F.pmod(F.xxhash64("__key"), stride) == 0)
-    bounds = F.broadcast(
-        drawn.groupBy(*keys).agg(F.sort_array(F.collect_set("__key")).alias("__bounds"))
-    )
-    sliced = heated.join(bounds, keys, "left").withColumn(
-        "__slice",
-        F.coalesce(
-            F.size(F.filter("__bounds", lambda b: b < F.col("__key"))), F.lit(0)
-        ),
-    )
-    sizes = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(
-        sizes.select(*keys, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
-    place = F.row_number().over(W.partitionBy(*keys, "__slice").orderBy("__key"))
-    warm = sliced.withColumn("__place", place).join(offsets, [*keys, "__slice"]).withColumn(
-        name, F.col("__place") + F.col("__before")
-    )
-
-    columns = [*rows.columns, F.col(name).cast("bigint").alias(name)]
-    return cold.select(*columns).unionByName(warm.select(*columns))
+    sort = [*[F.col(k) for k in keys], *order]
+    placed = stored(
+        rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__id", F.monotonically_increasing_id()),
+        "numbered",
+    ).withColumn("__task", F.shiftright("__id", _ROW_BITS))
+    counts = placed.groupBy(*keys, "__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = W.partitionBy(*keys).orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("__base", F.col("__first") - F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    joined = placed.join(starts.select(*keys, "__task", "__base"), [*keys, "__task"])
+    return joined.select(*rows.columns, (F.col("__id") - F.col("__base") + 1).alias(name))

@@ -68,7 +68,7 @@ class ScanTables:
         return reports.json_report(
             repos=self.repos, summaries=self.summary, technologies=self.technologies,
             manifests=self.manifests, code_stats=self.code_stats, extensions=self.extensions,
-            largest=self.largest, findings=self.findings, duplicate_lists=self.duplicates,
+            largest=self.largest, findings=self.findings, duplicate_members=self.duplicates,
             doc_scores=self.doc_scores, recommendations=self.recommendations, errors=self.errors,
             **options,
         )
@@ -183,14 +183,14 @@ def scan(files: DataFrame, repos: DataFrame | None = None, options: ScanOptions
     )
     doc_scores = docs.readme_scores(candidates, repos)
     groups = hygiene.duplicate_groups(views.digests)
-    duplicates = hygiene.duplicate_lists(views.digests, groups)
+    duplicates = hygiene.duplicate_members(views.digests, groups, carried=["first_path"])
 
     checks = [
         code.long_line_findings(views.file_stats),
         python_code.syntax_findings(views.python),
         python_code.nesting_findings(views.python),
         hygiene.hygiene_findings(features, repos, ignored_dirs=options.ignored_dirs),
-        hygiene.duplicate_findings(duplicates),
+        hygiene.duplicate_findings(groups),
         docs.readme_findings(doc_scores),
     ]
     if options.enable_dependencies:
@@ -255,7 +255,8 @@ def scan_compact(
     if options.store:
         features = stored(features, "features")
     views = _views(features, options)
-    duplicates = hygiene.duplicate_lists(views.digests, hygiene.duplicate_groups(views.digests))
+    groups = hygiene.duplicate_groups(views.digests)
+    duplicates = hygiene.duplicate_members(views.digests, groups, carried=["first_path"])
     facts = hygiene.presence(
         features, repos, ignored_dirs=options.ignored_dirs,
         license_names=K.LICENSE_NAMES_COMPACT, counts_as_test=F.col("scanned"),

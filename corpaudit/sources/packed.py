@@ -68,6 +68,6 @@ def size_gate_drop(files: DataFrame, *, max_file_size_mb: float = K.MAX_FILE_SIZ
 
 
 def read_errors(files: DataFrame) -> DataFrame:
-    """One row per file or directory that could not be read."""
-    failed = files.filter(F.col("error").isNotNull() & (F.col("error") != K.BROKEN_SYMLINK))
+    """One row per directory that could not be entered; unreadable files are no scan errors."""
+    failed = files.filter((F.col("kind") == "dir") & F.col("error").isNotNull())
     return failed.select("repo_id", "path", "error")

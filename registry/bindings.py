@@ -69,7 +69,7 @@ def _doc_rows(spark, folder) -> DataFrame:
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), extension)
     return table(spark, folder, "documents").select(
         F.col("source").alias("repo_id"), path.alias("path"), "doc_id", "text"
-    ).repartition(spark.sparkContext.defaultParallelism)
+    )
 
 
 def doc_files(spark, folder) -> DataFrame:
@@ -295,7 +295,6 @@ def manifest_files(spark, folder, *names: str, locks: bool = False) -> DataFrame
     rows = (
         table(spark, folder, "orders")
         .select("o_orderkey", "o_custkey", F.lit("\n").alias("nl"))
-        .repartition(spark.sparkContext.defaultParallelism)
         .select(F.expr("'r' || o_orderkey").alias("repo_id"), F.explode(F.array_compact(F.array(*files))).alias("f"))
         .select("repo_id", "f.path", "f.text")
     )

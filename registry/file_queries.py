@@ -82,7 +82,7 @@ def size_gate(spark, sf):
 
 
 @query(with_ctes("path_files") + """
-SELECT repo_id, path, error FROM path_files WHERE error <> 'broken symlink'""")
+SELECT repo_id, path, error FROM path_files WHERE kind = 'dir' AND error IS NOT NULL""")
 def scan_errors(spark, sf):
     return read_errors(B.path_files(spark, sf))
 
@@ -90,7 +90,7 @@ def scan_errors(spark, sf):
 @query(with_ctes("path_files") + """
 SELECT * FROM (
   SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY path, error) AS position, path, error
-  FROM path_files WHERE error <> 'broken symlink')
+  FROM path_files WHERE kind = 'dir' AND error IS NOT NULL)
 WHERE position <= 10""")
 def first_errors(spark, sf):
     return error_limit(read_errors(B.path_files(spark, sf)))

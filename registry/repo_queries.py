@@ -142,7 +142,7 @@ def _doc_lists(spark, sf, scope="repo"):
 
 @query(_HASHED + """
 SELECT repo_id, digest, count(*) AS copies, min(path) AS first_path, min(size) * (count(*) - 1) AS reclaimable_bytes,
-       string_agg(path, ',' ORDER BY path) AS paths
+       string_agg(path, ',' ORDER BY path) AS paths, 0 AS page
 FROM hashed GROUP BY repo_id, digest HAVING count(*) > 1""")
 def duplicate_files(spark, sf):
     return _doc_lists(spark, sf).withColumn("paths", F.array_join("paths", ","))
@@ -151,7 +151,7 @@ def duplicate_files(spark, sf):
 @query(_HASHED + """
 SELECT digest, count(*) AS copies, min(repo_id || '/' || path) AS first_path,
        min(size) * (count(*) - 1) AS reclaimable_bytes,
-       string_agg(repo_id || '/' || path, ',' ORDER BY repo_id || '/' || path) AS paths
+       string_agg(repo_id || '/' || path, ',' ORDER BY repo_id || '/' || path) AS paths, 0 AS page
 FROM hashed GROUP BY digest HAVING count(*) > 1""")
 def duplicate_files_corpus(spark, sf):
     return _doc_lists(spark, sf, "corpus").withColumn("paths", F.array_join("paths", ","))
@@ -167,11 +167,11 @@ def duplicate_members(spark, sf):
 
 
 @query(_HASHED + """
-SELECT repo_id, 'HYG-DUP-' || lpad(CAST(CAST(('0x' || substr(sha256(string_agg(path, ':' ORDER BY path)), 1, 8)) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS id,
+SELECT repo_id, 'HYG-DUP-' || lpad(CAST(CAST(('0x' || substr(sha256(digest), 1, 8)) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS id,
        'LOW' AS severity, min(path) AS path
 FROM hashed GROUP BY repo_id, digest HAVING count(*) > 1""")
 def duplicate_findings(spark, sf):
-    return hygiene.duplicate_findings(_doc_lists(spark, sf)).select("repo_id", "id", "severity", "path")
+    return hygiene.duplicate_findings(hygiene.duplicate_groups(_digests(spark, sf))).select("repo_id", "id", "severity", "path")
 
 
 # --- hygiene ------------------------------------------------------------------

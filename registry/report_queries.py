@@ -206,7 +206,6 @@ def csv_summary(spark, sf):
 
 def _report(spark, sf, part_rows):
     found, repos = B.event_findings(spark, sf), B.event_repos(spark, sf)
-    empty = spark.createDataFrame
     stats = repos.select("repo_id", F.lit(0).alias("source_files"), F.lit(0).alias("total_lines"))
     return reports.json_report(
         repos=repos,
@@ -217,10 +216,12 @@ def _report(spark, sf, part_rows):
         extensions=found.groupBy("repo_id", F.col("path").alias("extension")).agg(F.count(F.lit(1)).alias("files")),
         largest=found.select("repo_id", F.lit(1).alias("position"), "path", F.lit(0).alias("size")).filter("false"),
         findings=found,
-        duplicate_lists=empty([], "repo_id string, digest string, first_path string, paths array<string>"),
+        duplicate_members=found.filter("line = 0 or line is null").select(
+            "repo_id", F.col("title").alias("first_path"), F.col("id").alias("member")
+        ),
         doc_scores=B.event_doc_scores(spark, sf),
         recommendations=recommendations(spark, sf),
-        errors=empty([], "repo_id string, path string, error string"),
+        errors=found.filter("severity = 'CRITICAL'").select("repo_id", "path", F.col("id").alias("error")),
         part_rows=part_rows,
     )
 
@@ -230,13 +231,22 @@ def _report(spark, sf, part_rows):
 types AS (
   SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) - 1 AS step
   FROM (SELECT DISTINCT repo_id, path FROM findings)),
+copies AS (
+  SELECT repo_id, title, id, row_number() OVER (PARTITION BY repo_id ORDER BY title, id) - 1 AS step
+  FROM findings WHERE coalesce(line, 0) = 0),
+failures AS (
+  SELECT repo_id, path, id, row_number() OVER (PARTITION BY repo_id ORDER BY path, id) - 1 AS step
+  FROM findings WHERE severity = 'CRITICAL'),
 parts AS (
-  SELECT repo_id, 0 AS part FROM repos UNION SELECT repo_id, step // 5 FROM steps UNION SELECT repo_id, step // 5 FROM types)
+  SELECT repo_id, 0 AS part FROM repos UNION SELECT repo_id, step // 5 FROM steps UNION SELECT repo_id, step // 5 FROM types
+  UNION SELECT repo_id, step // 5 FROM copies UNION SELECT repo_id, step // 5 FROM failures)
 SELECT p.repo_id, p.part::INT AS part, CASE WHEN p.part = 0 THEN s.overall END AS overall,
        coalesce((SELECT string_agg(id, ',' ORDER BY step) FROM steps t WHERE t.repo_id = p.repo_id AND t.step // 5 = p.part), '') AS ids,
        coalesce((SELECT string_agg(path, ',' ORDER BY step) FROM types t WHERE t.repo_id = p.repo_id AND t.step // 5 = p.part), '') AS types,
        coalesce((SELECT count(*) FROM steps t WHERE t.repo_id = p.repo_id AND t.step // 5 = p.part
-                   AND category = 'Security' AND severity <> 'INFO'), 0) AS security_reasons
+                   AND category = 'Security' AND severity <> 'INFO'), 0) AS security_reasons,
+       coalesce((SELECT string_agg(title || '>' || id, ',' ORDER BY step) FROM copies t WHERE t.repo_id = p.repo_id AND t.step // 5 = p.part), '') AS copies,
+       coalesce((SELECT string_agg(path || ': ' || id, ',' ORDER BY step) FROM failures t WHERE t.repo_id = p.repo_id AND t.step // 5 = p.part), '') AS errors
 FROM parts p LEFT JOIN scores s ON p.repo_id = s.repo_id""")
 def json_report(spark, sf):
     report = _report(spark, sf, part_rows=5)
@@ -247,6 +257,8 @@ def json_report(spark, sf):
         F.array_join(F.transform("findings", lambda f: f["id"]), ",").alias("ids"),
         F.coalesce(F.array_join(F.transform("extension_distribution", lambda f: f["extension"]), ","), F.lit("")).alias("types"),
         F.size("scores.reasons.security").alias("security_reasons"),
+        F.coalesce(F.array_join(F.transform("duplicate_groups", lambda d: F.concat_ws(">", d["first"], d["path"])), ","), F.lit("")).alias("copies"),
+        F.coalesce(F.array_join("errors", ","), F.lit("")).alias("errors"),
     )
 
 

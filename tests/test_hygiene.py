@@ -69,8 +69,10 @@ def duplicates(spark, files, **options):
 def test_duplicates(spark):
     row = duplicates(spark, {"b.py": "same", "a.py": "same", "c.py": "other", "d.py": "", "e.py": ""}).first()
     assert (row.copies, row.first_path, row.paths, row.reclaimable_bytes) == (2, "a.py", ["a.py", "b.py"], 4)
-    found = hygiene.duplicate_findings(duplicates(spark, {"b.py": "same", "a.py": "same"})).first()
-    expected = int(hashlib.sha256(b"a.py:b.py").hexdigest()[:8], 16) % 1000
+    digests = hygiene.with_digest(corpus(spark, {"b.py": "same", "a.py": "same"}))
+    found = hygiene.duplicate_findings(hygiene.duplicate_groups(digests)).first()
+    digest = hashlib.sha256(b"same").hexdigest()
+    expected = int(hashlib.sha256(digest.encode()).hexdigest()[:8], 16) % 1000
     assert (found.id, found.path, found.severity) == (f"HYG-DUP-{expected:03d}", "a.py", "LOW")
 
 
@@ -81,16 +83,18 @@ def test_duplicate_scope(spark):
     assert hygiene.duplicate_groups(digests).first().copies == 2
 
 
-def test_groups_too_large_to_list_stay_whole_as_rows(spark):
-    files = {f"h{i:03d}": "hot" for i in range(40)} | {f"c{i}": "cold" for i in range(3)}
+@pytest.mark.parametrize("copies", [1001, 5000])
+def test_large_groups_are_listed_page_by_page(spark, copies):
+    files = {f"h{i:05d}": "hot" for i in range(copies)} | {f"c{i}": "cold" for i in range(3)}
     digests = hygiene.with_digest(corpus(spark, files))
     groups = hygiene.duplicate_groups(digests)
-    lists = {r.copies: r for r in hygiene.duplicate_lists(digests, groups, listed_copies=10).collect()}
-    assert lists[3].paths == ["c0", "c1", "c2"]
-    assert lists[40].paths is None and lists[40].first_path == "h000"
-    assert hygiene.duplicate_members(digests, groups).count() == 43
-    found = hygiene.duplicate_findings(hygiene.duplicate_lists(digests, groups, listed_copies=10))
-    assert found.count() == 2 and all(column(found, "id")) and all(column(found, "explanation"))
+    pages = hygiene.duplicate_lists(digests, groups).orderBy("copies", "page").collect()
+    assert pages[0].paths == ["c0", "c1", "c2"]
+    listed = [p for row in pages[1:] for p in row.paths]
+    assert listed == sorted(f"h{i:05d}" for i in range(copies))
+    assert all(len(row.paths) <= hygiene.PAGE_ROWS for row in pages)
+    assert hygiene.duplicate_members(digests, groups).count() == copies + 3
+    assert hygiene.duplicate_findings(groups).count() == 2
 
 
 def detected(spark, files):
