@@ -4,8 +4,8 @@ In Jaccard space almost all texts are at distance 1 from each other, so regions
 would copy every text into every region. The first regions are therefore cut by content: the
 shingle universe is dealt into so many classes that two linked sets, which differ in few shingles,
 must agree on a whole class. Texts that agree on a class share a region. Within a region pivots
-take over: all texts are measured against one pivot, then every cell of linked texts gets a pivot
-of its own, texts within its window are copied to the cell, and what remains is compared exactly.
+take over: every text is measured against its regions' pivots, and around each pivot the texts
+that it doesn't link are compared with those in the window that the triangle inequality leaves.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ TASK_KEYS, PART_KEYS, LEAST_PARTS = 1_500_000, 1_000_000, 256
 TOGETHER = 16
 #: Nodes in one list; texts measured against one copy of a pivot.
 LIST, GROUP = 512, 256
+#: Texts that meet one copy of a block.
+PART = 4096
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -90,13 +92,19 @@ def classes_of_band(low: int, high: int, num: int, den: int) -> tuple[int, int]:
 
     Linked sets differ in at most (1 - t) / (1 + t) of their summed sizes. With that many classes,
     and one and the slack more, at least slack + 1 classes are equal in both, so one that isn't empty
-    if the set has at most `slack` empty classes.
+    if the set has at most `slack` empty classes. The slack is what the smallest set rarely passes.
     """
     differ = (den - num) * (high + high * den // num) // (den + num)
     if differ == 0:
         return 1, 0
-    slack = 1 + -(-3 * differ // 100)
-    return differ + 1 + slack, slack
+    slack = 0
+    while True:
+        classes = differ + 1 + slack
+        empty = classes * (1 - 1 / classes) ** low  # expected in the smallest set
+        needed = int(empty + 2 * empty ** 0.5) + 1
+        if needed <= slack or classes > 4 * low + 8:
+            return classes, max(slack, classes - low)
+        slack = needed
 
 
 def bands_of(size: int, edges: list[int], num: int, den: int) -> list[int]:
@@ -129,7 +137,7 @@ def class_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
             sizes = np.array([len(sets[i]) for i in indices])
             tokens = np.concatenate([sets[i] for i in indices])
             row = np.repeat(np.arange(len(indices)), sizes)
-            salted = mix(tokens + np.uint64(seed) * _FACTORS[1] + np.uint64(band) * _FACTORS[2])
+            salted = mix(tokens + mix(np.array([seed * 4096 + band], np.uint64)))
             place = row * classes + (salted >> np.uint64(32)).astype(np.int64) % classes
             cells = len(indices) * classes
             content = mix(salted)
@@ -271,16 +279,21 @@ def regions(docs: DataFrame, width: int, num: int, den: int, shingles: int) -> D
 # ---- measuring pairs -------------------------------------------------------------------------------
 
 
+def texts_for(docs: DataFrame, texts_of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, from the row that `texts_of` names."""
+    named = nodes.join(texts_of, "node").select(F.col("node").alias("_node"), "least")
+    rows = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").alias("_id"), "text")
+    match = (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("least"))
+    return rows.join(named, match).select("node", "text")
+
+
 def measured(docs: DataFrame, texts_of: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """`pairs` (a, b) of nodes with the sizes of both sets and of their intersection.
 
     The b's are pivots: every text travels to its pivots, groups of at most GROUP with a copy of the
     pivot each, and meets it there. `texts_of` names a row of every node.
     """
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts_of, "node")
-    rows = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").alias("_id"), "text")
-    named = needed.select(F.col("node").alias("_node"), "least")
-    texts = rows.join(named, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("least")), "inner").select("node", "text")
+    texts = texts_for(docs, texts_of, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     groups = pairs.groupBy("b").count().select("b", F.ceil(F.col("count") / GROUP).cast("int").alias("groups"))
     split = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("salt"))
     split = stored(split, "pairs")
@@ -318,6 +331,103 @@ def linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
 # ---- the join --------------------------------------------------------------------------------------
 
 
+def pivots(lists: DataFrame) -> DataFrame:
+    """(region, b): the text of each region that shares most with all others, ties by node.
+
+    In a family of copies that is the one most copies are near to.
+    """
+    sizes = lists.groupBy("region").agg(F.sum(F.size("nodes")).alias("size"))
+    placed = stored(lists.join(sizes, "region").select("region", F.explode("nodes").alias("node"), "size"), "placed")
+    degree = placed.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = placed.select("region", "node").join(degree, "node")
+    best = ranked.groupBy("region").agg(F.max(F.struct("degree", "node")).alias("best"))
+    return placed.join(best, "region").select(F.col("node").alias("a"), F.col("best.node").alias("b")).filter("a <> b").distinct()
+
+
+def windows(near: DataFrame, labels: DataFrame, slack: float) -> DataFrame:
+    """(b, band, block, part, node, inner): what is still to be compared around each pivot b.
+
+    Texts that are connected with the pivot need no comparison among themselves. Every other one
+    (inner) is compared with all texts of the pivot whose distance to it differs by at most the
+    threshold: the distances are cut into bands of that width, and texts of the neighbouring bands
+    are copied in. Large bands are cut into blocks, and what meets a block into parts.
+    """
+    far = near.select("a", "b", (1 - F.col("same") / _union_size()).alias("far"))
+    own = far.join(labels.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+    own = own.join(labels.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    inner = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    own = own.select("a", "b", F.floor(F.col("far") / slack).cast("int").alias("band"), inner.alias("inner"))
+    open_ = own.groupBy("b").agg(F.count("*").alias("texts"), F.max("inner").alias("some")).filter("some and texts > 1")
+    own = stored(own.join(open_.select("b", F.ceil(F.col("texts") / PART).cast("int").alias("parts")), "b"), "around")
+    sizes = own.filter("inner").groupBy("b", "band").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    inside = own.filter("inner").join(sizes, ["b", "band"]).select(
+        "b", "band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("a").alias("node"), F.lit(True).alias("inner"),
+    )
+    copied = own.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(sizes, ["b", "band"])
+    copied = copied.select(
+        "b", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node"), F.lit(False).alias("inner"),
+    )
+    return inside.union(copied)
+
+
+class _Block:
+    """Shingle sets, with the sets that hold each shingle."""
+
+    def __init__(self, nodes: list[int], sets: list[np.ndarray]) -> None:
+        self.nodes = np.array(nodes, np.int64)
+        self.sizes = np.array([len(s) for s in sets])
+        shingles = np.concatenate(sets)
+        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, at = np.unique(shingles[order], return_index=True)
+        self.owners, self.starts = owners[order], np.r_[at, len(shingles)]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """Size of the intersection of `own` with every set."""
+        place = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        place = place[self.shingles[place] == own]
+        begin, sizes = self.starts[place], self.starts[place + 1] - self.starts[place]
+        ends = np.cumsum(sizes)
+        at = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.owners[at], minlength=len(self.nodes))
+
+
+def compared(docs: DataFrame, texts_of: DataFrame, around: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the inner texts of every block and the texts that meet it."""
+    keys = ["b", "band", "block", "part"]
+    around = stored(around, "windows")
+    texts = texts_for(docs, texts_of, around.select("node").distinct())
+    sent = around.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys, F.desc("inner"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, nodes, inner, block = None, [], [], None
+        for batch in text_slices(batches):
+            sets = shingle_sets(batch.column("text"), width)
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for key, node, is_inner, own in zip(
+                zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("node").to_pylist(), batch.column("inner").to_pylist(), sets
+            ):
+                if key != current:
+                    current, nodes, inner, block = key, [], [], None
+                if is_inner:
+                    nodes.append(node)
+                    inner.append(own)
+                    continue
+                if block is None:
+                    block = _Block(nodes, inner)
+                same = block.common(own)
+                found = np.flatnonzero((same * den >= (block.sizes + len(own) - same) * num) & (block.nodes != node))
+                if len(found):
+                    left.append(np.full(len(found), node, np.int64))
+                    right.append(block.nodes[found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return in_arrow(sent.select(*keys, "node", "inner", "text"), run, "a long, b long")
+
+
 def links(docs: DataFrame, own: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(links, labels): links (a, b) that connect all linked nodes, and (node, root) of those.
 
@@ -328,49 +438,13 @@ def links(docs: DataFrame, own: DataFrame, width: int = 4, num: int = 85, den: i
     texts_of = stored(sized.groupBy("node").agg(F.min("doc_id").alias("least")), "texts")
     shingles = own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     lists = stored(regions(docs, width, num, den, shingles), "regions")
-    pivot = lists.groupBy("region").agg(F.min(F.array_min("nodes")).alias("b"))
-    star = lists.join(pivot, "region").select(F.explode("nodes").alias("a"), "b").filter("a <> b").distinct()
-    known = measured(docs, texts_of, star, width)
-    found = linked(known, num, den)
-    labels = components(found)
-    slack = (den - num) / den + 1e-9
-    # regions whose texts are not connected: a cell per component, a pivot per cell
-    placed = lists.select("region", F.explode("nodes").alias("node")).join(labels, "node", "left")
-    placed = placed.select("region", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    open_ = stored(placed.join(open_.select("region"), "region", "left_semi"), "open")
-    if open_.isEmpty():
-        return found, labels
-    cells = stored(open_.groupBy("region", "root").agg(F.min("node").alias("b"), F.count("*").alias("texts")), "cells")
-    crossed = open_.select("region", F.col("node").alias("a"), F.col("root").alias("root_a")).join(cells, "region").filter("a <> b")
-    # a cell of one text is its pivot; a cell of more also needs its own texts' distances
-    crossed = stored(crossed.filter("root_a <> root or texts > 1").select("a", "b", "root_a", "root").distinct(), "crossed")
-    turned = known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"), "same")
-    known = known.union(turned)
-    new = crossed.select("a", "b").join(known, ["a", "b"], "left_anti")
-    # of two pivots one distance is enough
-    new = new.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]).select("a", "b")
-    more = measured(docs, texts_of, new, width)
-    turned = more.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"), "same")
-    known = known.union(more).union(turned).distinct()
-    found = found.union(linked(more, num, den))
+    near = measured(docs, texts_of, pivots(lists), width)
+    found = linked(near, num, den)
     labels = components(found)
-    # windows: texts of other components that a text of the cell can reach
-    far = known.select("a", "b", (1 - F.col("same") / _union_size()).alias("far"))
-    spots = open_.select("region", "node").join(labels, "node", "left").select("region", "node", F.coalesce("root", "node").alias("now"))
-    held = cells.filter("texts > 1").select("region", F.col("root").alias("cell"), "b")
-    inside = open_.select("region", F.col("node").alias("y"), F.col("root").alias("cell")).join(held, ["region", "cell"]).filter("y <> b")
-    inside = inside.join(far.select(F.col("a").alias("y"), "b", F.col("far").alias("far_y")), ["y", "b"])
-    inside = inside.join(spots.select("region", F.col("node").alias("y"), F.col("now").alias("now_y")), ["region", "y"])
-    reach = inside.groupBy("region", "b").agg(F.max("far_y").alias("reach"))
-    outside = spots.select("region", F.col("node").alias("x"), F.col("now").alias("now_x")).join(reach, "region")
-    outside = outside.join(far.select(F.col("a").alias("x"), "b", F.col("far").alias("far_x")), ["x", "b"]).filter(F.col("far_x") <= F.col("reach") + slack)
-    leaf = inside.join(outside, ["region", "b"]).filter("now_x <> now_y").filter(F.abs(F.col("far_x") - F.col("far_y")) <= slack)
-    leaf = leaf.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    leaf = stored(leaf.join(known, ["a", "b"], "left_anti"), "leaf")
-    if leaf.isEmpty():
+    more = stored(compared(docs, texts_of, windows(near, labels, (den - num) / den + 1e-9), width, num, den), "links")
+    if more.isEmpty():
         return found, labels
-    found = found.union(linked(measured(docs, texts_of, leaf, width), num, den))
+    found = found.union(more)
     return found, components(found)
 
 
