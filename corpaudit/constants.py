@@ -173,3 +173,6 @@ TOP_ERRORS = 10
 EVIDENCE_CHARS = 160
 ID_MODULO = 1000
 BROKEN_SYMLINK = "broken symlink"
+
+# Root manifests, read whatever their size
+MANIFEST_NAMES = ("requirements.txt", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml")

@@ -22,6 +22,7 @@ from corpaudit.operators.findings import explode_reports, report_if
 _ENTRIES = "array<struct<scope:string,name:string,operator:string,version:string>>"
 # Whitespace within a line. The patterns below start at a line and stay on it.
 _SPACE = r"[\s\x1c-\x1f&&[^\n]]"
+# What a requirement line and the development sections look like.
 # name, extras, operator, version
 _REQUIREMENT = (
     rf"(?dmU)^{_SPACE}*([A-Za-z0-9][A-Za-z0-9._-]*){_SPACE}*(\[[^\]\n]*\])?"

@@ -19,6 +19,7 @@ from corpaudit.operators import (
     code, dependencies, diff, docs, findings, hygiene, imports, python_code,
     reports, scoring, secrets, technologies,
 )
+from corpaudit.operators.hygiene import exists_at
 from corpaudit.operators.files import is_code_candidate, is_duplicate_candidate, python_audit_files
 from corpaudit.schemas import FILES
 from corpaudit.sources.packed import file_records, read_errors
@@ -87,6 +88,7 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
     readable = ~F.col("is_binary") & ~F.col("unreadable")
     is_manifest = is_file & path.isin(*dependencies.PARSERS)
     is_readme = is_file & path.isin(*K.README_NAMES)
+    unread_pyproject = (path == "pyproject.toml") & F.col("text").isNull()
 
     marked = files.withColumns({
         "scanned": scanned,
@@ -109,7 +111,8 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
     if not options.enable_secrets:
         hits = F.slice(hits, 1, 0)
     manifest = F.struct(*[c.alias(n) for n, c in dependencies.manifest_facts(path, text).items()])
-    readme = F.struct(*docs.readme_facts(text))
+    # a directory or what stands below it also shows that there is a README, of no length
+    readme = F.struct(*docs.readme_facts(F.when(is_readme, text)))
     copied = F.col("scanned") & is_duplicate_candidate(options.duplicate_max_bytes)
     narrow = counted.select(
         *[c for c in FILES.fieldNames() if c != "content"],
@@ -118,8 +121,8 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
         *code.LINE_COUNTS,
         F.when(copied, content_sha256(content)).alias("digest"),
         hits.alias("hits"),
-        F.when(is_manifest & ~_broken(), manifest).alias("manifest"),
-        F.when(is_readme & ~_broken(), readme).alias("readme_facts"),
+        F.when(is_manifest & ~_broken() & ~unread_pyproject, manifest).alias("manifest"),
+        F.when(exists_at(K.README_NAMES), readme).alias("readme_facts"),
         F.when(F.col("extension") == ".py", F.col("code_text")).alias("py_text"),
     )
     # The generator fences the projection above: without it the optimizer computes
@@ -179,7 +182,7 @@ def scan(files: DataFrame, repos: DataFrame | None = None, options: ScanOptions
         dependencies.lockfiles(features),
     )
     candidates = features.filter(F.col("readme_facts").isNotNull()).select(
-        "repo_id", F.col("path").alias("readme"), "readme_facts.*"
+        "repo_id", F.substring_index("path", "/", 1).alias("readme"), "readme_facts.*"
     )
     doc_scores = docs.readme_scores(candidates, repos)
     groups = hygiene.duplicate_groups(views.digests)

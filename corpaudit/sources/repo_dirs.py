@@ -1,7 +1,7 @@
 """Directory trees on a file system every executor can see, as a Spark source.
 
     spark.dataSource.register(RepoDirs)
-    raw = spark.read.format("repo_dirs").option("roots", "/corpus/a,/corpus/b").load()
+    raw = spark.read.format("repo_dirs").option("roots", '{"a": "/corpus/a", "b": "/corpus/b"}').load()
 
 Spark's own binary file source skips names that start with "." or "_", which
 are among the most telling files of a repository.
@@ -9,9 +9,10 @@ are among the most telling files of a repository.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from corpaudit import constants as K
 from corpaudit.schemas import RAW_FILES
 
-__all__ = ["RepoDirs", "read_repo_dirs"]
+__all__ = ["RepoDirs", "read_repo_dirs", "repo_ids"]
 
 # Executors need not have this package installed.
 for _module in (sys.modules[__name__], K):
@@ -40,13 +41,14 @@ _BATCH_ROWS = 4096
 
 @dataclass
 class _Subtree(InputPartition):
+    repo: str
     root: str
     below: str  # "" is the root itself, taken without its directories
     recursive: bool
 
 
 class RepoDirs(DataSource):
-    """Options: roots (comma-separated), ignored_dirs, max_file_size_mb, include_hidden."""
+    """Options: roots (JSON: repository id to directory), ignored_dirs, max_file_size_mb, include_hidden."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,7 +63,7 @@ class RepoDirs(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.roots = [r.strip() for r in options["roots"].split(",") if r.strip()]
+        self.roots = json.loads(options["roots"])
         names = options.get("ignored_dirs")
         self.ignored = frozenset(names.split(",") if names is not None else K.IGNORED_DIRS)
         limit = float(options.get("max_file_size_mb", K.MAX_FILE_SIZE_MB))
@@ -71,14 +73,14 @@ class _Reader(DataSourceReader):
     def partitions(self):
         """One task per first-level directory, so a huge repository is split."""
         parts = []
-        for root in self.roots:
+        for repo, root in self.roots.items():
             root = os.path.realpath(root)
-            parts.append(_Subtree(root, "", False))
+            parts.append(_Subtree(repo, root, "", False))
             try:
                 entries = list(os.scandir(root))
             except OSError:
                 continue  # the root's own task reports it
-            parts += [_Subtree(root, e.name, True) for e in entries if self._enter(e)]
+            parts += [_Subtree(repo, root, e.name, True) for e in entries if self._enter(e)]
         return parts
 
     def _enter(self, entry: os.DirEntry) -> bool:
@@ -99,7 +101,7 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     def _walk(self, part: _Subtree) -> Iterator[dict]:
-        repo = os.path.basename(part.root) or part.root
+        repo = part.repo
         pending, seen = [part.below], set()
         while pending:
             below = pending.pop()
@@ -131,7 +133,8 @@ class _Reader(DataSourceReader):
         except OSError as failure:
             return self._row(repo, path, "file", 0, str(failure), None)
         content = None
-        if size <= self.limit:
+        # root manifests and READMEs are read at any size
+        if size <= self.limit or path in K.MANIFEST_NAMES or path in K.README_NAMES:
             try:
                 with open(entry.path, "rb") as handle:
                     content = handle.read()
@@ -147,9 +150,19 @@ class _Reader(DataSourceReader):
         }
 
 
-def read_repo_dirs(spark: SparkSession, roots: list[str], **options) -> DataFrame:
+def repo_ids(roots: Sequence[str] | Mapping[str, str]) -> dict[str, str]:
+    """Repository id to directory; without given ids the directory's name, or its whole path where
+    two directories share the name."""
+    if isinstance(roots, Mapping):
+        return dict(roots)
+    paths = list(dict.fromkeys(os.path.realpath(r) for r in roots))
+    names = [os.path.basename(p) or p for p in paths]
+    return {n if names.count(n) == 1 else p: p for n, p in zip(names, paths)}
+
+
+def read_repo_dirs(spark: SparkSession, roots: Sequence[str] | Mapping[str, str], **options) -> DataFrame:
     spark.dataSource.register(RepoDirs)
-    reader = spark.read.format("repo_dirs").option("roots", ",".join(roots))
+    reader = spark.read.format("repo_dirs").option("roots", json.dumps(repo_ids(roots)))
     for key, value in options.items():
         joined = value if isinstance(value, (str, int, float, bool)) else ",".join(value)
         reader = reader.option(key, str(joined))

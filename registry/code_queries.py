@@ -72,7 +72,7 @@ def long_line_findings(spark, sf):
 
 # --- secrets ------------------------------------------------------------------
 
-# rule, severity, RE2 pattern, group of the value
+# Fixed values of the rules: rule, severity, RE2 pattern, group of the value
 _RULES = (
     ("SEC-AWS-KEY", "CRITICAL", r"\bAKIA[0-9A-Z]{16}\b", 0),
     ("SEC-STRIPE-KEY", "HIGH", r"\b(sk|pk|rk)_(live|test)_[A-Za-z0-9]{16,}\b", 0),

@@ -258,6 +258,7 @@ def broken_symlinks(spark, sf):
 
 # --- technologies -------------------------------------------------------------
 
+# Names that show a technology or a file that should be there
 _ROOT = {
     "Python": ("pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "Pipfile"),
     "Node.js": ("package.json",), "Rust": ("Cargo.toml",), "Go": ("go.mod",), "Java (Maven)": ("pom.xml",),

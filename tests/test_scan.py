@@ -139,3 +139,25 @@ def test_work_folder_is_the_clusters():
 def test_stored_tables_keep_their_schema(spark):
     table = spark.range(3).selectExpr("id", "array(named_struct('a', id)) AS nested")
     assert sorted(stored(table, "t").collect()) == sorted(table.collect())
+
+
+def test_scan_agrees_with_its_operators(spark):
+    from corpaudit.operators import dependencies, docs
+    from corpaudit.schemas import RAW_FILES
+    from corpaudit.sources import file_records
+
+    twice = '{"dependencies": {"a": "1", "b": "2", "a": "3"}}'
+    raw = spark.createDataFrame([
+        ("r", "pyproject.toml", "file", 10, True, "denied", None), ("r", "README.md", "dir", 0, False, None, None),
+        ("r", "package.json", "file", len(twice), False, None, twice.encode()), ("r", "locked", "dir", 0, True, "denied", None),
+    ], RAW_FILES)
+    files = file_records(raw)
+    tables = scan(files)
+    found = {r.id for r in tables.findings.collect()}
+    assert "DEP-NOLOCK-python" not in found and "DEP-NOLOCK-node" in found
+    assert {"DOC-001", "DOC-002"} <= found and "DOC-000" not in found
+    alone = docs.readme_findings(docs.readme_scores(docs.readme_candidates(files), tables.repos))
+    assert {r.id for r in alone.collect()} == {i for i in found if i.startswith("DOC-")}
+    declared = dependencies.manifest_summary(dependencies.manifests(files), dependencies.lockfiles(files)).collect()
+    assert [(r.manifest_file, r.runtime, r.duplicates) for r in declared] == [("package.json", ["a", "b"], [])]
+    assert [r.path for r in tables.errors.collect()] == ["locked"]

@@ -96,3 +96,16 @@ def test_packed_round_trip_prunes_columns(spark, tmp_path):
 def test_error_limit(spark):
     errors = spark.createDataFrame([("r", f"p{i:02d}", "e") for i in range(15)], "repo_id string, path string, error string")
     assert sorted(column(error_limit(errors), "path")) == [f"p{i:02d}" for i in range(10)]
+
+
+def test_roots_of_equal_name_stay_apart_and_large_manifests_are_read(spark, tmp_path):
+    for parent in ("x", "y"):
+        (tmp_path / parent / "app").mkdir(parents=True)
+        (tmp_path / parent / "app" / "main.py").write_text(parent)
+    (tmp_path / "x" / "app" / "go.mod").write_text("module a\n" + "// long\n" * 400)
+    roots = [str(tmp_path / p / "app") for p in ("x", "y")]
+    found = read_repo_dirs(spark, roots, max_file_size_mb=0.001).filter("kind = 'file'").collect()
+    assert {(r.repo_id, r.path): r.content is not None for r in found} == {
+        (roots[0], "main.py"): True, (roots[0], "go.mod"): True, (roots[1], "main.py"): True}
+    named = read_repo_dirs(spark, {"a": roots[0], "b": roots[1]}).select("repo_id").distinct().collect()
+    assert sorted(r.repo_id for r in named) == ["a", "b"]
