@@ -22,14 +22,22 @@ def with_ctes(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names) + "\n"
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Narrow rows over all cores, if their files have fewer splits than there are cores.
+
+    Small tables are one row group, and the texts made from their rows are not small. Tables of more
+    splits stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _rows(base: DataFrame, **columns: Column) -> DataFrame:
-    """Base rows to the named columns, spread over the cores.
+    """Base rows to the named columns.
 
-    The driver tables are small files of one row group, the texts made from
-    them are not small; the base rows are spread first, as they are narrow. The
-    generator keeps filters on the results from repeating the expressions.
+    The generator keeps filters on the results from repeating the expressions.
     """
-    spread = base.repartition(base.sparkSession.sparkContext.defaultParallelism)
+    spread = spread_out(base)
     made = F.struct(*[c.alias(n) for n, c in columns.items()])
     return spread.select(F.explode(F.array(made)).alias("made")).select("made.*")
 
@@ -293,8 +301,8 @@ def manifest_files(spark, folder, *names: str, locks: bool = False) -> DataFrame
         present = F.col("o_orderkey") % 3 == 0
         files += [F.when(present, F.struct(F.lit(n).alias("path"), F.lit("lock").alias("text"))) for n in LOCKS]
     rows = (
-        table(spark, folder, "orders")
-        .select("o_orderkey", "o_custkey", F.lit("\n").alias("nl"))
+        spread_out(table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+        .withColumn("nl", F.lit("\n"))
         .select(F.expr("'r' || o_orderkey").alias("repo_id"), F.explode(F.array_compact(F.array(*files))).alias("f"))
         .select("repo_id", "f.path", "f.text")
     )
@@ -342,7 +350,7 @@ _README_TEXT = """
 CASE WHEN p_size % 3 = 0 THEN 'USAGE: run. ' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN 'Licence terms. ' ELSE '' END ||
 CASE WHEN p_size % 7 = 0 THEN 'Demo and options. ' ELSE '' END || repeat('lorem ', cast(p_size * 8 as int))"""
 _PATH_ERROR = """
-CASE WHEN p_size % 19 = 0 THEN 'broken symlink' WHEN p_size % 23 = 0 THEN 'permission denied' END"""
+CASE WHEN p_partkey % 8 = 7 AND p_size % 12 = 0 THEN 'not entered' WHEN p_size % 19 = 0 THEN 'broken symlink' WHEN p_size % 23 = 0 THEN 'permission denied' END"""
 _PATH_KIND = "CASE WHEN p_partkey % 8 = 7 AND p_size % 6 = 0 THEN 'dir' ELSE 'file' END"
 
 

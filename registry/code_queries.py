@@ -141,6 +141,17 @@ def custom_secret_rule(spark, sf):
     return matches.select("repo_id", "path", "line", "evidence")
 
 
+_IMPORT = secrets.SecretRule("IMPORT", "LOW", r"^(import m[0-9]{3,})$", "Import", "None.", group=1)
+
+
+@query(with_ctes("code_files", "code_lines") + """
+SELECT repo_id, path, line_no::INT AS line, 'impo' || repeat('*', least(16, length(line) - 4)) AS evidence
+FROM code_lines WHERE regexp_full_match(line, 'import m[0-9]{3,}')""")
+def anchored_secret_rule(spark, sf):
+    matches = secrets.secret_matches(B.code_files(spark, sf), rules=[_IMPORT])
+    return matches.select("repo_id", "path", "line", "evidence")
+
+
 @query(with_ctes("path_files") + """
 SELECT repo_id, 'SEC-ENV-' || lpad(CAST(CAST(('0x' || substr(sha256(path), 1, 8)) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS id, path
 FROM path_files WHERE lower(name) LIKE '.env%' AND kind = 'file' AND NOT unreadable""")
