@@ -15,7 +15,7 @@ from corpaudit.llm.common import in_arrow, mix, text_slices, words_of
 
 UNKNOWN = "und"
 #: Lengths of the character n-grams; a word's borders count as one character each.
-LENGTHS = (2, 3)
+LENGTHS = (2, 3, 4)
 #: An n-gram enters a language's filter if it makes up this share of the language's n-grams. So at
 #: most 1 / LEAST_SHARE n-grams of a language can enter, whatever the corpus holds.
 LEAST_SHARE = 2e-5
