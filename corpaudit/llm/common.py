@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -18,7 +20,7 @@ from pyspark.sql import Window as W
 from corpaudit.storage import stored
 
 #: Text handled at once by the Python side, so that one Arrow batch of long texts stays small there.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Rows numbered by one window task; hot keys are cut into slices of about this size.
 SLICE_ROWS = 100_000
 #: Fewest slices of a key that is numbered.
@@ -52,9 +54,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`rows.mapInArrow` with this package on the executors."""
+    """`rows.mapInArrow` with this package on the executors.
+
+    Python workers live on after a task; each gives back the memory that it has freed, or stages with
+    different needs would add up in an executor.
+    """
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def fold_mod(doc_id: Column, parts: int) -> Column:

@@ -22,7 +22,7 @@ from corpaudit.llm.common import components, in_arrow, mix, stored, text_slices,
 #: Ratio of neighbouring size bands.
 BAND = 1.3
 #: Keys that a task collects before it hands them over, and keys of one part of the key space.
-TASK_KEYS, PART_KEYS, LEAST_PARTS = 1_500_000, 1_000_000, 256
+TASK_KEYS, PART_KEYS, LEAST_PARTS = 1_000_000, 1_000_000, 256
 #: Texts with the same key in one task from which on they are handed over as a list.
 TOGETHER = 16
 #: Nodes in one list; texts measured against one copy of a pivot.

@@ -84,7 +84,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): n-grams of all texts by their language. Each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, size=4 << 20):
+        for batch in text_slices(batches, size=2 << 20):
             bounds, codes, words = words_of(batch.column("text"))
             owners, hashes = grams(words)
             langs = batch.column("lang").to_pylist()
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, size=4 << 20):
+        for batch in text_slices(batches, size=2 << 20):
             bounds, codes, words = words_of(batch.column("text"))
             owners, hashes = grams(words)
             names = filters.names if filters else ()
