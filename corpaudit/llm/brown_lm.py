@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 
 from corpaudit.llm.common import in_arrow, stored, text_slices, word_hashes, words_of
 
-#: Most frequent words that exchange clustering moves between the classes.
-CLUSTERED = 1024
-#: Word classes besides the class of all other words and that of the end.
+#: Most frequent words, whose classes by exchange on the driver are the start for the whole vocabulary.
+SEEDS = 1024
+#: Word classes besides the class of words not seen in training and that of the end.
 CLASSES = 32
+UNSEEN, END = CLASSES, CLASSES + 1
+TOTAL = CLASSES + 2
 #: Most exchange rounds; clustering ends before when no word moves.
 ROUNDS = 12
+#: Rounds over the whole vocabulary end when the likelihood's gain over single classes rises by less.
+LEAST_RISE = 0.01
+#: Entries of a word's neighbour counts: class before, TOTAL + class after, itself after itself.
+LOOP = 2 * TOTAL
+ENTRIES = 2 * TOTAL + 1
+#: Neighbour pairs handled at once, and words whose classes one task chooses, about.
+PAIRS, WORDS = 1 << 20, 30_000
 #: Most frequent words whose counts every task holds; other words' counts are joined.
 HELD = 1 << 18
 #: Added to every count.
@@ -61,25 +70,62 @@ def _chained(codes: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarra
     return previous, own
 
 
-def pair_counts(docs: DataFrame, clustered: np.ndarray) -> np.ndarray:
-    """Counts of neighbours among the clustered words, other words and text ends.
+def neighbours(docs: DataFrame, held: np.ndarray) -> DataFrame:
+    """(a, b, n): neighbouring words of all texts, counted within slices.
 
-    At most (words + 2)^2 sums reach the driver, whatever the corpus holds.
+    A held word is named by its place, the end by the place after the last, all others by their hash.
     """
-    size = len(clustered) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
         for batch in text_slices(batches):
             bounds, codes, words = words_of(batch.column("text"))
-            number = _numbers(words, clustered)
-            number[number < 0] = size - 2
-            previous, own = _chained(number[codes], bounds, size - 1)
-            total += np.bincount(previous * size + own, minlength=size * size)
+            place = _numbers(words, held)
+            names = np.append(np.where(place < 0, word_hashes(words).view(np.int64), place), len(held))
+            previous, own = _chained(codes, bounds, len(words))
+            pairs, n = np.unique(previous * len(names) + own, return_counts=True)
+            first, second = np.divmod(pairs, len(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[first]), pa.array(names[second]), pa.array(n.astype(np.int64))], ["a", "b", "n"]
+            )
+
+    return in_arrow(docs.select("text"), run, "a long, b long, n long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Columns (a, b, n) in blocks of about PAIRS rows."""
+    some, rows = [], 0
+    for batch in batches:
+        some.append([batch.column(c).to_numpy() for c in ("a", "b", "n")])
+        rows += batch.num_rows
+        if rows >= PAIRS:
+            yield tuple(map(np.concatenate, zip(*some)))
+            some, rows = [], 0
+    if rows:
+        yield tuple(map(np.concatenate, zip(*some)))
+
+
+def seed_pairs(edges: DataFrame, seeds: np.ndarray, end: int) -> np.ndarray:
+    """Counts of neighbours among the seeds (sorted places), other words and text ends.
+
+    At most (seeds + 2)^2 sums reach the driver; they only give the rounds over all words their start.
+    """
+    size = len(seeds) + 2
+
+    def number(names: np.ndarray) -> np.ndarray:
+        out = np.full(len(names), size - 2, np.int64)
+        if len(seeds):
+            at = np.minimum(np.searchsorted(seeds, names), len(seeds) - 1)
+            out = np.where(seeds[at] == names, at, out)
+        return np.where(names == end, size - 1, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for a, b, n in _blocks(batches):
+            total += np.bincount(number(a) * size + number(b), n, size * size).astype(np.int64)
         pairs = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], ["pair", "n"])
 
-    sums = in_arrow(docs.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_arrow(edges, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)
     out[sums["pair"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out.reshape(size, size)
@@ -138,6 +184,169 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return own
 
 
+def _summed(keys: np.ndarray, entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Distinct keys, and for each the list of n * ENTRIES + entry with equal entries summed."""
+    names, at = np.unique(keys, return_inverse=True)
+    both, at = np.unique(at * ENTRIES + entries, return_inverse=True)
+    sums = np.bincount(at, n, len(both)).astype(np.int64)
+    offsets = np.searchsorted(both, np.arange(len(names) + 1) * ENTRIES).astype(np.int32)
+    return names, pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums * ENTRIES + both % ENTRIES))
+
+
+_NEAR = "word long, n long, class int, near array<long>"
+
+
+def _near(edges: DataFrame, classes: DataFrame, held_classes: np.ndarray, parts: int) -> DataFrame:
+    """(word, n, class, near): counts of every word by the classes of its neighbours, written.
+
+    Rows without a word hold the sums of a class. Tasks know the classes of the held words and the
+    end; those of all other neighbours come by a join. Every slice of pairs sends one row for a word, so
+    frequent words weigh no more than others.
+    """
+    last = len(held_classes) - 1
+
+    def by_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, n in _blocks(batches):
+            left, right, loop = (a >= 0) & (a <= last), (b >= 0) & (b <= last), a == b
+            words = np.concatenate([b[left], a[right], a[loop]])
+            entries = np.concatenate(
+                [held_classes[a[left]], TOTAL + held_classes[b[right]], np.full(loop.sum(), LOOP, np.int64)]
+            )
+            words, near = _summed(words, entries, np.concatenate([n[left], n[right], n[loop]]))
+            yield pa.RecordBatch.from_arrays([pa.array(words), near], ["word", "near"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, keys, entries, n = [], [], [], []
+        for batch in batches:
+            word, lists = batch.column("word").to_numpy(), batch.column("near")
+            items = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            keys.append(np.repeat(word, sizes))
+            entries.append(items % ENTRIES)
+            n.append(items // ENTRIES)
+            own = batch.column("class").is_valid().to_numpy(zero_copy_only=False)
+            words.append((word[own], *(batch.column(c).filter(pa.array(own)).to_numpy() for c in ("n", "class"))))
+        if not words:
+            return
+        word, count, own = (np.concatenate(c) for c in zip(*words))
+        order = np.argsort(word)
+        word, count, own = word[order], count[order], own[order].astype(np.int64)
+        keys, entries, n = np.concatenate(keys), np.concatenate(entries), np.concatenate(n)
+        names, near = _summed(keys, entries, n)  # every word has neighbours, if only ends
+        at = np.searchsorted(word, names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names), pa.array(count[at]), pa.array(own[at].astype(np.int32)), near], ["word", "n", "class", "near"]
+        )
+        ids, sums = _summed(own[np.searchsorted(word, keys)], entries, n)
+        nothing = pa.nulls(len(ids), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [nothing, nothing, pa.array(ids.astype(np.int32)), sums], ["word", "n", "class", "near"]
+        )
+
+    inside = lambda c: F.col(c).between(0, last)
+    after = edges.filter(~inside("b")).select(F.col("b").alias("other"), F.col("a").alias("word"), "n", F.lit(TOTAL).alias("side"))
+    before = edges.filter(~inside("a")).select(F.col("a").alias("other"), F.col("b").alias("word"), "n", F.lit(0).alias("side"))
+    rare = classes.filter(~inside("word")).select(F.col("word").alias("other"), "class")
+    joined = after.union(before).join(rare, "other")
+    far = joined.groupBy("word", (F.col("side") + F.col("class")).alias("entry")).agg(F.sum("n").alias("n"))
+    near = in_arrow(edges, by_held, "word long, near array<long>").union(
+        far.select("word", F.array(F.col("n") * ENTRIES + F.col("entry")))
+    )
+    rows = classes.select("word", "n", "class", F.array().cast("array<long>").alias("near")).union(
+        near.select("word", F.lit(None).cast("long"), F.lit(None).cast("int"), "near")
+    )
+    return stored(in_arrow(rows.repartition(parts, "word"), whole, _NEAR), "near")
+
+
+def best_classes(here: np.ndarray, near: pa.ListArray, table: np.ndarray) -> np.ndarray:
+    """The class of every word in which the likelihood is highest, all other words staying.
+
+    The change of sum n log n is that of `exchange`, summed over the classes that a word meets.
+    """
+    size, every = len(here), np.arange(CLASSES)
+    items = near.flatten().to_numpy()
+    word = np.repeat(np.arange(size), np.diff(near.offsets.to_numpy()))
+    counts = np.bincount(word * ENTRIES + items % ENTRIES, items // ENTRIES, size * ENTRIES).reshape(size, ENTRIES)
+    before, after, loop = counts[:, :TOTAL].copy(), counts[:, TOTAL:LOOP].copy(), counts[:, LOOP]
+    incoming, outgoing = before.sum(axis=1), after.sum(axis=1)
+    rows = np.arange(size)
+    before[rows, here] -= loop
+    after[rows, here] -= loop
+    is_here = every == here[:, None]
+    # the words' classes without them: corners, then rows and columns where the word has counts
+    corner = table[every, every] - is_here * (after[rows, here] + before[rows, here] + loop)[:, None]
+    change = _gain(corner + after[:, every] + before[:, every] + loop[:, None]) + _gain(corner)
+    change -= _gain(corner + after[:, every]) + _gain(corner + before[:, every])
+    for own, other, lines in ((after, before, table), (before, after, table.T)):
+        at, k = np.nonzero(own)
+        n = own[at, k][:, None]
+        base = lines[every[None, :], k[:, None]] - is_here[at] * n
+        base -= (k == here[at])[:, None] * (other[at][:, every] + is_here[at] * loop[at][:, None])
+        gains = _gain(base + n) - _gain(base)
+        cuts = np.searchsorted(at, np.arange(size))
+        some = np.flatnonzero(np.bincount(at, minlength=size))
+        if len(some):
+            change[some] += np.add.reduceat(gains, cuts[some], axis=0)
+    for total, sums in ((outgoing, table.sum(axis=1)), (incoming, table.sum(axis=0))):
+        base = sums[every] - is_here * total[:, None]
+        change -= _gain(base + total[:, None]) - _gain(base)
+    best = change.argmax(axis=1)
+    stays = (here < CLASSES) & (change[rows, best] <= change[rows, np.minimum(here, CLASSES - 1)] + 1e-9)
+    return np.where(stays, here, best)
+
+
+def _moved(near: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, n, class) with the best class of every word against `table`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                here = batch.column("class").to_numpy().astype(np.int64)
+                best = best_classes(here, batch.column("near"), table)
+                best = np.where(here == END, END, best).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("word"), batch.column("n"), pa.array(best)], ["word", "n", "class"]
+                )
+
+    return in_arrow(near.filter("word is not null"), run, "word long, n long, class int")
+
+
+def _class_table(near: DataFrame) -> np.ndarray:
+    """Counts of class after class; at most TOTAL rows of a task reach the driver."""
+    sums = near.filter("word is null").select("class", F.explode("near").alias("e")).groupBy(
+        "class", F.pmod("e", F.lit(ENTRIES)).alias("entry")
+    ).agg(F.sum(F.floor(F.col("e") / ENTRIES)).alias("n")).collect()
+    table = np.zeros((TOTAL, TOTAL))
+    for row in sums:
+        if TOTAL <= row["entry"] < LOOP:
+            table[row["class"], row["entry"] - TOTAL] = row["n"]
+    return table
+
+
+def cluster(edges: DataFrame, classes: DataFrame, end: int, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(classes of all words, those of the held words and the end, class table) by exchange rounds.
+
+    In a round every word chooses its best class against the table before the round. The round
+    with the highest likelihood stays.
+    """
+    best, most = None, 0.0
+    for turn in range(ROUNDS + 1):
+        held = classes.filter(F.col("word").between(0, end)).select("word", "class").toPandas()
+        held_classes = np.full(end + 1, UNSEEN, np.int64)
+        held_classes[held["word"].to_numpy(np.int64)] = held["class"].to_numpy(np.int64)
+        near = _near(edges, classes, held_classes, max(12, words // WORDS))
+        table = _class_table(near)
+        gain = float(_gain(table).sum() - _gain(table.sum(axis=0)).sum() - _gain(table.sum(axis=1)).sum() + _gain(table.sum()))
+        rises = turn < 2 or gain > most + LEAST_RISE * abs(most)
+        if turn < 2 or gain > most:  # the start leaves most words without a class of their own
+            best, most = (classes, held_classes, table), gain
+        if not rises or not words:
+            break
+        classes = stored(_moved(near, table), "classes")
+    return best
+
+
 @dataclass(frozen=True)
 class ClassModel:
     tokens: int  # of training, ends included
@@ -145,12 +354,10 @@ class ClassModel:
     ends: int
     held: np.ndarray  # sorted hashes of the most frequent words
     held_counts: np.ndarray
-    clustered: np.ndarray  # sorted hashes
-    classes: np.ndarray  # of the clustered words, of other words, of the end
+    held_classes: np.ndarray  # of those words; of the end
+    rare: DataFrame  # (word, n, class) of all other words
     log_transition: np.ndarray
-    log_emission: np.ndarray  # of the clustered words; of the end
-    other_tokens: int
-    other_distinct: int
+    log_class: np.ndarray  # of the tokens of every class
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,103 +387,145 @@ def train(counts: DataFrame, docs: DataFrame) -> ClassModel:
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     held, held_counts = most_frequent(counts, HELD)
-    order = np.lexsort((held, -held_counts))
-    clustered = np.sort(held[order[:CLUSTERED]])
-    pairs = pair_counts(docs, clustered)
-    classes = exchange(pairs, CLASSES)
-    table = np.zeros((CLASSES + 2, CLASSES + 2))
-    np.add.at(table, (classes[:, None], classes[None, :]), pairs)
-    table += DISCOUNT
-    transition = np.log10(table / table.sum(axis=1, keepdims=True))
-    own = pairs.sum(axis=0).astype(float)
-    of_class = np.bincount(classes, own, minlength=CLASSES + 2)
-    emission = np.log10(np.maximum(own, 1) / np.maximum(of_class[classes], 1))
-    emission[-2:] = 0.0
+    end = len(held)
+    edges = stored(neighbours(docs, held), "edges")
+    seeds = np.sort(np.lexsort((held, -held_counts))[:SEEDS])
+    of_seeds = exchange(seed_pairs(edges, seeds, end), CLASSES)[:-2]
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.full(end + 1, UNSEEN, np.int32)
+        classes[seeds] = of_seeds
+        for batch in batches:
+            word = batch.column("word").to_numpy()
+            at = np.minimum(np.searchsorted(held, word.view(np.uint64)), max(0, end - 1))
+            is_held = held[at] == word.view(np.uint64) if end else np.zeros(len(word), bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.where(is_held, at, word)), batch.column("n"),
+                    pa.array(np.where(is_held, classes[at], np.int32(UNSEEN)).astype(np.int32)),
+                ],
+                ["word", "n", "class"],
+            )
+
+    schema = "word long, n long, class int"
+    last = docs.sparkSession.range(1).selectExpr(f"{end}L as word", f"{ends}L as n", f"{END} as class")
+    first = stored(in_arrow(counts, start, schema).union(last), "classes")
+    classes, held_classes, table = cluster(edges, first, end, int(sums["v"]))
+    tokens = table.sum(axis=0)
+    table = table + DISCOUNT
     return ClassModel(
         tokens=int(sums["n"]) + ends, distinct=int(sums["v"]) + (ends > 0), ends=ends, held=held,
-        held_counts=held_counts, clustered=clustered, classes=classes, log_transition=transition,
-        log_emission=emission, other_tokens=int(pairs[:, -2].sum()),
-        other_distinct=max(0, int(sums["v"]) - len(clustered)),
+        held_counts=held_counts, held_classes=held_classes, rare=classes.filter(~F.col("word").between(0, end)),
+        log_transition=np.log10(table / table.sum(axis=1, keepdims=True)), log_class=np.log10(np.maximum(tokens, 1)),
     )
 
 
 _PARTS = (
-    "row long, doc_id long, n_tokens long, known long, held_base double, model double, others long, "
-    "rare array<struct<word: long, n: int>>"
+    "row long, doc_id long, n_tokens long, known long, held_base double, model double, "
+    "rare array<struct<word: long, times: int, near: array<int>>>, pairs array<struct<a: long, b: long>>"
 )
 
 
-def score(docs: DataFrame, counts: DataFrame, model: ClassModel) -> DataFrame:
+def _looked_up(values: np.ndarray, place: Column) -> Column:
+    """values[place]; the values are one constant of the query."""
+    constant = F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast("array<double>")
+    return F.get(constant, place)
+
+
+def _grouped(items: np.ndarray, size: int) -> pa.Array:
+    """Offsets of the lists 0 to size - 1, whose sorted places are `items`."""
+    return pa.array(np.searchsorted(items, np.arange(size + 1)).astype(np.int32))
+
+
+def score(docs: DataFrame, model: ClassModel) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every text (null: empty).
 
-    Tasks hold the counts of the most frequent words; the counts of all others come by a join, after
+    Tasks hold counts and classes of the most frequent words; those of all others come by a join, after
     which each text needs one more sum. Row numbers are written before they are joined, so a lost
-    task can't change them.
+    task can't change them. A word not seen in training is the only one of its class.
     """
     floor = np.log10(model.tokens + DISCOUNT * (model.distinct + 1)) if model.tokens else 0.0
     held_logs = np.log10(model.held_counts + DISCOUNT)
+    held_emits = np.log10(np.maximum(model.held_counts, 1)) - model.log_class[model.held_classes[:-1]]
     end_log = float(np.log10(model.ends + DISCOUNT))
-    end = len(model.clustered) + 1
+    held, held_classes, log_transition, has_ends = model.held, model.held_classes, model.log_transition, model.ends > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches):
             bounds, codes, words = words_of(batch.column("text"))
             n = len(bounds) - 1
-            hashes = word_hashes(words)
-            place = _numbers(words, model.held)
+            hashes = word_hashes(words).view(np.int64)
+            place = _numbers(words, held)
             is_held = place >= 0
-            logs = np.where(is_held, held_logs[np.maximum(place, 0)], 0.0) if len(held_logs) else np.zeros(len(words))
-            number = _numbers(words, model.clustered)
-            others = number < 0
-            number[others] = end - 1
-            previous, own = _chained(number[codes], bounds, end)
-            steps = model.log_transition[model.classes[previous], model.classes[own]] + model.log_emission[own]
-            # a held word outside the clusters emits by its count, as a joined one does later
-            running = np.zeros(len(codes) + 1)
-            np.cumsum(logs[codes], out=running[1:])
-            spread = np.zeros(len(codes) + 1)
-            np.cumsum((logs * others)[codes], out=spread[1:])
+            at = np.maximum(place, 0)
+            of_held = lambda values: np.where(is_held, values[at], 0.0) if len(held) else np.zeros(len(words))
+            classes = np.where(is_held, held_classes[at], -1)
+            previous, own = _chained(classes[codes], bounds, END)
+            steps = np.where((previous >= 0) & (own >= 0), log_transition[previous, own], 0.0)
+            summed = lambda values: np.concatenate([[0.0], np.cumsum(values)])
+            running, emits = summed(of_held(held_logs)[codes]), summed(of_held(held_emits)[codes])
             known = np.concatenate([[0], np.cumsum(is_held[codes])])
-            other = np.concatenate([[0], np.cumsum(others[codes])])
-            chain = np.concatenate([[0.0], np.cumsum(steps)])
+            chain = summed(steps)
             ends = bounds + np.arange(n + 1)
             part = lambda sums, at: sums[at[1:]] - sums[at[:-1]]
             owner = np.repeat(np.arange(n), np.diff(bounds))
-            far = ~is_held[codes]
-            key, times = np.unique(owner[far] * np.int64(max(1, len(words))) + codes[far], return_counts=True)
+            # words that are not held: their classes before and after where these are held
+            far = np.flatnonzero(~is_held[codes])
+            key, item, times = np.unique(
+                owner[far] * np.int64(max(1, len(words))) + codes[far], return_inverse=True, return_counts=True
+            )
             owners, word = np.divmod(key, max(1, len(words)))
-            offsets = np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)
+            spot = far + owner[far]  # among the steps, where every text has one more
+            left, right = previous[spot], own[spot + 1]
+            items = np.concatenate([item[left >= 0], item[right >= 0]])
+            near = np.concatenate([left[left >= 0], TOTAL + right[right >= 0]])
+            order = np.argsort(items, kind="stable")
+            near_lists = pa.ListArray.from_arrays(_grouped(items[order], len(key)), pa.array(near[order].astype(np.int32)))
             rare = pa.ListArray.from_arrays(
-                pa.array(offsets),
+                _grouped(owners, n),
+                pa.StructArray.from_arrays(
+                    [pa.array(hashes[word]), pa.array(times.astype(np.int32)), near_lists], ["word", "times", "near"]
+                ),
+            )
+            second = far[left < 0]
+            pairs = pa.ListArray.from_arrays(
+                _grouped(owner[second], n),
                 pa.StructArray.from_arrays(
-                    [pa.array(hashes[word].view(np.int64)), pa.array(times.astype(np.int32))], ["word", "n"]
+                    [pa.array(hashes[codes[second - 1]]), pa.array(hashes[codes[second]])], ["a", "b"]
                 ),
             )
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.diff(bounds) + 1),
-                    pa.array(part(known, bounds) + (model.ends > 0)), pa.array(part(running, bounds) + end_log),
-                    pa.array(part(chain, ends) + part(spread, bounds)), pa.array(part(other, bounds)), rare,
+                    pa.array(part(known, bounds) + has_ends), pa.array(part(running, bounds) + end_log),
+                    pa.array(part(chain, ends) + part(emits, bounds)), rare, pairs,
                 ],
-                ["row", "doc_id", "n_tokens", "known", "held_base", "model", "others", "rare"],
+                ["row", "doc_id", "n_tokens", "known", "held_base", "model", "rare", "pairs"],
             )
             row += n
 
     parts = stored(in_arrow(docs.select("doc_id", "text"), run, _PARTS), "parts")
-    rare = parts.select("row", F.inline("rare"))
-    found = rare.withColumnRenamed("n", "times").join(counts, "word", "left")
+    found = parts.select("row", F.inline("rare")).join(model.rare, "word", "left")
+    own = F.coalesce("class", F.lit(UNSEEN))
     log: Column = F.log10(F.coalesce("n", F.lit(0)) + F.lit(DISCOUNT)) * F.col("times")
+    emits = F.when(F.col("n").isNotNull(), (F.log10("n") - _looked_up(model.log_class, own)) * F.col("times")).otherwise(0.0)
+    around = np.hstack([model.log_transition.T, model.log_transition])  # of a class: before it, after it
+    steps = F.aggregate("near", F.lit(0.0), lambda done, e: done + _looked_up(around, own * LOOP + e))
     sums = found.groupBy("row").agg(
-        F.sum(log).alias("far"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("far_known")
+        F.sum(log).alias("far"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("far_known"),
+        F.sum(emits + steps).alias("far_model"),
     )
-    # every other word emits (c + d) / (N_other + d (V_other + 1)); the end of a text is sure to be an end
-    share = float(np.log10(model.other_tokens + DISCOUNT * (model.other_distinct + 1)))
-    far, far_known = F.coalesce("far", F.lit(0.0)), F.coalesce("far_known", F.lit(0))
-    return parts.drop("rare").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + far_known).alias("n_known"),
-        (F.col("held_base") + far - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"),
-        (F.col("model") + far - F.col("others") * F.lit(share)).alias("score"),
+    first = model.rare.select(F.col("word").alias("a"), F.col("class").alias("class_a"))
+    other = model.rare.select(F.col("word").alias("b"), F.col("class").alias("class_b"))
+    pairs = parts.select("row", F.inline("pairs")).join(first, "a", "left").join(other, "b", "left")
+    place = F.coalesce("class_a", F.lit(UNSEEN)) * TOTAL + F.coalesce("class_b", F.lit(UNSEEN))
+    chains = pairs.groupBy("row").agg(F.sum(_looked_up(model.log_transition, place)).alias("chained"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return parts.drop("rare", "pairs").join(sums, "row", "left").join(chains, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
+        (F.col("held_base") + zero("far") - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"),
+        (F.col("model") + zero("far_model") + zero("chained")).alias("score"),
     )
 
 
@@ -288,4 +537,4 @@ def score_by_classes(docs: DataFrame, training: DataFrame) -> DataFrame:
     texts = training.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(word_counts(texts), "counts")
     model = train(counts, texts)
-    return score(docs, counts, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpaudit.llm import brown_lm, crf, langid, pages, pii, quality, queries, vectors
@@ -166,6 +167,51 @@ def test_exchange_finds_classes():
     assert len(set(zip(groups.tolist(), own.tolist()))) == 3
 
 
+def test_best_class_is_that_of_the_exchange():
+    draw = np.random.default_rng(4)
+    total, size = brown_lm.TOTAL, 300
+    pairs = draw.poisson(0.3, (size + 1, size + 1))
+    own = np.append(draw.integers(0, brown_lm.CLASSES, size), brown_lm.END)
+    table_of = lambda own: np.array(
+        [[pairs[np.ix_(own == a, own == b)].sum() for b in range(total)] for a in range(total)], float)
+    likelihood = lambda t: (brown_lm._gain(t).sum() - brown_lm._gain(t.sum(0)).sum() - brown_lm._gain(t.sum(1)).sum())
+    lists = []
+    for w in range(6):
+        entries = np.concatenate([np.bincount(own, pairs[:, w], total), np.bincount(own, pairs[w], total), [pairs[w, w]]]).astype(int)
+        lists.append([int(n) * brown_lm.ENTRIES + e for e, n in enumerate(entries) if n])
+    found = brown_lm.best_classes(own[:6], pa.array(lists, pa.list_(pa.int64())), table_of(own))
+    for w in range(6):
+        tries = [likelihood(table_of(np.where(np.arange(size + 1) == w, k, own))) for k in range(brown_lm.CLASSES)]
+        assert tries[found[w]] >= max(tries) - 1e-6
+
+
+@pytest.mark.parametrize("held, seeds", [(1 << 18, 1024), (40, 8), (0, 0)])
+def test_all_words_have_classes_and_scores_follow_them(spark, monkeypatch, held, seeds):
+    monkeypatch.setattr(brown_lm, "HELD", held)
+    monkeypatch.setattr(brown_lm, "SEEDS", seeds)
+    rows = [(1000 + i, prose(i % 9, 30 + i), "en", "s", 1) for i in range(60)] + odd_rows()
+    training = documents(spark, rows[:55]).select("text")
+    counts = brown_lm.stored(brown_lm.word_counts(training), "counts")
+    model = brown_lm.train(counts, training)
+    words = [w for t in [r[1] for r in rows[:55]] for w in t.split()]
+    names = sorted(set(words))
+    hashes = brown_lm.word_hashes(pa.array(names))
+    rare = {r["word"]: r["class"] for r in model.rare.collect()}
+    place = {h: i for i, h in enumerate(model.held.tolist())}
+    of = {w: int(model.held_classes[place[h]]) if h in place else rare[int(np.uint64(h).view(np.int64))] for w, h in zip(names, hashes.tolist())}
+    assert len(place) + len(rare) == len(names) and max(of.values()) < brown_lm.CLASSES
+    counted, table, end = Counter(words), np.full((brown_lm.TOTAL,) * 2, 0.1), brown_lm.END
+    for r in rows[:55]:
+        chain = [end, *[of[w] for w in r[1].split()], end]
+        for a, b in zip(chain, chain[1:]):
+            table[a, b] += 1
+    logs, sizes = np.log10(table / table.sum(axis=1, keepdims=True)), Counter(of[w] for w in words)
+    for r, text in zip(sorted(brown_lm.score(documents(spark, rows[:60]), model).collect(), key=lambda r: r.doc_id), [r[1] for r in rows[:60]]):
+        chain = [end, *[of.get(w, brown_lm.UNSEEN) for w in text.split()], end]
+        want = sum(logs[a, b] for a, b in zip(chain, chain[1:])) + sum(math.log10(counted[w] / sizes[of[w]]) for w in text.split() if w in of)
+        assert abs(r.score - want) < 1e-6
+
+
 # ---- vectors
 
 
