@@ -77,8 +77,6 @@ SECRET_RULES = (
         folded=True,
     ),
 )
-# Up to so many values of a line are redacted in the whole line, more only in its first characters.
-FEW_VALUES, HEAD_CHARS = 16, 4096
 _HITS = "array<struct<line:int,rule:int,match:int,evidence:string,length:int,entropy:double>>"
 _LINE_HITS = "array<struct<rule:int,value:string>>"
 
@@ -113,36 +111,60 @@ def _line_hits(rules: Sequence[SecretRule], line: Column, applies: Column) -> Co
     return F.concat(*[hits(i, r) for i, r in enumerate(rules)])
 
 
-def _hidden(text: Column, values: Column, min_stars: int) -> Column:
-    """The text with every value redacted, longest first."""
-    longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(longest_first, text, lambda done, v: F.replace(done, v, redact(v, min_stars=min_stars)))
-
-
 def _redacted(line: Column, values: Column, min_stars: int) -> Column:
-    """The line with every found value redacted, cut for display; computed once for all its hits.
+    """The line's first EVIDENCE_CHARS characters with every found value redacted; computed once for
+    all its hits.
 
-    With many values the line's head is enough for the display: only values that begin in it are
-    replaced, and what reaches beyond it, where others may begin, is cut off. So the work grows with
-    the line, not with the line times its values.
+    One pass from left to right: each step appends the text before the next value and that value's
+    redacted form, until there is enough. Only values that begin in the characters still needed are
+    looked for, so the work grows with the line, not with the line times its values. Of values that
+    begin together the longest is hidden; one that reaches into a later value ends where that begins.
     """
+    start = F.struct(F.lit("").alias("done"), py_strip(line).alias("rest"))
+
+    def begins(rest: Column, need: Column, distinct: Column) -> Column:
+        at = F.transform(
+            distinct,
+            lambda v: F.struct(
+                F.position(v, F.left(rest, need + F.length(v) - 1)).alias("at"), (-F.length(v)).alias("size"), v.alias("value")
+            ),
+        )
+        return F.array_min(F.filter(at, lambda f: f["at"] > 0))
+
+    def hidden_part(rest: Column, first: Column, distinct: Column) -> Column:
+        """How much of the first value is hidden before a later one that reaches beyond it."""
+        size = -first["size"]
+        inner = F.transform(
+            distinct,
+            # one character after the first value's start, so that the place is the offset
+            lambda v: F.struct(
+                F.position(v, F.substring(rest, first["at"] + 1, size + F.length(v) - 2)).alias("at"), F.length(v).alias("size")
+            ),
+        )
+        beyond = F.filter(inner, lambda f: (f["at"] > 0) & (f["at"] + f["size"] > size))
+        return F.coalesce(F.array_min(F.transform(beyond, lambda f: f["at"])), size)
+
+    def step(state: Column, distinct: Column) -> Column:
+        done, rest = state["done"], state["rest"]
+        need = F.lit(K.EVIDENCE_CHARS) - F.length(done)
 
-    def head(size: Column, some: Column) -> Column:
-        reach = F.coalesce(F.array_max(F.transform(some, lambda v: F.length(v))), F.lit(0))
-        area = F.substring(line, F.lit(1), size + reach)
-        clean = _hidden(area, some, min_stars)
-        whole = F.length(line) <= size + reach
-        return F.when(whole, clean).otherwise(F.left(clean, F.greatest(F.lit(0), F.length(clean) - reach)))
+        def after(first: Column) -> Column:
+            hide = lambda n: F.struct(
+                F.concat(done, F.left(rest, first["at"] - 1), redact(F.left(first["value"], n), min_stars=min_stars)).alias("done"),
+                F.substring(rest, first["at"] + n, F.length(rest)).alias("rest"),
+            )
+            plain = F.struct(F.concat(done, F.left(rest, need)).alias("done"), F.lit("").alias("rest"))
+            return F.when(first.isNull(), plain).otherwise(evaluated_once(hidden_part(rest, first, distinct), hide))
 
-    def near(size: Column, distinct: Column) -> Column:
-        return F.filter(distinct, lambda v: F.contains(F.substring(line, F.lit(1), size + F.length(v)), v))
+        ended = (need <= 0) | (rest == "")
+        return F.when(ended, state).otherwise(evaluated_once(begins(rest, need, distinct), after))
 
     def display(distinct: Column) -> Column:
-        size = F.length(line) - F.length(F.ltrim(line)) + HEAD_CHARS
-        short = evaluated_once(size, lambda n: evaluated_once(near(n, distinct), lambda some: head(n, some)))
-        return F.when(F.size(distinct) <= FEW_VALUES, _hidden(line, distinct, min_stars)).otherwise(short)
+        steps = F.sequence(F.lit(1), F.lit(K.EVIDENCE_CHARS))
+        return F.aggregate(steps, start, lambda state, _: step(state, distinct), lambda state: state["done"])
 
-    return F.substring(py_strip(evaluated_once(F.array_distinct(values), display)), 1, K.EVIDENCE_CHARS)
+    bare = F.filter(F.array_distinct(F.transform(values, py_strip)), lambda v: v != "")
+    return F.left(evaluated_once(bare, display), F.lit(K.EVIDENCE_CHARS))
 
 
 def secret_hits(

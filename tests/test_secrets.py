@@ -90,6 +90,23 @@ def test_a_line_of_many_values_is_redacted_in_time_and_whole(spark):
     assert took[20_000] < 60 and took[20_000] < 3 * took[10_000] + 5
 
 
+def test_evidence_does_not_depend_on_the_number_of_long_values(spark):
+    some = ["access_" + f'token="{i:03d}' + "q" * 897 + '"' for i in range(40)]
+    shown = {}
+    for count in (15, 16, 17, 40):
+        found, rows = hits(spark, {"a.min.js": "  " + " ".join(some[:count]) + " "})
+        assert len(found) == count
+        shown[count] = {r.evidence for r in rows}
+    want = " ".join("access_" + f'token="{i:03d}q' + "*" * 16 + '"' for i in range(15))[:160]
+    assert all(evidence == {want} for evidence in shown.values())
+
+
+def test_values_that_overlap_are_hidden(spark):
+    rules = [secrets.SecretRule("A", "LOW", r"abcdefgh\d{4}", "T", "R"), secrets.SecretRule("B", "LOW", r"\d{4}zyxwvutsrq", "T", "R")]
+    _, rows = hits(spark, {"a.txt": "k abcdefgh1234zyxwvutsrq end"}, rules=rules)
+    assert {r.evidence for r in rows} == {"k abcd****1234********** end"}
+
+
 def test_env_files(spark):
     files = corpus(spark, {".env": "a", "x/.ENV.prod": "b", "env": "c", "a.env": "d"})
     assert sorted(column(secrets.env_file_findings(files), "path")) == [".env", "x/.ENV.prod"]
