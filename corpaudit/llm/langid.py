@@ -168,12 +168,13 @@ def train(docs: DataFrame) -> LanguageFilters | None:
 
 
 def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:
-    """`docs` with lang_pred and score, from the text alone.
+    """`docs` with lang_pred, score and hit_share, from the text alone.
 
     Every n-gram of a text asks all filters at once. A language's count of hits, less the hits that
     its false positives explain, is compared with the others': the most hits win (ties: the first
-    name), and the score is the winner's share of all languages' hits. Null texts and texts without
-    letters give `und`, score 0; so does everything if no language was learned.
+    name), and the score is the winner's share of all languages' hits; hit_share is the share of the
+    text's n-grams that the winner's filter holds, whatever the other languages have. Null texts and texts without
+    letters give `und`, score and share 0; so does everything if no language was learned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:
             np.cumsum(votes[codes], axis=0, out=running[1:])
             sums = running[bounds[1:]] - running[bounds[:-1]]
             asked = sums[:, -1]
-            predicted, score = np.full(len(sums), UNKNOWN, object), np.zeros(len(sums))
+            predicted, score, held = np.full(len(sums), UNKNOWN, object), np.zeros(len(sums)), np.zeros(len(sums))
             if names:
                 rate = filters.false_rates
                 corrected = np.maximum((sums[:, :-1] - asked[:, None] * rate) / (1 - np.minimum(rate, 0.999)), 0)
@@ -202,11 +203,12 @@ def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:
                 predicted[lettered] = np.array(names, object)[best[lettered]]
                 share = corrected.max(axis=1) / np.where(total > 0, total, 1)
                 score = np.where(lettered, np.clip(share, 0, 1), 0.0)
+                held = np.clip(corrected.max(axis=1) / np.maximum(asked, 1), 0, 1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(predicted.tolist(), pa.string()), pa.array(score, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(predicted.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(held, pa.float64())],
+                [*batch.schema.names, "lang_pred", "score", "hit_share"],
             )
 
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    others = [c for c in docs.columns if c not in ("lang_pred", "score", "hit_share")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return in_arrow(docs.select(*others), run, f"{schema}, lang_pred string, score double")
+    return in_arrow(docs.select(*others), run, f"{schema}, lang_pred string, score double, hit_share double")

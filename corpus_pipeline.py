@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpaudit.llm import jaccard, langid, mixing, packing, pii
 from corpaudit.llm.common import stored, table
 
-#: Least share of a text's n-gram hits for its language.
+#: Least share of a text's n-grams that its language's filter holds.
 LEAST_SCORE = 0.25
 #: Near-duplicates: words of a shingle, and least similarity as a ratio.
 WIDTH, NUM, DEN = 5, 80, 100
@@ -28,7 +28,7 @@ def _same_columns(kept: DataFrame, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters or with hardly a hit go."""
     filters = langid.train(docs.select("text", "lang"))
-    return _same_columns(langid.identify(docs, filters).filter(F.col("lang_pred") != langid.UNKNOWN).filter(F.col("score") >= LEAST_SCORE), docs)
+    return _same_columns(langid.identify(docs, filters).filter(F.col("lang_pred") != langid.UNKNOWN).filter(F.col("hit_share") >= LEAST_SCORE), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,6 +246,16 @@ def test_query_agrees_with_sql(spark, name):
     assert result.startswith("equal"), result
 
 
+def test_pipeline_language_goes_by_the_share_of_known_ngrams(spark):
+    import corpus_pipeline
+
+    clean = [(i, prose(i, 60), "en", "s", 1) for i in range(20)] + [(100 + i, prose(i, 60, "mnopqrst"), "de", "s", 1) for i in range(20)]
+    gibberish = "ab " + prose(3, 80, "\u0434\u0436\u0437\u0438\u043b")
+    rows = clean + [(500, gibberish, None, "s", 1), (501, "1234 5678", None, "s", 1)]
+    kept = corpus_pipeline.language(spark, documents(spark, rows), FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in clean)
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
