@@ -32,11 +32,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id. Documents without words stay."""
-    groups = jaccard.groups(docs.select("doc_id", "text"), WIDTH, NUM, DEN)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return _same_columns(kept, docs)
+    """One row of each group: the one with the least doc_id (null last), of equal ids any one.
+
+    Documents without words are groups of their own by row, so all of them stay. Rows are numbered
+    and written before they are grouped, so repeated and null ids name single rows.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.groups(rows.select(F.col("_row").alias("doc_id"), "text"), WIDTH, NUM, DEN)
+    named = rows.select("_row", "doc_id").join(groups.withColumnRenamed("doc_id", "_row").drop("n_shingles"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return _same_columns(rows.join(first, "_row", "left_semi"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,6 +256,19 @@ def test_pipeline_language_goes_by_the_share_of_known_ngrams(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in clean)
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(i, 60) for i in range(4))
+    near = a + " one more word"
+    rows = [
+        (1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, near, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1),
+        (None, c, "en", "s", 1), (None, d, "en", "s", 1), (None, d, "en", "s", 1), (None, "", "en", "s", 0), (None, None, "en", "s", 0),
+    ]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), FOLDER).collect()]
+    assert Counter(kept) == Counter([(1, a), (2, b), (3, c), (None, d), (None, ""), (None, None)])
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
