@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpaudit.llm import brown_lm, jaccard, langid, mixing, packing, pages, passages, pii, quality, vectors
+from corpaudit.llm import (
+    brown_lm, jaccard, langid, mixing, negatives, packing, pages, passages, pii, quality, sharding, tries, vectors,
+)
 from corpaudit.llm.common import fold_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +200,100 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.without_repeats(table(spark, folder, "documents").select("doc_id", "text"), 400)
+
+
+#: Shards of the corpus, and bytes that a document takes beside its text.
+SHARDS, OVERHEAD = 40, 16
+
+
+@query
+def op11_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of equal texts are neighbours; the law is `rows`: shards differ by one row at most."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    measured = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.when(F.col("text").isNotNull(), F.array(F.xxhash64("text"))).alias("links"),
+    )
+    placed = sharding.sharded(measured, F.col("links"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), "embedding"
+    )
+    return negatives.mined(rows, F.col("vec_id") % 100 == 0, 256, 5, 5, 80, 100, 100)
+
+
+ORACLES["op12_hard_negatives"] = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from usable a, usable r where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored
+  where same and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select anchor_id, positive_id, s.vec_id as negative_id, positive_score, s.score as negative_score,
+    row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from positives p join scored s using (anchor_id)
+  where not s.same and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return tries.trie(tries.with_shared_heads(tries.conversations(rows)))
+
+
+#: crc32 of a decimal, bit by bit: the byte comes in at every eighth step.
+_CRC32 = """xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(conv_id::varchar) + 1),
+    lambda i: [ascii(substr(conv_id::varchar, i, 1))::bigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+ORACLES["op13_prefix_trie"] = f"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as place
+  from conversations where conv_id is not null),
+convs as (select conv_id, {_CRC32} % 4 as h from (select distinct conv_id from turns)),
+joined as (
+  select c.conv_id, t.place, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id - c.conv_id % 20 and t.place <= h
+  union all
+  select c.conv_id, 1000000 + t.place, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.place > h),
+rebuilt as (
+  select *, row_number() over (partition by conv_id order by place) as depth from joined),
+prefixes as (
+  select conv_id, depth, text, string_agg(md5(role || chr(1) || text), ',') over (partition by conv_id order by depth) as path
+  from rebuilt
+  union all select conv_id, 0, '', '' from convs),
+ends as (select conv_id, max(depth) as last from prefixes group by conv_id),
+nodes as (
+  select path, min(p.conv_id) as conv_id, any_value(depth) as depth, count(*) as n_convs, any_value(text) as text,
+    coalesce(string_agg(case when last = depth then p.conv_id::varchar end, ',' order by p.conv_id), '') as ended
+  from prefixes p join ends e on e.conv_id = p.conv_id group by path),
+up as (
+  select n.path, q.path as above, q.depth = n.depth - 1 as parent
+  from nodes n join prefixes q on q.conv_id = n.conv_id and q.depth <= n.depth),
+childs as (select above as path, count(*) as n_children from up where parent group by above),
+named as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join childs using (path)),
+below as (
+  select above as path, sum(case when n_children = 0 then 1 else 0 end) as n_leaves,
+    sum((n_convs - 1) * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) as saved
+  from up join named using (path) group by above)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs::bigint as n_convs,
+  n.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(n.ended) as ends_sha256
+from named n join below using (path) left join up u on u.path = n.path and u.parent
+  left join nodes p on p.path = u.above
+"""
