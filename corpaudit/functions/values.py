@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpaudit import constants as K
 
 __all__ = [
-    "content_sha256", "stable_hash_int", "hashed_id", "shannon_entropy", "redact",
+    "content_sha256", "stable_hash_int", "digest_id", "hashed_id", "shannon_entropy", "redact",
     "human_size", "severity_rank", "severity_penalty", "score_band",
     "strip_version_spec", "evaluated_once",
 ]
@@ -27,14 +27,22 @@ def content_sha256(content: Column, max_bytes: int | None = None) -> Column:
     return F.sha2(content, 256)
 
 
+def _digest_int(digest: Column, modulo: int) -> Column:
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(modulo)
+
+
 def stable_hash_int(value: Column, modulo: int = K.ID_MODULO) -> Column:
     """First 32 bits of the SHA-256 of the text, modulo a number."""
-    head = F.substring(F.sha2(value.cast("binary"), 256), 1, 8)
-    return F.conv(head, 16, 10).cast("bigint") % F.lit(modulo)
+    return _digest_int(F.sha2(value.cast("binary"), 256), modulo)
+
+
+def digest_id(prefix: str, digest: Column) -> Column:
+    """An id from a SHA-256 in hexadecimal."""
+    return F.concat(F.lit(prefix), F.lpad(_digest_int(digest, K.ID_MODULO).cast("string"), 3, "0"))
 
 
 def hashed_id(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(stable_hash_int(value).cast("string"), 3, "0"))
+    return digest_id(prefix, F.sha2(value.cast("binary"), 256))
 
 
 def shannon_entropy(value: Column) -> Column:

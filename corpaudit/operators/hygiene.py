@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpaudit import constants as K
-from corpaudit.functions import content_sha256, hashed_id, human_size, under_any_dir
+from corpaudit.functions import content_sha256, digest_id, hashed_id, human_size, under_any_dir
 from corpaudit.operators.files import duplicate_candidates, scanned_files
 from corpaudit.operators.findings import all_findings, explode_reports, finding_rows, report_if
+from corpaudit.operators.folds import joined_sha256
 from corpaudit.operators.skew import numbered
 
 # Paths in one page of a group's list.
@@ -229,15 +230,16 @@ def duplicate_lists(
     return groups.join(lists, keys)
 
 
-def duplicate_findings(groups: DataFrame) -> DataFrame:
+def duplicate_findings(digests: DataFrame, groups: DataFrame) -> DataFrame:
     """One finding per group within a repository.
 
-    The id hashes the content digest, for groups of every size; the members are
-    rows of duplicate_members.
+    The id hashes the group's sorted paths, joined by colons, for groups of every size.
     """
+    keys = _scope("repo")
+    joined = joined_sha256(duplicate_members(digests, groups), keys, "member", ":")
     return finding_rows(
-        groups,
-        id=hashed_id("HYG-DUP-", F.col("digest")),
+        groups.join(joined, keys),
+        id=digest_id("HYG-DUP-", F.col("sha256")),
         severity="LOW",
         category="Hygiene",
         title="Copies of one file",

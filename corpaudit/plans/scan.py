@@ -193,7 +193,7 @@ def scan(files: DataFrame, repos: DataFrame | None = None, options: ScanOptions
         python_code.syntax_findings(views.python),
         python_code.nesting_findings(views.python),
         hygiene.hygiene_findings(features, repos, ignored_dirs=options.ignored_dirs),
-        hygiene.duplicate_findings(groups),
+        hygiene.duplicate_findings(views.digests, groups),
         docs.readme_findings(doc_scores),
     ]
     if options.enable_dependencies:

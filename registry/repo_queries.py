@@ -167,11 +167,13 @@ def duplicate_members(spark, sf):
 
 
 @query(_HASHED + """
-SELECT repo_id, 'HYG-DUP-' || lpad(CAST(CAST(('0x' || substr(sha256(digest), 1, 8)) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS id,
+SELECT repo_id, 'HYG-DUP-' || lpad(CAST(CAST(('0x' || substr(sha256(string_agg(path, ':' ORDER BY path)), 1, 8)) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS id,
        'LOW' AS severity, min(path) AS path
 FROM hashed GROUP BY repo_id, digest HAVING count(*) > 1""")
 def duplicate_findings(spark, sf):
-    return hygiene.duplicate_findings(hygiene.duplicate_groups(_digests(spark, sf))).select("repo_id", "id", "severity", "path")
+    digests = _digests(spark, sf)
+    found = hygiene.duplicate_findings(digests, hygiene.duplicate_groups(digests))
+    return found.select("repo_id", "id", "severity", "path")
 
 
 # --- hygiene ------------------------------------------------------------------

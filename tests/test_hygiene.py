@@ -1,10 +1,12 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpaudit.operators import docs, hygiene
 from corpaudit.operators import technologies as tech
 from corpaudit.operators.files import scanned_files
+from corpaudit.operators.folds import joined_sha256
 from corpaudit.schemas import RAW_FILES
 from corpaudit.sources import file_records
 from tests.helpers import column, corpus, raw_rows, repos
@@ -70,9 +72,8 @@ def test_duplicates(spark):
     row = duplicates(spark, {"b.py": "same", "a.py": "same", "c.py": "other", "d.py": "", "e.py": ""}).first()
     assert (row.copies, row.first_path, row.paths, row.reclaimable_bytes) == (2, "a.py", ["a.py", "b.py"], 4)
     digests = hygiene.with_digest(corpus(spark, {"b.py": "same", "a.py": "same"}))
-    found = hygiene.duplicate_findings(hygiene.duplicate_groups(digests)).first()
-    digest = hashlib.sha256(b"same").hexdigest()
-    expected = int(hashlib.sha256(digest.encode()).hexdigest()[:8], 16) % 1000
+    found = hygiene.duplicate_findings(digests, hygiene.duplicate_groups(digests)).first()
+    expected = int(hashlib.sha256(b"a.py:b.py").hexdigest()[:8], 16) % 1000
     assert (found.id, found.path, found.severity) == (f"HYG-DUP-{expected:03d}", "a.py", "LOW")
 
 
@@ -94,7 +95,25 @@ def test_large_groups_are_listed_page_by_page(spark, copies):
     assert listed == sorted(f"h{i:05d}" for i in range(copies))
     assert all(len(row.paths) <= hygiene.PAGE_ROWS for row in pages)
     assert hygiene.duplicate_members(digests, groups).count() == copies + 3
-    assert hygiene.duplicate_findings(groups).count() == 2
+    ids = {r.path: r.id for r in hygiene.duplicate_findings(digests, groups).collect()}
+    for start, names in (("h00000", [f"h{i:05d}" for i in range(copies)]), ("c0", ["c0", "c1", "c2"])):
+        hashed = hashlib.sha256(":".join(names).encode()).hexdigest()
+        assert ids[start] == f"HYG-DUP-{int(hashed[:8], 16) % 1000:03d}"
+
+
+def test_joined_digest_of_a_million_members(spark):
+    members = [f"deep/folder/of/f{i:07d}.py" for i in range(1_000_000)]
+    rows = spark.range(1_000_000).select(
+        F.lit("r").alias("repo_id"), F.format_string("deep/folder/of/f%07d.py", "id").alias("member")
+    ).unionByName(spark.createDataFrame([("r2", "b"), ("r2", "a"), ("r2", "a"), ("r3", None), ("r4", "")], "repo_id string, member string"))
+    found = {r.repo_id: r.sha256 for r in joined_sha256(rows, ["repo_id"], "member", ":").collect()}
+    expected = {"r": ":".join(members), "r2": "a:a:b", "r4": ""}
+    assert found == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in expected.items()}
+
+
+def test_joined_digest_of_nothing(spark):
+    rows = spark.createDataFrame([], "repo_id string, member string")
+    assert joined_sha256(rows, ["repo_id"], "member", ":").count() == 0
 
 
 def detected(spark, files):

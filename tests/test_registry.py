@@ -20,5 +20,12 @@ def test_query_agrees_with_sql(spark, connection, name):
     assert result.startswith(("equal", "rows only")), result
 
 
+def test_scan_findings_with_copies_within_a_repository(spark):
+    # sf0.001 holds none
+    folder = "/root/testdata/sf0.01"
+    result = compare(spark, database(folder), folder, "scan_findings", entry.queries()["scan_findings"], entry.oracle_sql()["scan_findings"])
+    assert result.startswith("equal"), result
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "repo_id"
