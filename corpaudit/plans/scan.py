@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpaudit import constants as K
@@ -21,6 +21,7 @@ from corpaudit.operators import (
 )
 from corpaudit.operators.hygiene import exists_at
 from corpaudit.operators.files import is_code_candidate, is_duplicate_candidate, python_audit_files
+from corpaudit.plans.reuse import KEY, FeatureStore, content_key, features_once, options_id
 from corpaudit.schemas import FILES
 from corpaudit.sources.packed import file_records, read_errors
 from corpaudit.storage import stored
@@ -75,35 +76,66 @@ class ScanTables:
         )
 
 
-def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+@dataclass(frozen=True)
+class _Marks:
+    """What a file's name and metadata say about which features its content gets."""
+
+    scanned: Column
+    is_code: Column
+    searched: Column
+    is_manifest: Column
+    is_readme: Column
+    has_readme: Column
+    copied: Column
+
+    @staticmethod
+    def of(options: ScanOptions) -> _Marks:
+        path, is_file = F.col("path"), F.col("kind") == "file"
+        scanned = is_file & ~under_any_dir(path, sorted({*options.ignored_dirs, ".git"}))
+        if not options.include_hidden:
+            scanned = scanned & ~is_hidden(path)
+        return _Marks(
+            scanned=scanned,
+            is_code=scanned & is_code_candidate(options.prose_extensions),
+            searched=scanned & ~F.col("is_binary") & ~F.col("unreadable"),
+            is_manifest=is_file & path.isin(*dependencies.PARSERS),
+            is_readme=is_file & path.isin(*K.README_NAMES),
+            has_readme=exists_at(K.README_NAMES),
+            copied=scanned & is_duplicate_candidate(options.duplicate_max_bytes),
+        )
+
+    def context(self) -> list[Column]:
+        """All but content that the features depend on."""
+        named = F.when(self.is_manifest | self.is_readme, F.col("path")).otherwise(F.lit(""))
+        return [F.col("extension"), self.is_code, self.searched, self.copied, self.has_readme, _broken(), named]
+
+
+# Columns of file_features that follow from content.
+CONTENT_FEATURES = [*code.LINE_COUNTS, "digest", "hits", "manifest", "readme_facts", "facts"]
+
+
+def file_features(files: DataFrame, options: ScanOptions = ScanOptions(), *, carried: Sequence[str] = ()) -> DataFrame:
     """One pass over the corpus: all that needs content, without the content.
 
     Rows outside the scan keep their metadata, as presence checks want them.
     """
     path, content = F.col("path"), F.col("content")
-    is_file = F.col("kind") == "file"
-    scanned = is_file & ~under_any_dir(path, sorted({*options.ignored_dirs, ".git"}))
-    if not options.include_hidden:
-        scanned = scanned & ~is_hidden(path)
-    readable = ~F.col("is_binary") & ~F.col("unreadable")
-    is_manifest = is_file & path.isin(*dependencies.PARSERS)
-    is_readme = is_file & path.isin(*K.README_NAMES)
+    marks = _Marks.of(options)
     unread_pyproject = (path == "pyproject.toml") & F.col("text").isNull()
 
     marked = files.withColumns({
-        "scanned": scanned,
-        "is_code": scanned & is_code_candidate(options.prose_extensions),
-        "text": F.when((scanned & readable) | is_manifest | is_readme, decode_text(content)),
+        "scanned": marks.scanned,
+        "is_code": marks.is_code,
+        "text": F.when(marks.searched | marks.is_manifest | marks.is_readme, decode_text(content)),
     })
     text = F.col("text")
 
     def capped(limit: int | None):
         return text if limit is None else decode_text(content, limit)
 
-    searched = F.when(F.col("scanned") & readable, capped(options.secret_max_bytes))
     texts = marked.withColumns({
         "code_text": F.when(F.col("is_code"), capped(options.code_max_bytes)),
-        "secret_text": searched,
+        "secret_text": F.when(marks.searched, capped(options.secret_max_bytes)),
     })
     counted = code.with_line_counts(texts, "code_text")
 
@@ -112,17 +144,17 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
         hits = F.slice(hits, 1, 0)
     manifest = F.struct(*[c.alias(n) for n, c in dependencies.manifest_facts(path, text).items()])
     # a directory or what stands below it also shows that there is a README, of no length
-    readme = F.struct(*docs.readme_facts(F.when(is_readme, text)))
-    copied = F.col("scanned") & is_duplicate_candidate(options.duplicate_max_bytes)
+    readme = F.struct(*docs.readme_facts(F.when(marks.is_readme, text)))
     narrow = counted.select(
         *[c for c in FILES.fieldNames() if c != "content"],
+        *carried,
         "scanned",
         "is_code",
         *code.LINE_COUNTS,
-        F.when(copied, content_sha256(content)).alias("digest"),
+        F.when(marks.copied, content_sha256(content)).alias("digest"),
         hits.alias("hits"),
-        F.when(is_manifest & ~_broken() & ~unread_pyproject, manifest).alias("manifest"),
-        F.when(exists_at(K.README_NAMES), readme).alias("readme_facts"),
+        F.when(marks.is_manifest & ~_broken() & ~unread_pyproject, manifest).alias("manifest"),
+        F.when(marks.has_readme, readme).alias("readme_facts"),
         F.when(F.col("extension") == ".py", F.col("code_text")).alias("py_text"),
     )
     # The generator fences the projection above: without it the optimizer computes
@@ -131,6 +163,29 @@ def file_features(files: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
     return fenced.withColumn("facts", python_code.metrics_of(F.col("py_text"))).drop("py_text")
 
 
+def options_key(options: ScanOptions) -> str:
+    """Names the options that decide how content is examined."""
+    return options_id(
+        tuple(options.rules), options.enable_secrets, options.min_stars, options.code_max_bytes, options.secret_max_bytes
+    )
+
+
+def features_of(files: DataFrame, options: ScanOptions = ScanOptions(), store: FeatureStore | None = None) -> DataFrame:
+    """file_features, with content that the store knows looked up instead of examined."""
+    if store is None:
+        return file_features(files, options)
+    marks = _Marks.of(options)
+    key = content_key(F.col("content"), marks.context())
+    metadata = files.select(
+        *[c for c in FILES.fieldNames() if c != "content"],
+        marks.scanned.alias("scanned"), marks.is_code.alias("is_code"), key.alias(KEY),
+    )
+    return features_once(
+        files, metadata, key, lambda rows: file_features(rows, options, carried=[KEY]), CONTENT_FEATURES, store,
+        options_key(options),
+    )
+
+
 def _broken():
     return F.coalesce(F.col("error") == K.BROKEN_SYMLINK, F.lit(False))
 
@@ -162,13 +217,20 @@ def _repos(files: DataFrame, repos: DataFrame | None) -> DataFrame:
     return files.select("repo_id").distinct() if repos is None else repos.select("repo_id")
 
 
-def scan(files: DataFrame, repos: DataFrame | None = None, options: ScanOptions = ScanOptions()) -> ScanTables:
+def scan(
+    files: DataFrame,
+    repos: DataFrame | None = None,
+    options: ScanOptions = ScanOptions(),
+    *,
+    feature_store: FeatureStore | None = None,
+) -> ScanTables:
     """Audit every repository of a corpus (schema FILES, unfiltered).
 
     repos names repositories that may hold no file at all; by default the
-    repositories are those of the files.
+    repositories are those of the files. With a feature store, only content that
+    no earlier file had is examined; the results are the same.
     """
-    features = file_features(files, options)
+    features = features_of(files, options, feature_store)
     if options.store:
         features = stored(features, "features")
     repos = _repos(features, repos)
@@ -241,6 +303,7 @@ def scan_compact(
     *,
     max_file_size_mb: float = K.MAX_FILE_SIZE_MB,
     options: ScanOptions = COMPACT,
+    feature_store: FeatureStore | None = None,
 ) -> ScanTables:
     """The small audit: secrets, Python facts, four presence checks, three scores."""
     flagged = file_records(
@@ -252,7 +315,7 @@ def scan_compact(
     repos = _repos(files, repos)
     # presence sees everything, the scan only what is small enough and readable
     within = F.col("size") <= int(max_file_size_mb * K.MEGABYTE)
-    features = file_features(flagged, options).withColumn(
+    features = features_of(flagged, options, feature_store).withColumn(
         "scanned", F.col("scanned") & within & ~F.col("unreadable")
     )
     if options.store:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpaudit import constants as K
 from corpaudit.operators import dependencies as deps
 from corpaudit.operators import diff, findings, hygiene, reports, scoring
 from corpaudit.plans import scan as plans
+from corpaudit.plans.reuse import FeatureStore
+from corpaudit.storage import work_folder
 from registry import bindings as B
 from registry.bindings import with_ctes
 from registry.catalog import query
@@ -370,6 +375,39 @@ def scan_findings(spark, sf):
     return found.select("repo_id", "id", "severity", "path", "category")
 
 
+def _new_store(spark) -> FeatureStore:
+    return FeatureStore(spark, f"{work_folder(spark)}/corpaudit-{uuid.uuid4().hex}/features-by-content")
+
+
+@query(_SCANNED_PATHS + "SELECT * FROM whole")
+def scan_again(spark, sf):
+    """A scan that finds the content of many of its files in the store of an earlier one."""
+    files, store = B.path_files(spark, sf), _new_store(spark)
+    plans.features_of(files.filter("repo_id < 'r5'"), store=store)
+    found = plans.scan(files, feature_store=store).findings
+    return found.select("repo_id", "id", "severity", "path", "category")
+
+
+@query(with_ctes("code_files") + """, sizes AS (SELECT count(*) AS n, count(DISTINCT (text, extension)) AS texts FROM code_files)
+SELECT 'originals' AS run, n AS files, texts AS examined FROM sizes
+UNION ALL SELECT 'with copies', 2 * n, 0 FROM sizes
+UNION ALL SELECT 'other options', 2 * n, texts FROM sizes""")
+def feature_reuse(spark, sf):
+    """Contents that scans of code files, then of these and their vendored copies, have to examine."""
+    originals, store = B.code_files(spark, sf), _new_store(spark)
+    copies = originals.withColumn("repo_id", F.concat(F.lit("fork/"), "repo_id"))
+    both, other = originals.unionByName(copies), replace(plans.ScanOptions(), min_stars=0)
+    rows = []
+    for run, files, options in (
+        ("originals", originals, plans.ScanOptions()), ("with copies", both, plans.ScanOptions()), ("other options", both, other)
+    ):
+        name = plans.options_key(options)
+        before = store.size(name)
+        scanned = plans.features_of(files, options, store).count()
+        rows.append((run, scanned, store.size(name) - before))
+    return spark.createDataFrame(rows, "run string, files long, examined long")
+
+
 def _lost(category: str, source: str = "whole") -> str:
     return (
         f"greatest(0, 100 - coalesce((SELECT sum({_PENALTY}) FROM {source} w "
