@@ -7,10 +7,12 @@ reports are queries over it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpaudit import constants as K
@@ -24,7 +26,7 @@ from corpaudit.operators.files import is_code_candidate, is_duplicate_candidate,
 from corpaudit.plans.reuse import KEY, FeatureStore, content_key, features_once, options_id
 from corpaudit.schemas import FILES
 from corpaudit.sources.packed import file_records, read_errors
-from corpaudit.storage import stored
+from corpaudit.storage import stored, work_folder
 
 
 @dataclass(frozen=True)
@@ -365,7 +367,52 @@ def import_audit(
     )
 
 
-def verify_repeatable(files: DataFrame, repos: DataFrame | None = None, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Scan twice; per repository, whether both runs found the same."""
-    first, second = scan(files, repos, options), scan(files, repos, options)
-    return diff.repeatable(first.findings, second.findings)
+@contextmanager
+def other_schedule(spark: SparkSession) -> Iterator[None]:
+    """Tasks cut otherwise while this is open: other splits of files, another number of shuffle partitions."""
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings = {
+        "spark.sql.shuffle.partitions": str(2 * shuffles + 1),
+        "spark.sql.files.maxPartitionBytes": "16m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "777",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _two_scans(files: DataFrame, repos: DataFrame | None, options: ScanOptions, reorder: bool) -> tuple[DataFrame, DataFrame]:
+    if not options.store:
+        raise ValueError("a scan that stores nothing runs later, under the schedule of that time")
+    first = scan(files, repos, options).findings
+    with other_schedule(files.sparkSession):
+        again = files.repartition(F.reverse("path")).sortWithinPartitions(F.desc("path")) if reorder else files
+        return first, scan(again, repos, options).findings
+
+
+def verify_repeatable(
+    files: DataFrame, repos: DataFrame | None = None, options: ScanOptions = ScanOptions(), *, reorder: bool = False
+) -> DataFrame:
+    """Scan twice, the second time under another schedule; per repository, whether both found the same.
+
+    reorder also deals the files anew for the second scan, which shuffles the content once.
+    """
+    return diff.repeatable(*_two_scans(files, repos, options, reorder))
+
+
+def repeat_differences(
+    files: DataFrame, repos: DataFrame | None = None, options: ScanOptions = ScanOptions(), *, reorder: bool = False
+) -> DataFrame:
+    """The findings that a second scan under another schedule has more or less often than the first."""
+    folder = f"{work_folder(files.sparkSession)}/corpaudit-{uuid.uuid4().hex}"
+    kept = [diff.KeptRun.write(run, f"{folder}/{n}") for n, run in enumerate(_two_scans(files, repos, options, reorder))]
+    return diff.differing_rows(*kept)

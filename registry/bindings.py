@@ -390,7 +390,7 @@ WHERE kind = 'file' AND NOT list_has_any(string_split(path, '/')[:-2],
 
 # --- events: findings, and customers: repositories without any ----------------
 
-_EVENT = {
+EVENT_COLUMNS = {
     "repo_id": "'r' || user_id || '-' || (event_id % 25)",
     "id": "'F' || event_id",
     "severity": "CASE event_type WHEN 'signup' THEN 'INFO' WHEN 'view' THEN 'LOW' WHEN 'click' THEN 'MEDIUM' "
@@ -407,9 +407,9 @@ _EVENT = {
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
 # the second run names the errors anew and rates costly clicks higher
 _RUN_B = {
-    **_EVENT,
+    **EVENT_COLUMNS,
     "id": "CASE WHEN event_type = 'error' THEN 'G' ELSE 'F' END || event_id",
-    "severity": _EVENT["severity"].replace("WHEN 'click' THEN 'MEDIUM'", "WHEN 'click' THEN CASE WHEN value > 20 THEN 'HIGH' ELSE 'MEDIUM' END"),
+    "severity": EVENT_COLUMNS["severity"].replace("WHEN 'click' THEN 'MEDIUM'", "WHEN 'click' THEN CASE WHEN value > 20 THEN 'HIGH' ELSE 'MEDIUM' END"),
 }
 
 
@@ -421,7 +421,7 @@ def _findings(spark, folder, columns: dict[str, str]) -> DataFrame:
 
 
 def event_findings(spark, folder) -> DataFrame:
-    return _findings(spark, folder, _EVENT)
+    return _findings(spark, folder, EVENT_COLUMNS)
 
 
 def event_findings_b(spark, folder) -> DataFrame:
@@ -429,13 +429,13 @@ def event_findings_b(spark, folder) -> DataFrame:
 
 
 def event_repos(spark, folder) -> DataFrame:
-    used = table(spark, folder, "events").select(F.expr(_EVENT["repo_id"]).alias("repo_id")).distinct()
+    used = table(spark, folder, "events").select(F.expr(EVENT_COLUMNS["repo_id"]).alias("repo_id")).distinct()
     idle = table(spark, folder, "customer").select(F.expr("'c' || c_custkey").alias("repo_id"))
     return used.unionByName(idle)
 
 
 def event_doc_scores(spark, folder) -> DataFrame:
-    used = table(spark, folder, "events").groupBy(F.expr(_EVENT["repo_id"]).alias("repo_id")).agg(
+    used = table(spark, folder, "events").groupBy(F.expr(EVENT_COLUMNS["repo_id"]).alias("repo_id")).agg(
         F.expr("cast(100 - min(user_id) % 41 as int)").alias("doc_score")
     )
     idle = table(spark, folder, "customer").select(
@@ -449,13 +449,13 @@ def _findings_sql(columns: dict[str, str]) -> str:
     return f"SELECT *, {_RANK} AS severity_rank FROM (SELECT {listed} FROM events)"
 
 
-CTES["findings"] = _findings_sql(_EVENT)
+CTES["findings"] = _findings_sql(EVENT_COLUMNS)
 CTES["findings_b"] = _findings_sql(_RUN_B)
 CTES["repos"] = """
 SELECT DISTINCT repo_id FROM findings UNION ALL SELECT 'c' || c_custkey FROM customer
 """
 CTES["doc_scores"] = f"""
-SELECT {_EVENT["repo_id"]} AS repo_id, CAST(100 - min(user_id) % 41 AS INTEGER) AS doc_score FROM events GROUP BY ALL
+SELECT {EVENT_COLUMNS["repo_id"]} AS repo_id, CAST(100 - min(user_id) % 41 AS INTEGER) AS doc_score FROM events GROUP BY ALL
 UNION ALL SELECT 'c' || c_custkey, CAST(c_custkey % 101 AS INTEGER) FROM customer
 """
 

@@ -327,6 +327,52 @@ def repeatable(spark, sf):
     return verdict.select("repo_id", "repeatable")
 
 
+_EVENT_KEYS = ", ".join(f"{B.EVENT_COLUMNS[k]} AS {k}" for k in ("repo_id", "id", "path", "line"))
+_ROW = "repo_id, id, severity, path, line"
+
+
+def _event_runs(spark, sf):
+    folder = f"{work_folder(spark)}/corpaudit-{uuid.uuid4().hex}"
+    runs = B.event_findings(spark, sf), B.event_findings_b(spark, sf)
+    return [diff.KeptRun.write(run, f"{folder}/{n}") for n, run in enumerate(runs)]
+
+
+@query(_RUNS + f""", a AS (SELECT {_ROW}, count(*) AS n FROM findings GROUP BY ALL),
+b AS (SELECT {_ROW}, count(*) AS n FROM findings_b GROUP BY ALL)
+SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.id, b.id) AS id, coalesce(a.severity, b.severity) AS severity,
+       coalesce(a.path, b.path) AS path, coalesce(a.line, b.line) AS line, coalesce(a.n, 0) AS in_a, coalesce(b.n, 0) AS in_b
+FROM a FULL JOIN b ON a.repo_id = b.repo_id AND a.id = b.id AND a.severity = b.severity AND a.path = b.path
+  AND a.line IS NOT DISTINCT FROM b.line
+WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def differing_rows(spark, sf):
+    """Rows of two kept runs that differ, found by descending the trees of their checksums."""
+    return diff.differing_rows(*_event_runs(spark, sf)).select(*_ROW.split(", "), "in_a", "in_b")
+
+
+# A finding is there in the runs that its event's number names: some disappear, some come back.
+_FIVE_RUNS = (
+    "case event_id % 7 when 0 then array(1, 2, 3, 4, 5) when 1 then array(1) when 2 then array(1, 3) when 3 then array(4, 5) "
+    "when 4 then array(2, 3, 5) when 5 then array(1, 2, 4, 5) else array(1, 3, 5) end"
+)
+
+
+@query(with_ctes("findings") + f""", runs AS (
+  SELECT unnest({_FIVE_RUNS.replace("array(", "list_value(")}) AS run, {_EVENT_KEYS} FROM events),
+marked AS (
+  SELECT *, run - lag(run) OVER (PARTITION BY repo_id, id, path, line ORDER BY run) AS gap FROM (SELECT DISTINCT * FROM runs)),
+spells AS (
+  SELECT *, count(*) FILTER (gap IS NULL OR gap > 1) OVER (PARTITION BY repo_id, id, path, line ORDER BY run) AS spell FROM marked)
+SELECT repo_id, id, path, line, spell::INT AS spell, min(run) AS first_seen, max(run) AS last_seen, max(run) = 5 AS open
+FROM spells GROUP BY repo_id, id, path, line, spell""")
+def finding_history(spark, sf):
+    """First and last sight of every finding over five runs, reopened ones apart."""
+    keys = ["repo_id", "id", "path", "line"]
+    runs = B.table(spark, sf, "events").select(
+        F.explode(F.expr(_FIVE_RUNS)).alias("run"), *[F.expr(B.EVENT_COLUMNS[k]).alias(k) for k in keys]
+    )
+    return diff.finding_history(runs)
+
+
 # --- whole scans --------------------------------------------------------------
 
 @query()
@@ -461,6 +507,8 @@ def compact_scores(spark, sf):
     return plans.scan_compact(B.path_files(spark, sf)).scores
 
 
-@query(with_ctes("doc_files") + "SELECT DISTINCT repo_id, true AS repeatable FROM doc_files")
+@query(_SCANNED_PATHS + "SELECT repo_id, count(*) AS rows_a, count(*) AS rows_b, true AS repeatable FROM whole GROUP BY repo_id")
 def repeated_scan(spark, sf):
-    return plans.verify_repeatable(B.doc_files(spark, sf)).select("repo_id", "repeatable")
+    """Two scans under different schedules, and how many findings each has."""
+    verdict = plans.verify_repeatable(B.path_files(spark, sf), reorder=True)
+    return verdict.select("repo_id", "rows_a", "rows_b", "repeatable")
