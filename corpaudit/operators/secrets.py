@@ -8,7 +8,7 @@ decide which files and lines meet a regular expression at all.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -85,13 +85,17 @@ _LINE_HITS = "array<struct<rule:int,value:string>>"
 _LOOKS_AROUND = re.compile(r"[\^$]|\\[AGZz]|\(\?<?[=!]")
 
 
+def looks_around(pattern: str) -> bool:
+    return _LOOKS_AROUND.search(pattern) is not None
+
+
 def _may_match(rule: SecretRule, text: Column, lowered: Column) -> Column:
     """Necessary condition for a match in some line: a hint, and the pattern over the text.
 
     A pattern with anchors or look-arounds can match a line but not the text, so for it the hints
     decide alone.
     """
-    matches = F.lit(True) if _LOOKS_AROUND.search(rule.pattern) else text.rlike(rule.pattern)
+    matches = F.lit(True) if looks_around(rule.pattern) else text.rlike(rule.pattern)
     if not rule.hints:
         return text.isNotNull() & matches
     where = lowered if rule.folded else text
@@ -183,17 +187,19 @@ def secret_hits(
     return evaluated_once(
         applies,
         lambda flags: F.when(
-            F.array_contains(flags, True), _examined(text, rules, flags, min_stars)
+            F.array_contains(flags, True), examined(text, lambda line: _line_hits(rules, line, flags), min_stars)
         ).otherwise(F.array().cast(_HITS)),
     )
 
 
-def _examined(text: Column, rules: list[SecretRule], applies: Column, min_stars: int) -> Column:
+def examined(text: Column, line_hits: Callable[[Column], Column], min_stars: int, schema: str = _HITS) -> Column:
+    """Hits of all lines of a text, numbered, with redacted evidence.
+
+    line_hits gives one line's (rule, value) in order; schema names the fields of the result.
+    """
     per_line = F.transform(
         split_lines(text),
-        lambda line, i: F.struct(
-            (i + 1).alias("number"), line.alias("line"), _line_hits(rules, line, applies).alias("hits")
-        ),
+        lambda line, i: F.struct((i + 1).alias("number"), line.alias("line"), line_hits(line).alias("hits")),
     )
     kept = F.transform(
         F.filter(per_line, lambda s: F.size(s["hits"]) > 0),
@@ -225,7 +231,7 @@ def _examined(text: Column, rules: list[SecretRule], applies: Column, min_stars:
             h["entropy"].alias("entropy"),
         ),
     )
-    return counted.cast(_HITS)
+    return counted.cast(schema)
 
 
 def secret_matches(files: DataFrame, *, rules: Sequence[SecretRule] = SECRET_RULES,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpaudit.operators import code, imports, python_code, secrets
+from corpaudit.operators import code, imports, python_code, secret_rules, secrets
 from corpaudit.plans.scan import import_audit as run_import_audit
 from registry import bindings as B
 from registry.bindings import with_ctes
@@ -152,6 +152,40 @@ def anchored_secret_rule(spark, sf):
     return matches.select("repo_id", "path", "line", "evidence")
 
 
+# A rule for every part: the value that its number stands for.
+_PART_RULES = {
+    "position": "cast(p_partkey as int)", "id": "'PART-' || p_partkey", "severity": "case when p_size > 25 then 'HIGH' else 'LOW' end",
+    "pattern": """'"(pw' || (100000 + p_partkey) || ')"'""", "title": "'Value ' || p_partkey", "recommendation": "'Change it.'",
+    "group": "1", "hints": "array('pw' || (100000 + p_partkey))", "folded": "p_partkey % 2 = 0",
+}
+_PART_HITS = with_ctes("code_files", "code_lines") + """, hits AS (
+  SELECT repo_id, path, line_no, value, p_partkey, p_size, row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) AS match,
+         left(trim(replace(line, value, left(value, 4) || repeat('*', least(16, greatest(4, length(value) - 4))::INT))), 160) AS evidence
+  FROM (SELECT repo_id, path, line_no, line, regexp_extract(line, '"(pw[0-9]{6,})"', 1) AS value FROM code_lines)
+  JOIN part ON value = 'pw' || (100000 + p_partkey))
+"""
+
+
+def _part_matches(spark, sf):
+    rules = B.table(spark, sf, "part").select(*[F.expr(e).alias(n) for n, e in _PART_RULES.items()])
+    return secret_rules.secret_matches_by_rules(B.code_files(spark, sf), rules), rules
+
+
+@query(_PART_HITS + """
+SELECT repo_id, path, line_no::INT AS line, 'PART-' || p_partkey AS rule, match::INT AS match, evidence, length(value)::INT AS length FROM hits""")
+def secret_matches_by_rules(spark, sf):
+    """As many rules as there are parts, from a table."""
+    return _part_matches(spark, sf)[0].drop("entropy")
+
+
+@query(_PART_HITS + """
+SELECT repo_id, 'PART-' || p_partkey || '-' || lpad(match::VARCHAR, 3, '0') AS id, 'Value ' || p_partkey AS title, path,
+       CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'LOW' END AS severity FROM hits""")
+def findings_by_rules(spark, sf):
+    found = secret_rules.findings_by_rules(*_part_matches(spark, sf))
+    return found.select("repo_id", "id", "title", "path", "severity")
+
+
 @query(with_ctes("path_files") + """
 SELECT repo_id, 'SEC-ENV-' || lpad(CAST(CAST(('0x' || substr(sha256(path), 1, 8)) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS id, path
 FROM path_files WHERE lower(name) LIKE '.env%' AND kind = 'file' AND NOT unreadable""")
