@@ -7,7 +7,6 @@ reports are queries over it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -26,7 +25,7 @@ from corpaudit.operators.files import is_code_candidate, is_duplicate_candidate,
 from corpaudit.plans.reuse import KEY, FeatureStore, content_key, features_once, options_id
 from corpaudit.schemas import FILES
 from corpaudit.sources.packed import file_records, read_errors
-from corpaudit.storage import stored, work_folder
+from corpaudit.storage import new_folder, stored
 
 
 @dataclass(frozen=True)
@@ -413,6 +412,6 @@ def repeat_differences(
     files: DataFrame, repos: DataFrame | None = None, options: ScanOptions = ScanOptions(), *, reorder: bool = False
 ) -> DataFrame:
     """The findings that a second scan under another schedule has more or less often than the first."""
-    folder = f"{work_folder(files.sparkSession)}/corpaudit-{uuid.uuid4().hex}"
-    kept = [diff.KeptRun.write(run, f"{folder}/{n}") for n, run in enumerate(_two_scans(files, repos, options, reorder))]
+    spark = files.sparkSession
+    kept = [diff.KeptRun.write(run, new_folder(spark, "run")) for run in _two_scans(files, repos, options, reorder)]
     return diff.differing_rows(*kept)

@@ -11,17 +11,40 @@ from corpaudit import constants as K
 from corpaudit.functions import suffix
 from corpaudit.schemas import FILES
 
+# Content of a packed file and of a row group in it, about; repositories that a filter may name.
+FILE_BYTES = 512 << 20
+GROUP_BYTES = 32 << 20
+FILTERED_REPOS = 1000
+
 __all__ = ["read_files", "write_files", "file_records", "classify_binary", "size_gate_drop", "read_errors"]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Packed corpus. Only the columns a query names are read from storage."""
-    return spark.read.schema(FILES).parquet(path)
+def read_files(spark: SparkSession, path: str, repos: DataFrame | None = None) -> DataFrame:
+    """Packed corpus, or those of its repositories that `repos` (repo_id) names.
+
+    Only the columns a query names are read from storage. Names of few repositories are a filter on
+    storage, so row groups of other repositories are not read; beyond FILTERED_REPOS they are a join.
+    """
+    files = spark.read.schema(FILES).parquet(path)
+    if repos is None:
+        return files
+    some = repos.select("repo_id").distinct().limit(FILTERED_REPOS + 1).collect()
+    if len(some) > FILTERED_REPOS:
+        return files.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
+    return files.filter(F.col("repo_id").isin([r.repo_id for r in some]))
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """Pack a corpus; flags become physical columns that filters push down to."""
-    files.select(*FILES.fieldNames()).write.parquet(path)
+def write_files(files: DataFrame, path: str, *, file_bytes: int = FILE_BYTES, group_bytes: int = GROUP_BYTES) -> None:
+    """Pack a corpus; flags become physical columns that filters push down to.
+
+    The rows are clustered by repository and path. Files hold about file_bytes of content on average and
+    row groups about group_bytes; a large repository spans many of them, many small ones share one.
+    """
+    kept = files.select(*FILES.fieldNames())
+    total = kept.agg(F.sum(F.when(F.col("content").isNotNull(), F.col("size")))).first()[0] or 0
+    parts = int(total // file_bytes) + 1
+    ordered = kept.repartitionByRange(parts, "repo_id", "path").sortWithinPartitions("repo_id", "path")
+    ordered.write.option("parquet.block.size", group_bytes).parquet(path)
 
 
 def classify_binary(

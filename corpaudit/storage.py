@@ -22,12 +22,17 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="corpaudit-")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the work folder; nothing is there yet."""
+    return f"{work_folder(spark).rstrip('/')}/corpaudit-{uuid.uuid4().hex}/{name}"
+
+
 def stored(table: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: short lineage, column pruning.
 
     The files outlive the session, as checkpoint files do.
     """
     spark = table.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/corpaudit-{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)

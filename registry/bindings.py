@@ -7,10 +7,15 @@ results of the package.
 
 from __future__ import annotations
 
+import os
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpaudit.sources import file_records
+from corpaudit.storage import stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -96,6 +101,28 @@ def damaged_files(spark, folder) -> DataFrame:
     return file_records(_raw(_doc_rows(spark, folder), damaged))
 
 
+def written_tree(files: DataFrame, folder: str) -> DataFrame:
+    """The files below folder/repo_id/path, written by Spark's tasks; (repo_id, root) per repository.
+
+    Every executor must see the folder. A task that runs again writes the same files again.
+    """
+
+    def write(batches):
+        for batch in batches:
+            for repo, path, content in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "path", "content"))):
+                target = os.path.join(folder, repo, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{os.getpid()}.part"
+                with open(part, "wb") as handle:
+                    handle.write(content or b"")
+                os.replace(part, target)
+            yield batch.select(["repo_id"])
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    written = files.select("repo_id", "path", "content").mapInArrow(write, "repo_id string")
+    return stored(written.distinct(), "written").select("repo_id", F.concat(F.lit(folder + "/"), "repo_id").alias("root"))
+
+
 CTES["doc_files"] = f"""
 SELECT source AS repo_id, doc_id, text, extension, octet_length(encode(text)) AS size,
        'docs/' || lang || '/d' || doc_id || extension AS path,

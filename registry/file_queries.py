@@ -8,7 +8,11 @@ from corpaudit import functions as X
 from corpaudit.operators import files as ops
 from corpaudit.operators.code import lines, with_text
 from corpaudit.operators.findings import error_limit
-from corpaudit.sources import read_errors, size_gate_drop
+from corpaudit.sources import file_records as records
+from corpaudit.sources import read_errors, read_repo_dirs, size_gate_drop
+from corpaudit.sources import read_files as read_packed
+from corpaudit.sources import write_files
+from corpaudit.storage import new_folder
 from registry import bindings as B
 from registry.bindings import with_ctes
 from registry.catalog import query
@@ -20,6 +24,30 @@ def file_records(spark, sf):
     return B.doc_files(spark, sf).select("repo_id", "path", "extension", "size", "is_binary", "is_source")
 
 
+@query(with_ctes("doc_files") + """
+SELECT repo_id, path, 'file' AS kind, size, extension, is_source, sha256(text) AS digest FROM doc_files
+UNION ALL SELECT DISTINCT repo_id, unnest(['docs', string_split(path, '/')[1] || '/' || string_split(path, '/')[2]]), 'dir', 0, '', false, NULL
+FROM doc_files""")
+def repo_dirs(spark, sf):
+    """The documents as trees of files, listed level by level and read again."""
+    folder = new_folder(spark, "trees").removeprefix("file:")
+    roots = B.written_tree(B.doc_files(spark, sf), folder)
+    found = records(read_repo_dirs(spark, roots)).withColumn("digest", F.sha2("content", 256))
+    return found.select("repo_id", "path", "kind", "size", "extension", "is_source", "digest")
+
+
+@query(with_ctes("doc_files") + """
+SELECT repo_id, path, extension, size, false AS is_binary, is_source, sha256(text) AS digest FROM doc_files
+WHERE repo_id IN (SELECT DISTINCT 'src' || (p_partkey % 3) FROM part)""")
+def read_files(spark, sf):
+    """Some repositories of a packed corpus, named by a table."""
+    path = new_folder(spark, "packed")
+    write_files(B.doc_files(spark, sf), path, file_bytes=1 << 20, group_bytes=1 << 18)
+    repos = B.table(spark, sf, "part").select(F.expr("'src' || (p_partkey % 3)").alias("repo_id"))
+    some = read_packed(spark, path, repos).withColumn("digest", F.sha2("content", 256))
+    return some.select("repo_id", "path", "extension", "size", "is_binary", "is_source", "digest")
+
+
 @query(with_ctes("doc_files") + """
 SELECT repo_id, path, doc_id % 9 = 0 AND size < 8192 AS is_binary,
        is_source AND NOT (doc_id % 9 = 0 AND size < 8192) AS is_source

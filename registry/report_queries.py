@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from corpaudit.operators import dependencies as deps
 from corpaudit.operators import diff, findings, hygiene, reports, scoring
 from corpaudit.plans import scan as plans
 from corpaudit.plans.reuse import FeatureStore
-from corpaudit.storage import work_folder
+from corpaudit.storage import new_folder
 from registry import bindings as B
 from registry.bindings import with_ctes
 from registry.catalog import query
@@ -332,9 +331,8 @@ _ROW = "repo_id, id, severity, path, line"
 
 
 def _event_runs(spark, sf):
-    folder = f"{work_folder(spark)}/corpaudit-{uuid.uuid4().hex}"
     runs = B.event_findings(spark, sf), B.event_findings_b(spark, sf)
-    return [diff.KeptRun.write(run, f"{folder}/{n}") for n, run in enumerate(runs)]
+    return [diff.KeptRun.write(run, new_folder(spark, "run")) for run in runs]
 
 
 @query(_RUNS + f""", a AS (SELECT {_ROW}, count(*) AS n FROM findings GROUP BY ALL),
@@ -422,7 +420,7 @@ def scan_findings(spark, sf):
 
 
 def _new_store(spark) -> FeatureStore:
-    return FeatureStore(spark, f"{work_folder(spark)}/corpaudit-{uuid.uuid4().hex}/features-by-content")
+    return FeatureStore(spark, new_folder(spark, "features-by-content"))
 
 
 @query(_SCANNED_PATHS + "SELECT * FROM whole")

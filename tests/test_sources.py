@@ -1,7 +1,14 @@
 import os
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpaudit.operators import files as ops
 from corpaudit.operators.findings import error_limit
+from corpaudit.sources import packed, repo_dirs
+from corpaudit.sources.repo_dirs import list_repo_dirs
 from corpaudit.sources import read_errors, read_files, read_repo_dirs, size_gate_drop, write_files
 from tests.helpers import column, corpus
 
@@ -109,3 +116,54 @@ def test_roots_of_equal_name_stay_apart_and_large_manifests_are_read(spark, tmp_
         (roots[0], "main.py"): True, (roots[0], "go.mod"): True, (roots[1], "main.py"): True}
     named = read_repo_dirs(spark, {"a": roots[0], "b": roots[1]}).select("repo_id").distinct().collect()
     assert sorted(r.repo_id for r in named) == ["a", "b"]
+
+
+def test_one_folder_of_one_repository_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(repo_dirs, "READ_BYTES", 40_000)
+    monkeypatch.setattr(repo_dirs, "FILE_BYTES", 100)
+    monkeypatch.setattr(repo_dirs, "LISTED_DIRS", 2)
+    files = {f"src/d{i % 7}/e{i % 3}/f{i}.py": "x" * (i * 20) for i in range(120)}
+    build(tmp_path / "app", files)
+    raw = read_repo_dirs(spark, {"app": str(tmp_path / "app")})
+    rows = raw.withColumn("task", F.spark_partition_id()).filter("kind = 'file'").collect()
+    assert {r.path: len(r.content) for r in rows} == {p: len(c) for p, c in files.items()}
+    read = Counter()
+    for r in rows:
+        read[r.task] += r.size
+    assert len(read) >= 4 and max(read.values()) <= 40_000 + 120 * 20
+
+
+def test_roots_from_a_table_and_none(spark, tmp_path):
+    build(tmp_path / "one", {"a/b/c.txt": "x"})
+    roots = spark.createDataFrame([("r", str(tmp_path / "one")), ("gone", str(tmp_path / "two"))], "repo_id string, root string")
+    listed = {(r.repo_id, r.path, r.kind) for r in list_repo_dirs(spark, roots).collect()}
+    assert listed == {("r", "a", "dir"), ("r", "a/b", "dir"), ("r", "a/b/c.txt", "file"), ("gone", ".", "dir")}
+    assert read_repo_dirs(spark, {}).count() == 0
+    (tmp_path / "empty").mkdir()
+    assert read_repo_dirs(spark, [str(tmp_path / "empty")]).count() == 0
+
+
+def scanned_rows(frame):
+    """Rows that the scan of an executed plan gave."""
+    frame.collect()
+    leaf = frame._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_a_few_repositories_read_few_row_groups(spark, tmp_path):
+    rows = corpus(spark, {f"f{i}.txt": chr(65 + i) * 3000 for i in range(20)})
+    many = reduce(DataFrame.union, [rows.withColumn("repo_id", F.lit(f"r{n:02d}")) for n in range(30)])
+    write_files(many, str(tmp_path / "p"), file_bytes=60_000, group_bytes=50_000)
+    wanted = spark.createDataFrame([("r07",), ("r21",), ("none",)], "repo_id string")
+    some = read_files(spark, str(tmp_path / "p"), wanted)
+    assert sorted({r.repo_id for r in some.collect()}) == ["r07", "r21"] and some.count() == 40
+    assert read_files(spark, str(tmp_path / "p")).count() == 600
+    assert scanned_rows(some.select("repo_id", "path")) <= 200
+    assert len(os.listdir(tmp_path / "p")) > 25
+
+
+def test_more_repositories_than_a_filter_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packed, "FILTERED_REPOS", 1)
+    write_files(corpus(spark, {"a": "x"}, "one").union(corpus(spark, {"b": "y"}, "two")), str(tmp_path / "p"))
+    names = spark.createDataFrame([("two",), ("three",), ("two",)], "repo_id string")
+    assert column(read_files(spark, str(tmp_path / "p"), names), "path") == ["b"]
