@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import logging
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +19,10 @@ from pyspark.sql import functions as F
 
 from corpaudit.llm.common import in_arrow, numbered, stored, text_slices
 
-#: Steps of the search for one filling; the best filling found so far is kept after that.
-SEARCH_STEPS = 2_000
+#: Steps of the search for a packing with fewer sequences than the incumbent; below MIN_STEPS it is not begun anew.
+SEARCH_STEPS, MIN_STEPS = 400_000, 1_000
+#: Steps for one filling of the first descent, and completions among which the best comes first.
+DIVE_STEPS, WIDTH = 2_000, 24
 #: Fixed value: how byte-level tokenizers of this kind split text.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -190,82 +196,247 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     return in_arrow(docs.select("doc_id", "text"), run, PIECES)
 
 
-def complete_bin(room: int, lengths: list[int], counts: dict[int, int], steps: int = SEARCH_STEPS) -> tuple[int, ...]:
-    """The filling of `room` with least waste, from `lengths` (descending) of which `counts` are left.
-
-    Depth-first over undominated fillings: larger documents come first and a document that fits
-    exactly dominates every split of its space. A branch is left when even the space it can still
-    fill can't beat the best filling; the first, best-fit one starts as the best. Stops at no waste.
-    """
-    if not lengths or room < lengths[-1]:
-        return ()
-    best: tuple[int, ...] = ()
-    best_waste = room
-    left = steps
-    index = {length: i for i, length in enumerate(lengths)}
-    # the first length that fits into each room
-    fits = np.searchsorted(-np.array(lengths), -np.arange(room + 1), side="left")
-    smallest = lengths[-1]
-
-    def search(space: int, start: int, taken: list[int]) -> bool:
-        nonlocal best, best_waste, left
-        if space < best_waste:
-            best, best_waste = tuple(taken), space
-            if space == 0:
-                return True
-        if space < smallest:
-            return False
-        first = max(start, int(fits[space]))
-        exact = index.get(space)
-        if exact is not None and exact >= start and counts[space] > taken.count(space):
-            best, best_waste = (*taken, space), 0
-            return True
-        for i in range(first, len(lengths)):
-            left -= 1
-            if left <= 0:
-                return False
-            length = lengths[i]
-            if counts[length] <= taken.count(length):
-                continue
-            rest = space - length
-            if rest < smallest and rest >= best_waste:
-                break  # what follows is smaller and leaves still more
-            taken.append(length)
-            if search(rest, i, taken):
-                return True
-            taken.pop()
+#: Lengths of one sequence, largest first, as (length, copies).
+Filling = tuple[tuple[int, int], ...]
+
+
+class Plan(NamedTuple):
+    """Fillings with the number of sequences that have them; no packing has fewer than `least` sequences."""
+
+    fillings: list[tuple[Filling, int]]
+    least: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self.fillings)
+
+
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound: the summed lengths, and for every threshold the long ones with what must stand beside them."""
+    sizes = sorted(histogram)
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    half = [n for n in sizes if 2 * n > capacity]
+    for k in [0, *(n for n in sizes if 2 * n <= capacity)]:
+        alone = sum(histogram[n] for n in half if n > capacity - k)
+        shared = [n for n in half if n <= capacity - k]
+        room = sum((capacity - n) * histogram[n] for n in shared)
+        small = sum(n * histogram[n] for n in sizes if k <= n and 2 * n <= capacity)
+        least = max(least, alone + sum(histogram[n] for n in shared) + max(0, -(-(small - room) // capacity)))
+    return least
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Best-fit decreasing over counts: each length, largest first, goes where least space is left."""
+    groups: dict[int, dict[Filling, int]] = {}
+    for length in sorted(histogram, reverse=True):
+        waiting = histogram[length]
+        for space in sorted(s for s in groups if s >= length):
+            for filling, bins in list(groups[space].items()):
+                copies = space // length
+                full = min(bins, waiting // copies)
+                rest = waiting - full * copies if full < bins else 0
+                for times, taken in ((full, copies), (1 if rest else 0, rest)):
+                    if times:
+                        after = groups.setdefault(space - taken * length, {})
+                        longer = (*filling, (length, taken))
+                        after[longer] = after.get(longer, 0) + times
+                        waiting -= times * taken
+                        groups[space][filling] -= times
+                if not groups[space][filling]:
+                    del groups[space][filling]
+                if not waiting:
+                    break
+            if not waiting:
+                break
+        copies = capacity // length
+        for times, taken in ((waiting // copies, copies), (1 if waiting % copies else 0, waiting % copies)):
+            if times:
+                new = groups.setdefault(capacity - taken * length, {})
+                new[((length, taken),)] = new.get(((length, taken),), 0) + times
+    return [(filling, times) for found in groups.values() for filling, times in found.items()]
+
+
+class _Search:
+    """Branch and bound over sequences: the largest length left opens one, its completions are the branches."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int, steps: int):
+        self.counts = dict(histogram)
+        self.capacity = capacity
+        self.steps = steps
+        self.lengths = sorted(histogram)
+        self.total = sum(n * c for n, c in histogram.items())
+
+    def take(self, filling: Filling, times: int) -> None:
+        for length, n in filling:
+            self.counts[length] -= n * times
+            if not self.counts[length]:
+                del self.lengths[bisect_left(self.lengths, length)]
+
+    def give_back(self, filling: Filling, times: int) -> None:
+        for length, n in filling:
+            if not self.counts[length]:
+                insort(self.lengths, length)
+            self.counts[length] += n * times
+
+    def _dominated(self, filling: Filling, waste: int) -> bool:
+        """Whether a length that is left could replace one or two of the filling that sum up to no more."""
+        sizes = [length for length, n in filling for _ in range(min(n, 2))]
+        sums = {x for x, _ in filling} | {x + y for i, x in enumerate(sizes) for y in sizes[i + 1:]}
+        pairs = {x + y for i, x in enumerate(sizes) for y in sizes[i + 1:]}
+        used = dict(filling)
+        for s in sums:
+            # one length is replaced by a larger one only, two of them also by one as long
+            at = bisect_left(self.lengths, s if s in pairs else s + 1)
+            while at < len(self.lengths) and self.lengths[at] <= s + waste:
+                if self.counts[self.lengths[at]] > used.get(self.lengths[at], 0):
+                    return True
+                at += 1
         return False
 
-    search(room, 0, [])
-    return best
-
-
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences) that use up the histogram.
+    def completions(self, largest: int, waste: int) -> Iterator[tuple[int, Filling]]:
+        """Undominated fillings around the largest length that waste no more than told, large lengths first."""
+        mass = [0]
+        for length in self.lengths:
+            mass.append(mass[-1] + length * (self.counts[length] - (length == largest)))
+
+        def walk(space: int, upto: int) -> Iterator[tuple[int, Filling]]:
+            self.steps -= 1
+            fits = bisect_right(self.lengths, space, 0, upto)
+            if fits == 0 or self.steps <= 0:
+                if space <= waste:
+                    yield space, ()
+                return
+            for at in range(fits - 1, -1, -1):
+                if space - mass[at + 1] > waste:
+                    break  # all that is left below cannot fill the space
+                length = self.lengths[at]
+                copies = min(self.counts[length] - (length == largest), space // length)
+                for n in range(copies, 0, -1):
+                    for left, tail in walk(space - n * length, at):
+                        yield left, ((length, n), *tail)
+                        if self.steps <= 0:
+                            return
+                    if n * length == space:
+                        return  # an exact fit dominates every split of the space
+            if space <= waste:
+                yield space, ()
+
+        for left, rest in walk(self.capacity - largest, len(self.lengths)):
+            joined = dict(rest)
+            joined[largest] = joined.get(largest, 0) + 1
+            filling = tuple(sorted(joined.items(), reverse=True))
+            if not left or not self._dominated(filling, left):
+                yield left, filling
+
+    def branches(self, largest: int, waste: int, barred: frozenset) -> Iterator[tuple[int, Filling]]:
+        """Completions, the best of the first WIDTH ones first."""
+        found = self.completions(largest, waste)
+        some = []
+        for left, filling in found:
+            if filling not in barred:
+                some.append((left, filling))
+                if not left or len(some) == WIDTH:
+                    break
+        yield from sorted(some, key=lambda f: f[0])
+        yield from ((left, filling) for left, filling in found if filling not in barred)
+
+    def most(self, filling: Filling) -> int:
+        return min(self.counts[length] // n for length, n in filling)
+
+    def dive(self) -> list[tuple[Filling, int]]:
+        """The first descent: every sequence gets its best filling among the first ones, as often as it can."""
+        out = []
+        while self.lengths:
+            budget, self.steps = self.steps, DIVE_STEPS
+            best = min(islice(self.completions(self.lengths[-1], self.capacity), WIDTH), key=lambda f: f[0], default=None)
+            self.steps = budget
+            filling = best[1] if best else ((self.lengths[-1], 1),)
+            times = self.most(filling)
+            self.take(filling, times)
+            out.append((filling, times))
+        for filling, times in out:
+            self.give_back(filling, times)
+        return out
 
-    The largest document left opens a sequence, `complete_bin` fills it, and the filling is repeated
-    as often as the counts allow. The work depends on the number of distinct lengths, at most
-    `capacity`, not on the number of documents.
+    def within(self, sequences: int) -> list[tuple[Filling, int]] | None:
+        """A packing into at most so many sequences; None if there is none or the steps are used up."""
+        waste = sequences * self.capacity - self.total
+        path: list[tuple[Filling, int, int]] = []
+        tried: list[set[Filling]] = [set()]
+
+        def options(barred: frozenset) -> Iterator[tuple[Filling, int, int]]:
+            for left, filling in self.branches(self.lengths[-1], waste, barred):
+                tried[-1].add(filling)
+                most = self.most(filling)
+                if left:
+                    most = min(most, waste // left)
+                for times in range(most, 0, -1):
+                    yield filling, times, left * times
+
+        levels = [options(frozenset())]
+        while levels:
+            if self.steps <= 0:
+                return None
+            step = next(levels[-1], None)
+            if step is None:
+                levels.pop()
+                tried.pop()
+                if path:
+                    filling, times, lost = path.pop()
+                    self.give_back(filling, times)
+                    waste += lost
+                continue
+            filling, times, lost = step
+            self.take(filling, times)
+            waste -= lost
+            path.append(step)
+            if not self.lengths:
+                return [(f, t) for f, t, _ in path]
+            # the same largest length again: fillings looked at above would come in another order only
+            same = self.lengths[-1] == filling[0][0]
+            barred = frozenset(tried[-1]) if same else frozenset()
+            tried.append(set(barred))
+            levels.append(options(barred))
+        return None
+
+
+def plan(histogram: dict[int, int], capacity: int, steps: int = SEARCH_STEPS) -> Plan:
+    """Fillings that use up the histogram {length: count}, in as few sequences as the search finds.
+
+    Best-fit decreasing and a first descent through the completions are the incumbents. While the better
+    one has more sequences than the lower bound, bin completion looks for a packing with fewer: the
+    largest length left opens a sequence, undominated completions are its branches, and a branch ends
+    when its waste exceeds what the number of sequences allows. The search takes `steps` at most, after
+    which the incumbent stands; Plan.least then tells how far it can be from the best. Equal lengths are
+    taken in one step, so the work depends on the number of distinct lengths, at most `capacity`.
     """
-    counts = {length: n for length, n in histogram.items() if n > 0}
-    out = []
-    while counts:
-        largest = max(counts)
-        counts[largest] -= 1
-        lengths = sorted((x for x, n in counts.items() if n > 0 and x <= capacity - largest), reverse=True)
-        filling = (largest, *complete_bin(capacity - largest, lengths, counts))
-        counts[largest] += 1
-        used = {x: filling.count(x) for x in filling}
-        times = min(counts[x] // n for x, n in used.items())
-        out.append((filling, times))
-        for x, n in used.items():
-            counts[x] -= n * times
-            if not counts[x]:
-                del counts[x]
-    return out
-
-
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+    known = {length: n for length, n in histogram.items() if n > 0}
+    if not known:
+        return Plan([], 0)
+    least = least_sequences(known, capacity)
+    best = best_fit(known, capacity)
+    search = _Search(known, capacity, steps)
+    if sum(t for _, t in best) > least:
+        best = min(search.dive(), best, key=lambda f: sum(t for _, t in f))
+    wanted = least
+    while wanted < sum(t for _, t in best) and search.steps > 0:
+        # a share of the steps for each number of sequences, the rest for the last one
+        spare, search.steps = search.steps // 2, search.steps - search.steps // 2
+        fresh = _Search(known, capacity, search.steps)
+        found = fresh.within(wanted)
+        if found is not None:
+            best = found
+            break
+        search.steps = fresh.steps + spare
+        if fresh.steps > 0:
+            least = wanted + 1  # the whole tree was seen
+        wanted += 1
+        if spare < MIN_STEPS:
+            break
+    return Plan(best, min(least, sum(t for _, t in best)))
+
+
+def pack(pieces: DataFrame, capacity: int, steps: int = SEARCH_STEPS) -> DataFrame:
     """`pieces` with sequence_id and offset.
 
     Only the histogram of lengths (at most `capacity` rows) reaches the driver. Every piece is
@@ -273,19 +444,20 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     of that number. Equal pieces are interchangeable. An empty table stays empty.
     """
     rows = pieces.groupBy("length").count().collect()
-    filled = plan({r["length"]: r["count"] for r in rows}, capacity)
-    slots: dict[int, list[tuple[int, int, int]]] = {}
+    filled = plan({r["length"]: r["count"] for r in rows}, capacity, steps)
+    logging.getLogger(__name__).info("%d sequences, at least %d are needed", filled.sequences, filled.least)
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
     base = 0
-    for lengths, times in filled:
+    for filling, times in filled.fillings:
         offset = 0
-        for length in lengths:
-            slots.setdefault(length, []).append((times, base, offset))
-            offset += length
+        for length, copies in filling:
+            slots.setdefault(length, []).append((times, copies, base, offset))
+            offset += length * copies
         base += times
     starts = {}
     for length, entries in slots.items():
-        times, bases, offsets = (np.array(x, np.int64) for x in zip(*entries))
-        starts[length] = (np.cumsum(times) - times, bases, offsets)
+        times, copies, bases, offsets = (np.array(x, np.int64) for x in zip(*entries))
+        starts[length] = (np.cumsum(times * copies) - times * copies, copies, bases, offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,10 +466,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
-                begin, bases, offsets = starts[int(length)]
+                begin, copies, bases, offsets = starts[int(length)]
                 entry = np.searchsorted(begin, ranks[at], side="right") - 1
-                sequence[at] = bases[entry] + ranks[at] - begin[entry]
-                offset[at] = offsets[entry]
+                place = ranks[at] - begin[entry]
+                sequence[at] = bases[entry] + place // copies[entry]
+                offset[at] = offsets[entry] + place % copies[entry] * length
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(sequence), pa.array(offset)],
                 [*batch.schema.names[:-1], "sequence_id", "offset"],

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -26,26 +27,77 @@ def test_cut(length, expected):
     assert packing.cut(length, 8) == expected
 
 
-def test_plan_fills_every_piece_once_and_needs_few_sequences():
-    draw = random.Random(1)
-    histogram = {}
-    for _ in range(3000):
-        n = draw.randint(1, 2048)
-        histogram[n] = histogram.get(n, 0) + 1
-    used = {}
-    sequences = 0
-    for lengths, times in packing.plan(histogram, 2048):
-        assert sum(lengths) <= 2048 and times > 0
-        sequences += times
-        for n in lengths:
-            used[n] = used.get(n, 0) + times
-    assert used == histogram
-    least = -(-sum(n * k for n, k in histogram.items()) // 2048)
-    assert least <= sequences <= least * 1.03
-
-
-def test_complete_bin_finds_the_fit_that_greedy_misses():
-    assert sum(packing.complete_bin(10, [8, 5, 4, 1], {8: 1, 5: 2, 4: 1, 1: 1})) == 10
+def used_by(plan, capacity):
+    used = Counter()
+    for filling, times in plan.fillings:
+        assert sum(n * copies for n, copies in filling) <= capacity and times > 0
+        for n, copies in filling:
+            used[n] += copies * times
+    return used
+
+
+def fewest(items, capacity):
+    """The least number of bins, by trying all."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[i]}:
+            at = rooms.index(room)
+            place(i + 1, [*rooms[:at], room - items[i], *rooms[at + 1:]])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_is_the_best_there_is():
+    for seed in range(200):
+        draw = random.Random(seed)
+        capacity = draw.choice([10, 20, 37, 60])
+        items = [draw.randint(1, draw.choice([capacity, capacity // 2])) for _ in range(draw.randint(1, 11))]
+        found = packing.plan(Counter(items), capacity)
+        assert used_by(found, capacity) == Counter(items)
+        assert found.sequences == fewest(items, capacity) >= found.least, (capacity, items)
+
+
+def test_plan_beats_best_fit_decreasing():
+    gained = 0
+    for seed in range(6):
+        draw = random.Random(seed)
+        histogram = Counter(draw.randint(1, 2048) if seed < 3 else draw.randint(200, 900) for _ in range(400))
+        found = packing.plan(histogram, 2048)
+        plain = sum(times for _, times in packing.best_fit(histogram, 2048))
+        assert used_by(found, 2048) == histogram and found.least <= found.sequences <= plain
+        assert found.sequences <= found.least + 2
+        gained += plain - found.sequences
+    assert gained > 0
+
+
+@pytest.mark.parametrize("histogram,sequences", [
+    ({}, 0), ({1: 3_000_000}, 1465), ({1: 1500, 2: 10}, 1), ({2048: 10**9, 1: 10**9, 1024: 7}, 10**9 + 488285), ({1: 0, 5: 1}, 1),
+])
+def test_plan_takes_equal_lengths_in_one_step(histogram, sequences):
+    found = packing.plan(histogram, 2048)
+    assert found.sequences == found.least == sequences
+
+
+def test_without_steps_the_incumbent_stands():
+    histogram = Counter(random.Random(3).randint(200, 900) for _ in range(400))
+    found = packing.plan(histogram, 2048, steps=0)
+    assert used_by(found, 2048) == histogram
+    assert found.least <= found.sequences <= sum(times for _, times in packing.best_fit(histogram, 2048))
+
+
+def test_thousands_of_blank_texts(spark):
+    rows = [(i, None if i % 2 else "", "en", "s", 1) for i in range(3000)] + [(5000, "a word", "en", "s", 1)]
+    found = packing.packed(documents(spark, rows), PATH, 128).collect()
+    places = {(r.sequence_id, r.offset) for r in found}
+    assert len(places) == 3001 and len({s for s, _ in places}) == -(-sum(r.length for r in found) // 128)
 
 
 def test_pack_places_all_rows_without_gaps(spark):
