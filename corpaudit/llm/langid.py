@@ -23,6 +23,8 @@ LEAST_SHARE = 2e-5
 LEAST_PART = 0.5
 #: Bits of every language's filter for each n-gram in the fullest one; and hash functions.
 BITS_PER_GRAM, HASHES = 12, 4
+#: Text whose n-grams a task holds at once, and cells of its table of distinct ones.
+SLICE_BYTES, CELL_BITS = 1 << 19, 19
 
 
 @lru_cache(maxsize=1)
@@ -65,11 +67,11 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     A table by the leading bits gives nearly all of them; the rest, where two share a cell, is sorted.
     """
-    cell = (hashes >> np.uint64(42)).astype(np.int64)
-    table = np.zeros(1 << 22, np.uint64)
+    cell = (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    table = np.zeros(1 << CELL_BITS, np.uint64)
     table[cell] = hashes
     used = np.flatnonzero(table)
-    place = np.zeros(1 << 22, np.int64)
+    place = np.zeros(1 << CELL_BITS, np.int64)
     place[used] = np.arange(len(used))
     back, values = place[cell], table[used]
     lost = np.flatnonzero(table[cell] != hashes)
@@ -84,7 +86,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): n-grams of all texts by their language. Each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, size=2 << 20):
+        for batch in text_slices(batches, size=SLICE_BYTES):
             bounds, codes, words = words_of(batch.column("text"))
             owners, hashes = grams(words)
             langs = batch.column("lang").to_pylist()
@@ -124,7 +126,8 @@ class LanguageFilters:
 
 
 def _slot(hashes: np.ndarray, k: int, size: int) -> np.ndarray:
-    return (mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+    step = np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return (mix(hashes + step) % np.uint64(size)).astype(np.int64)
 
 
 def train(docs: DataFrame) -> LanguageFilters | None:
@@ -178,7 +181,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, size=2 << 20):
+        for batch in text_slices(batches, size=SLICE_BYTES):
             bounds, codes, words = words_of(batch.column("text"))
             owners, hashes = grams(words)
             names = filters.names if filters else ()

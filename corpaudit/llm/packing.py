@@ -27,7 +27,7 @@ DIVE_STEPS, WIDTH = 2_000, 24
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Text tokenized at once; larger slices repeat more words.
-TOKEN_SLICE_BYTES = 6 << 20
+TOKEN_SLICE_BYTES = 3 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN_CHUNK = r"^ ([!-~\x{a1}-\x{24f}]|[!-~\x{a1}-\x{24f}][\t-\r!-~\x{a1}-\x{24f}]*[!-~\x{a1}-\x{24f}])$"
