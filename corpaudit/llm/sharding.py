@@ -16,6 +16,8 @@ from corpaudit.llm.common import SLICE_ROWS, numbered, stored
 #: Propagation ends when nothing wants to move, when nothing could in some rounds, and after so many.
 ROUNDS = 20
 PATIENCE = 2
+#: A key that holds more than one row in so many, and more than so many rows, is numbered by several tasks.
+TASKS, LEAST_ROWS = 512, 500
 
 
 def _deal(nodes: DataFrame, total: int, shards: int) -> DataFrame:
@@ -140,9 +142,9 @@ def propagated(nodes: DataFrame, members: DataFrame, linked: int, capacity: list
     return cells, loads
 
 
-def _ranked(rows: DataFrame, keys: list[str], total: Column) -> DataFrame:
-    """Column `_rank`, from 0 within the keys; a key of more than SLICE_ROWS rows is numbered in slices."""
-    slices = F.floor((total - 1) / SLICE_ROWS) + 1
+def _ranked(rows: DataFrame, keys: list[str], total: Column, slice_rows: int) -> DataFrame:
+    """Column `_rank`, from 0 within the keys; a key of more than `slice_rows` rows is numbered in slices."""
+    slices = F.floor((total - 1) / slice_rows) + 1
     cut = rows.withColumn("_slices", slices).withColumn("_slice", F.pmod(F.xxhash64("_row"), F.col("_slices")))
     sizes = cut.filter("_slices > 1").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -197,7 +199,7 @@ def sharded(docs: DataFrame, links: Column, shards: int, rounds: int = ROUNDS) -
         "_alone": alone, "_node": F.when(alone, F.lit(0).cast("long")).otherwise(F.col("_node")),
         "_total": F.coalesce("_total", F.lit(max(filled, 1)).cast("long")),
     })
-    ranked = _ranked(named, ["_alone", "_node"], F.col("_total"))
+    ranked = _ranked(named, ["_alone", "_node"], F.col("_total"), min(SLICE_ROWS, max(total // TASKS, LEAST_ROWS)))
     spot = F.filter(F.coalesce("_places", F.array(*gaps)), lambda p: p["end"] > F.col("_rank"))
     put = ranked.select("_doc", "_row", F.get(spot, 0)["shard"].alias("shard"))
     slots = numbered(put, ["shard"], [F.col("_row")], F.col("_row"), total)
