@@ -44,6 +44,17 @@ def code_stats(spark, sf):
     return code.code_stats(code.file_line_stats(files), files.select("repo_id").distinct())
 
 
+@query(with_ctes("python_files") + """
+SELECT repo_id, count(*) AS source_files, sum(CASE WHEN broken THEN 0 ELSE functions END)::BIGINT AS functions,
+       sum(CASE WHEN broken THEN 0 ELSE classes END)::BIGINT AS classes, sum(CASE WHEN broken THEN 0 ELSE imports END)::BIGINT AS imports,
+       count(*) FILTER (broken) AS syntax_errors
+FROM python_files GROUP BY repo_id""")
+def python_code_stats(spark, sf):
+    files = B.python_files(spark, sf)
+    stats = code.code_stats(code.file_line_stats(files), files.select("repo_id").distinct(), python_code.python_metrics(files))
+    return stats.select("repo_id", "source_files", "functions", "classes", "imports", "syntax_errors")
+
+
 @query(with_ctes("code_files") + "SELECT repo_id, extension, count(*) AS files FROM code_files GROUP BY ALL")
 def extension_distribution(spark, sf):
     return code.extension_distribution(code.code_candidates(B.code_files(spark, sf)))

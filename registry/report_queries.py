@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from corpaudit import constants as K
 from corpaudit.operators import dependencies as deps
 from corpaudit.operators import diff, findings, hygiene, reports, scoring
+from corpaudit.plans import live
 from corpaudit.plans import scan as plans
 from corpaudit.plans.reuse import FeatureStore
+from corpaudit.sinks import ReportFolder
+from corpaudit.sources import write_files
 from corpaudit.storage import new_folder
 from registry import bindings as B
 from registry.bindings import with_ctes
 from registry.catalog import query
+from registry.code_queries import _HITS as _SECRET_HITS
 from registry.repo_queries import _HYGIENE, _README, _SUMMARY, _hashed_id, _at, _summary
 
 _FINDINGS = with_ctes("findings", "repos", "doc_scores")
@@ -419,6 +423,13 @@ def scan_findings(spark, sf):
     return found.select("repo_id", "id", "severity", "path", "category")
 
 
+def _lost(category: str, source: str = "whole") -> str:
+    return (
+        f"greatest(0, 100 - coalesce((SELECT sum({_PENALTY}) FROM {source} w "
+        f"WHERE w.repo_id = r.repo_id AND category = '{category}'), 0))::INT"
+    )
+
+
 def _new_store(spark) -> FeatureStore:
     return FeatureStore(spark, new_folder(spark, "features-by-content"))
 
@@ -432,6 +443,125 @@ def scan_again(spark, sf):
     return found.select("repo_id", "id", "severity", "path", "category")
 
 
+@query(_SCANNED_PATHS + "SELECT * FROM whole")
+def scan_by_batches(spark, sf):
+    """A stream over three deliveries, the last of which replaces repositories of the first; one is replayed."""
+    files, store = B.path_files(spark, sf), _new_store(spark)
+    packed, folder = new_folder(spark, "packed"), new_folder(spark, "live")
+    first = F.col("repo_id") < "r5"
+    deliveries = [files.filter(first & (F.col("kind") == "file") & F.col("is_source")), files.filter(~first), files.filter(first)]
+    for n, delivered in enumerate(deliveries):
+        write_files(delivered, f"{packed}/{n}")
+        live.follow(spark, packed, folder, feature_store=store).awaitTermination()
+    live.apply_batch(deliveries[1], 1, folder, plans.ScanOptions(), store)
+    return live.current(spark, folder, "findings").select("repo_id", "id", "severity", "path", "category")
+
+
+@query(_SCANNED_PATHS + "SELECT * FROM whole WHERE category NOT IN ('Security', 'Dependencies')")
+def enable_flags(spark, sf):
+    options = replace(plans.ScanOptions(), enable_secrets=False, enable_dependencies=False)
+    return plans.scan(B.path_files(spark, sf), options=options).findings.select("repo_id", "id", "severity", "path", "category")
+
+
+# Code files hold secrets and copies, and nothing of what a repository should have.
+_MIXED = _SCANNED_PATHS + ", code_files AS (" + B.CTES["code_files"] + "), code_lines AS (" + B.CTES["code_lines"] + ")," + _SECRET_HITS + """,
+code_copies AS (
+  SELECT 'code/' || repo_id AS repo_id, string_agg(path, ':' ORDER BY path) AS path, min(path) AS first_path
+  FROM code_files WHERE size > 0 GROUP BY repo_id, sha256(text) HAVING count(*) > 1),
+mixed AS (
+SELECT * FROM whole
+UNION ALL SELECT 'code/' || repo_id, rule || '-' || lpad(match::VARCHAR, 3, '0'), severity, path, 'Security' FROM hits
+UNION ALL SELECT repo_id, """ + _hashed_id("HYG-DUP-") + """, 'LOW', first_path, 'Hygiene' FROM code_copies
+UNION ALL SELECT 'code/' || repo_id, """ + _hashed_id("HYG-RISK-") + """, 'INFO', path, 'Hygiene' FROM code_files WHERE extension = '.sql'
+UNION ALL SELECT 'code/' || repo_id, id, severity, '', category
+FROM (SELECT DISTINCT repo_id FROM code_files),
+     (VALUES ('HYG-001', 'MEDIUM', 'Hygiene'), ('HYG-002', 'LOW', 'Hygiene'), ('HYG-003', 'LOW', 'Hygiene'), ('HYG-004', 'LOW', 'Hygiene'),
+             ('HYG-005', 'MEDIUM', 'Hygiene'), ('HYG-GIT-000', 'LOW', 'Hygiene'), ('DOC-000', 'MEDIUM', 'Documentation')) AS v(id, severity, category))
+"""
+
+
+@query(_MIXED + "SELECT * FROM mixed")
+def scan_mixed_findings(spark, sf):
+    """A scan over path rows and code files; what only a Python parser can tell of the code is left out."""
+    code_files = B.code_files(spark, sf).withColumn("repo_id", F.concat(F.lit("code/"), "repo_id"))
+    found = plans.scan(code_files.unionByName(B.path_files(spark, sf))).findings
+    told = found.filter(~(F.startswith("repo_id", F.lit("code/")) & F.startswith("id", F.lit("CODE-SYNTAX"))))
+    return told.select("repo_id", "id", "severity", "path", "category")
+
+
+_REPORT = _SCANNED_PATHS + """, code AS (
+  SELECT * FROM path_scanned WHERE NOT unreadable AND (is_source OR extension IN ('.md', '.txt', '.rst'))),
+counted AS (
+  SELECT r.repo_id, (SELECT count(*) FROM path_scanned s WHERE s.repo_id = r.repo_id) AS files_scanned,
+         (SELECT count(*) FROM code c WHERE c.repo_id = r.repo_id) AS source_files FROM path_repos r),
+"""
+
+
+@query(_REPORT + f"""rated AS (
+  SELECT r.repo_id, {_lost('Security')} AS security, {_lost('Dependencies')} AS dependencies,
+         {_lost('Code Health')} AS code_health, least({_lost('Documentation')}, doc_score)::INT AS documentation,
+         {_lost('Hygiene')} AS hygiene
+  FROM path_repos r JOIN scores s ON r.repo_id = s.repo_id)
+SELECT repo_id, unnest(['overall_score', 'security_score', 'dependencies_score', 'code_health_score', 'documentation_score',
+                        'hygiene_score', 'files_scanned', 'source_files', 'total_lines']) AS name,
+       unnest([round_even(security * 0.30::DECIMAL(9,6) + code_health * 0.25::DECIMAL(9,6) + documentation * 0.15::DECIMAL(9,6)
+         + dependencies * 0.15::DECIMAL(9,6) + hygiene * 0.15::DECIMAL(9,6), 0)::BIGINT, security, dependencies, code_health,
+         documentation, hygiene, files_scanned, source_files, source_files]) AS value
+FROM rated JOIN counted USING (repo_id)""")
+def scan_csv_summary(spark, sf):
+    """All nine measures of a scan; every text of a path row is one line."""
+    return reports.csv_summary(plans.scan(B.path_files(spark, sf)).summary)
+
+
+@query(_REPORT + """
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2
+           WHEN 'LOW' THEN 3 ELSE 4 END, category, path, id) - 1 AS step FROM whole),
+types AS (
+  SELECT repo_id, extension, count(*) AS files, row_number() OVER (PARTITION BY repo_id ORDER BY extension) - 1 AS step
+  FROM code GROUP BY repo_id, extension),
+members AS (
+  SELECT s.repo_id, c.first_path, s.path, row_number() OVER (PARTITION BY s.repo_id ORDER BY c.first_path, s.path) - 1 AS step
+  FROM path_scanned s JOIN copies c ON s.repo_id = c.repo_id AND list_contains(string_split(c.path, ':'), s.path)),
+failures AS (
+  SELECT repo_id, path, error, row_number() OVER (PARTITION BY repo_id ORDER BY path, error) - 1 AS step
+  FROM path_files WHERE kind = 'dir' AND error IS NOT NULL),
+largest AS (
+  SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY size DESC, path) AS position FROM code),
+parts AS (
+  SELECT repo_id, 0 AS part FROM path_repos UNION SELECT repo_id, step // 3 FROM ordered UNION SELECT repo_id, step // 3 FROM types
+  UNION SELECT repo_id, step // 3 FROM members UNION SELECT repo_id, step // 3 FROM failures)
+SELECT p.repo_id, p.part::INT AS part, CASE WHEN p.part = 0 THEN files_scanned END AS files_scanned,
+       CASE WHEN p.part = 0 THEN source_files END AS total_lines, CASE WHEN p.part = 0 THEN doc_score END AS doc_score,
+       CASE WHEN p.part = 0 THEN (SELECT string_agg(path, ',' ORDER BY position) FROM largest l WHERE l.repo_id = p.repo_id AND position <= 10) END AS largest,
+       coalesce((SELECT string_agg(id, ',' ORDER BY step) FROM ordered t WHERE t.repo_id = p.repo_id AND t.step // 3 = p.part), '') AS ids,
+       coalesce((SELECT string_agg(extension || ':' || files, ',' ORDER BY step) FROM types t WHERE t.repo_id = p.repo_id AND t.step // 3 = p.part), '') AS types,
+       coalesce((SELECT string_agg(first_path || '>' || path, ',' ORDER BY step) FROM members t WHERE t.repo_id = p.repo_id AND t.step // 3 = p.part), '') AS copies,
+       coalesce((SELECT string_agg(path || ': ' || error, ',' ORDER BY step) FROM failures t WHERE t.repo_id = p.repo_id AND t.step // 3 = p.part), '') AS errors
+FROM parts p JOIN counted c ON c.repo_id = p.repo_id JOIN scores s ON s.repo_id = p.repo_id""")
+def scan_documents(spark, sf):
+    """The documents of a scan's report, written by batches, taken up again, and read back."""
+    report = plans.scan(B.path_files(spark, sf)).report(part_rows=3)
+    folder = ReportFolder(spark, new_folder(spark, "documents"), batches=4)
+    folder.write(report)
+    folder.write(report)
+    told = folder.read(report.schema)
+    head = F.col("part") == 0
+
+    def joined(column, entry):
+        return F.coalesce(F.array_join(F.transform(column, entry), ","), F.lit(""))
+
+    return told.select(
+        "repo_id", "part", "summary.files_scanned", "code.total_lines",
+        F.when(head, F.regexp_extract(F.array_join("scores.reasons.documentation", ";"), "README score: ([0-9]+)", 1).cast("int")).alias("doc_score"),
+        F.when(head, F.array_join(F.transform("largest_files", lambda f: f["path"]), ",")).alias("largest"),
+        joined("findings", lambda f: f["id"]).alias("ids"),
+        joined("extension_distribution", lambda e: F.concat_ws(":", e["extension"], e["files"])).alias("types"),
+        joined("duplicate_groups", lambda d: F.concat_ws(">", d["first"], d["path"])).alias("copies"),
+        F.coalesce(F.array_join("errors", ","), F.lit("")).alias("errors"),
+    )
+
+
 @query(with_ctes("code_files") + """, sizes AS (SELECT count(*) AS n, count(DISTINCT (text, extension)) AS texts FROM code_files)
 SELECT 'originals' AS run, n AS files, texts AS examined FROM sizes
 UNION ALL SELECT 'with copies', 2 * n, 0 FROM sizes
@@ -452,13 +582,6 @@ def feature_reuse(spark, sf):
     return spark.createDataFrame(rows, "run string, files long, examined long")
 
 
-def _lost(category: str, source: str = "whole") -> str:
-    return (
-        f"greatest(0, 100 - coalesce((SELECT sum({_PENALTY}) FROM {source} w "
-        f"WHERE w.repo_id = r.repo_id AND category = '{category}'), 0))::INT"
-    )
-
-
 @query(_SCANNED_PATHS + f""", rated AS (
   SELECT r.repo_id, {_lost('Security')} AS security, {_lost('Dependencies')} AS dependencies,
          {_lost('Code Health')} AS code_health, least({_lost('Documentation')}, doc_score)::INT AS documentation,
