@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +22,66 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements whose content is no text of the page.
-_SILENT = frozenset("script style noscript template title svg math textarea select button iframe object head".split())
-#: Silent elements whose content holds no markup.
-_RAW = frozenset("script style title textarea iframe".split())
+_SILENT = frozenset("script style noscript template title svg textarea select button iframe object head".split())
+#: Silent elements that are skipped up to their end; those of the second list stand in the line.
+_RAW = frozenset("script style title textarea iframe svg".split())
+_RAW_INLINE = frozenset(["svg"])
 #: Elements that stand in the line; all others begin and end a block.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr br input".split()
+    "span strike strong sub sup time tt u var wbr br input "
+    # formulas are text of the line that they stand in
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new one of the same list ends.
 _ENDED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}}
 _WORD = re.compile(r"[a-z]+")
+#: Elements that a worker remembers between pages.
+TREE_NODES = 100_000
+
+
+class Node:
+    """An element as its ancestors and its name tell; equal ones of all pages are one node of a tree."""
+
+    __slots__ = ("tag", "words", "up", "fresh", "below", "scored")
+
+    def __init__(self, name: str, up: Node | None, fresh: bool):
+        self.tag, _, words = name.partition(".")
+        self.words = words.split()
+        self.up = up
+        self.fresh = fresh  # no ancestor has this tag
+        self.below: dict[str, Node] = {}
+        self.scored: tuple | None = None
+
+    def ancestors(self) -> list[Node]:
+        """From the root down to this one, the root left out."""
+        out, node = [], self
+        while node.up is not None:
+            out.append(node)
+            node = node.up
+        return out[::-1]
+
+
+class Tree:
+    """Nodes that pages share. Depth costs nothing: a node knows its parent, not its path."""
+
+    def __init__(self) -> None:
+        self.root = Node("", None, False)
+        self.size = 0
+
+    def below(self, up: Node, name: str, fresh: bool) -> Node:
+        found = up.below.get(name)
+        if found is None:
+            found = up.below[name] = Node(name, up, fresh)
+            self.size += 1
+        return found
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # ancestors from the root, as `tag` or `tag.class words`
+    node: Node
     text: str
     linked: int  # characters inside links
     label: str | None = None  # of a labelled page
@@ -54,10 +99,12 @@ def _name(tag: str, rest: str) -> tuple[str, str | None]:
     return (f"{tag}.{' '.join(words)}" if words else tag), label
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, tree: Tree | None = None) -> list[Block]:
     """Leaf blocks of a page in page order, without empty ones; broken markup never fails."""
+    tree = tree or Tree()
     out: list[Block] = []
-    stack: list[tuple[str, str, str | None]] = []  # tag, name, label
+    stack: list[tuple[str, Node, str | None]] = []  # tag, node, nearest label
+    opened: Counter[str] = Counter()  # tags of the stack
     parts: list[str] = []
     linked = 0
     links = 0
@@ -68,11 +115,16 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            label = next((x for _, _, x in reversed(stack) if x), None)
-            out.append(Block(tuple(name for _, name, _ in stack), text, linked, label))
+            _, node, label = stack[-1] if stack else ("", tree.root, None)
+            out.append(Block(node, text, linked, label))
         parts.clear()
         linked = 0
 
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     while at < len(page):
         found = _MARKUP.search(page, at)
         text = page[at:found.start() if found else len(page)]
@@ -94,10 +146,9 @@ def blocks(page: str) -> list[Block]:
                 continue
             if not silent:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag]:
+                while close() != tag:
+                    pass
             if silent and len(stack) < silent:
                 silent = 0
             continue
@@ -107,23 +158,25 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br" and not silent:
                 parts.append(" ")
             continue
-        if not silent:
+        if not silent and tag not in _RAW_INLINE:
             flush()
         if tag in _VOID or found["rest"].endswith("/"):
             continue
         if tag == "body":
             stack.clear()
+            opened.clear()
             silent = 0
         closing = _ENDED_BY.get(tag)
-        if closing and stack and stack[-1][0] in closing:
-            stack.pop()
-        elif stack and stack[-1][0] == "p":
-            stack.pop()  # a block ends a paragraph
+        if tag not in _RAW_INLINE and stack and (stack[-1][0] in closing if closing and stack[-1][0] in closing else stack[-1][0] == "p"):
+            close()  # one of the same list, or a paragraph that a block ends
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, *_name(tag, found["rest"])))
+        name, label = _name(tag, found["rest"])
+        _, up, above = stack[-1] if stack else ("", tree.root, None)
+        stack.append((tag, tree.below(up, name, not opened[tag]), label or above))
+        opened[tag] += 1
         if tag in _SILENT and not silent:
             silent = len(stack)
         links = 0
@@ -132,29 +185,64 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=len(_RAW))
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE)
+
+
 _HINT = re.compile(
     r"\b(cookies?|subscribe|newsletter|sign (?:in|up)|log in|privacy|terms|copyright|all rights reserved|advert\w*|sponsored|"
     r"share|follow us|related|comments?|repl(?:y|ies)|read more|menu|home|contact|search|posted by|says)\b|©|·"
 )
 
 
-def _path_features(path: tuple[str, ...]) -> list[str]:
-    tags = [name.partition(".")[0] for name in path]
-    out = ["bias", f"own={tags[-1] if tags else '#'}"]
-    seen = set()
-    for depth, name in enumerate(reversed(path)):
-        tag, _, words = name.partition(".")
-        if tag not in seen:
-            out.append(f"in={tag}")
-            seen.add(tag)
-        out += [f"class={w}" for w in words.split()]
-        if depth < 3:
-            out.append(f"up{depth}={tag}")
-    out.append("path=" + ">".join(tags[-3:]))
-    article = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=-1)
-    # what is nearer to the block than the article around it
-    out += [f"inner={t}" for t in tags[article + 1:]] if article >= 0 else [f"outer={t}" for t in tags]
-    return out
+def _is_article(tag: str) -> bool:
+    return tag in ("article", "main")
+
+
+def _near_features(node: Node) -> list[str]:
+    """What the last three elements say."""
+    tags = []
+    while node.up is not None and len(tags) < 3:
+        tags.append(node.tag)
+        node = node.up
+    named = [f"up{depth}={tag}" for depth, tag in enumerate(tags)]
+    return ["bias", f"own={tags[0] if tags else '#'}", *named, "path=" + ">".join(reversed(tags))]
+
+
+def _path_features(node: Node) -> list[str]:
+    out, side, found = _near_features(node), [], "outer"
+    for one in node.ancestors():
+        out += [f"class={w}" for w in one.words]
+        if one.fresh:
+            out.append(f"in={one.tag}")
+        # what is nearer to the block than the article around it
+        if _is_article(one.tag):
+            side, found = [], "inner"
+        else:
+            side.append(one.tag)
+    return out + [f"{found}={tag}" for tag in side]
+
+
+def _path_scores(node: Node, chain: crf.Chain) -> np.ndarray:
+    """Scores of _path_features, each node's from its parent's: (sum of all ancestors, side, kind, scores)."""
+    missing = []
+    while node is not None and node.scored is None:
+        missing.append(node)
+        node = node.up
+    zero = np.zeros(len(chain.labels))
+    for one in reversed(missing):
+        summed, side, kind, _ = one.up.scored if one.up is not None else (zero, zero, "outer", None)
+        if one.up is not None:
+            own = [f"class={w}" for w in one.words] + ([f"in={one.tag}"] if one.fresh else [])
+            summed = summed + chain.scores([own])[0]
+            if _is_article(one.tag):
+                side, kind = zero, "inner"
+            else:
+                side = side + chain.scores([[f"{kind}={one.tag}"]])[0]
+        one.scored = summed, side, kind, summed + side + chain.scores([_near_features(one)])[0]
+        node = one
+    return node.scored[3]
 
 
 def _text_features(block: Block) -> list[str]:
@@ -207,7 +295,7 @@ def labelled_pages() -> list[str]:
 
 def train() -> crf.Chain:
     pages = [blocks(p) for p in labelled_pages()]
-    features = [[_path_features(b.path) + _text_features(b) for b in page] for page in pages]
+    features = [[_path_features(b.node) + _text_features(b) for b in page] for page in pages]
     return crf.fit(features, [[b.label for b in page] for page in pages], LABELS, steps=80)
 
 
@@ -217,16 +305,11 @@ def main_text(page: str, chain: crf.Chain) -> str:
 
 def main_texts(pages: list[str], chain: crf.Chain) -> list[str]:
     """Main text of every page: the kept blocks in page order, one line each."""
-    parsed = [blocks(p) for p in pages]
-    known = chain.cache
-    scores = []
-    for page in parsed:
-        for block in page:
-            if block.path not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[block.path] = chain.scores([_path_features(block.path)])[0]
-            scores.append(known[block.path])
+    tree = chain.cache.get("tree")
+    if tree is None or tree.size > TREE_NODES:
+        tree = chain.cache["tree"] = Tree()
+    parsed = [blocks(p, tree) for p in pages]
+    scores = [_path_scores(b.node, chain) for page in parsed for b in page]
     if not scores:
         return [""] * len(pages)
     total = np.array(scores) + chain.scores([_text_features(b) for page in parsed for b in page])
@@ -244,7 +327,7 @@ def extract(pages: DataFrame, chain: crf.Chain | None = None) -> DataFrame:
     A null or empty page has the empty text; pages of any length are parsed whole; repeated rows are
     extracted each; columns named text or n_chars are replaced, others kept.
     """
-    chain = chain or train()
+    chain = replace(chain or train(), cache={})
     kept = [c for c in pages.columns if c not in ("text", "n_chars", "html")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

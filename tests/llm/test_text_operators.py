@@ -1,4 +1,5 @@
 import math
+import time
 import re
 import zlib
 from collections import Counter
@@ -111,6 +112,27 @@ def test_pages_keep_the_article():
     assert pages.main_text(page, chain) == "Head\nOne & two three four.\nFive"
 
 
+def test_formulas_stay_in_their_line():
+    page = "<article><p>Let <math><mi>x</mi><msup><mn>2</mn><mn>3</mn></msup></math> be it, <svg><g>no</g></svg>and so on for a while.</p></article>"
+    assert pages.main_text(page, pages.train()) == "Let x23 be it, and so on for a while."
+
+
+def test_deep_and_unmatched_markup_takes_time_in_proportion():
+    chain, deep = pages.train(), 20_000
+    started = time.monotonic()
+    found = pages.main_text("<div>x" * deep + "</span2></td>" * deep + "</div>" * deep, chain)
+    # paths of all ancestors would be 200 million names
+    assert set(found) <= {"x", "\n"} and time.monotonic() - started < 60
+    assert pages.main_text("<article><p>Some words of text.</p></article>", chain) == "Some words of text."
+
+
+def test_path_scores_are_those_of_all_features():
+    chain = pages.train()
+    for page in pages.labelled_pages()[::3]:
+        for block in pages.blocks(page):
+            assert np.allclose(pages._path_scores(block.node, chain), chain.scores([pages._path_features(block.node)])[0])
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "</p></p>", "<script>", "a<b", "<p>" * 3000, "&#xD800; &#0;"])
 def test_broken_markup_never_fails(page):
     pages.main_text(page, pages.train())
