@@ -21,21 +21,23 @@ DOMAIN = "case try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3 when
 CAPACITY = 2048
 
 
-def _held(docs: DataFrame, *own: str | Column) -> DataFrame:
-    """The columns that a stage works on beside the whole row, so that no name of the user's is in its way."""
-    return docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("held"), *own)
+def _held(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that a stage works on, and all others in one, so that no name of the user's is in its way."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in own]
+    return docs.select(*own, F.struct(F.lit(0).alias("c"), *others).alias("held"))
 
 
-def _restored(kept: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+def _restored(kept: DataFrame, docs: DataFrame, *own: str, **changed: Column) -> DataFrame:
     """The documents' columns again, those that the stage changed anew."""
-    return kept.select(*[changed.get(c, F.col(f"held.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    known = {c: F.col(c) for c in own} | changed
+    return kept.select(*[known.get(c, F.col(f"held.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters or with hardly a hit go."""
     filters = langid.train(docs.select("text", "lang"))
     told = langid.identify(_held(docs, "text"), filters).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return _restored(told.filter(F.col("hit_share") >= LEAST_SCORE), docs)
+    return _restored(told.filter(F.col("hit_share") >= LEAST_SCORE), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,25 +46,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are groups of their own by row, so all of them stay. Rows are numbered
     and written before they are grouped, so repeated and null ids name single rows.
     """
-    rows = stored(_held(docs, "doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
+    rows = stored(_held(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = jaccard.groups(rows.select(F.col("row").alias("doc_id"), "text"), WIDTH, NUM, DEN)
     named = rows.select("row", "doc_id").join(groups.withColumnRenamed("doc_id", "row").drop("n_shingles"), "row")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return _restored(rows.join(first, "row", "left_semi"), docs)
+    return _restored(rows.join(first, "row", "left_semi"), docs, "doc_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked and n_chars counted again."""
     masked = pii.masked(_held(docs, "doc_id", "text"))
-    return _restored(masked, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
+    return _restored(masked, docs, "doc_id", "text", n_chars=F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of every leaf's prefix; a document taken in part stays whole."""
-    named = _held(docs, "doc_id", "text", "lang", "source", F.expr(DOMAIN).alias("domain"))
+    named = _held(docs, "doc_id", "text", "lang", "source").withColumn("domain", F.expr(DOMAIN))
     chosen = mixing.mixed(named, LEVELS, WEIGHTS, SHARE, EPOCHS, SEED)
-    return _restored(chosen.filter("taken > 0"), docs)
+    return _restored(chosen.filter("taken > 0"), docs, "doc_id", "text", "lang", "source")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
