@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from corpaudit.llm.common import in_arrow, stored, text_slices, word_hashes, words_of
 
-#: Most frequent words, whose classes by exchange on the driver are the start for the whole vocabulary.
+#: Most frequent words, whose classes by exchange on the driver are the start of the rounds.
 SEEDS = 1024
+#: Most frequent words, whose classes are exchanged in rounds; all others then choose theirs.
+CORE = 1 << 16
 #: Word classes besides the class of words not seen in training and that of the end.
 CLASSES = 32
 UNSEEN, END = CLASSES, CLASSES + 1
 TOTAL = CLASSES + 2
 #: Most exchange rounds; clustering ends before when no word moves.
 ROUNDS = 12
-#: Rounds over the whole vocabulary end when the likelihood's gain over single classes rises by less.
+#: Rounds end when the likelihood's gain over single classes rises by less.
 LEAST_RISE = 0.01
 #: Entries of a word's neighbour counts: class before, TOTAL + class after, itself after itself.
 LOOP = 2 * TOTAL
 ENTRIES = 2 * TOTAL + 1
-#: Neighbour pairs handled at once, and words whose classes one task chooses, about.
-PAIRS, WORDS = 1 << 20, 30_000
+#: Neighbour pairs handled at once; words whose counts are one row; tasks whose counts are summed first.
+PAIRS, BLOCK, TASKS = 1 << 20, 16, 256
+#: Least number of partitions of summed counts; beyond, one for so many tokens.
+PARTS, TASK_TOKENS = 8, 1 << 22
 #: Most frequent words whose counts every task holds; other words' counts are joined.
 HELD = 1 << 18
 #: Added to every count.
@@ -48,9 +52,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _numbers(words: pa.Array, hashes: np.ndarray) -> np.ndarray:
-    """Place of every word in the sorted `hashes`, -1 where it isn't there."""
-    own = word_hashes(words)
+def _numbers(own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of every one of `own` in the sorted `hashes`, -1 where it isn't there."""
     if not len(hashes):
         return np.full(len(own), -1, np.int64)
     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
@@ -70,17 +73,26 @@ def _chained(codes: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarra
     return previous, own
 
 
-def neighbours(docs: DataFrame, held: np.ndarray) -> DataFrame:
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Every word's place by its count, the highest first."""
+    out = np.empty(len(counts), np.int64)
+    out[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return out
+
+
+def neighbours(docs: DataFrame, held: np.ndarray, rank: np.ndarray) -> DataFrame:
     """(a, b, n): neighbouring words of all texts, counted within slices.
 
-    A held word is named by its place, the end by the place after the last, all others by their hash.
+    A held word is named by its rank, the end by the place after the last, all others by their hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             bounds, codes, words = words_of(batch.column("text"))
-            place = _numbers(words, held)
-            names = np.append(np.where(place < 0, word_hashes(words).view(np.int64), place), len(held))
+            names = np.append(word_hashes(words).view(np.int64), len(held))
+            place = _numbers(names[:-1].view(np.uint64), held)
+            inside = np.flatnonzero(place >= 0)
+            names[inside] = rank[place[inside]]
             previous, own = _chained(codes, bounds, len(words))
             pairs, n = np.unique(previous * len(names) + own, return_counts=True)
             first, second = np.divmod(pairs, len(names))
@@ -104,24 +116,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield tuple(map(np.concatenate, zip(*some)))
 
 
-def seed_pairs(edges: DataFrame, seeds: np.ndarray, end: int) -> np.ndarray:
-    """Counts of neighbours among the seeds (sorted places), other words and text ends.
+def seed_pairs(edges: DataFrame, seeds: int, end: int) -> np.ndarray:
+    """Counts of neighbours among the `seeds` first ranks, other words and text ends.
 
-    At most (seeds + 2)^2 sums reach the driver; they only give the rounds over all words their start.
+    At most (seeds + 2)^2 sums reach the driver; they only give the rounds their start.
     """
-    size = len(seeds) + 2
+    size = seeds + 2
 
     def number(names: np.ndarray) -> np.ndarray:
-        out = np.full(len(names), size - 2, np.int64)
-        if len(seeds):
-            at = np.minimum(np.searchsorted(seeds, names), len(seeds) - 1)
-            out = np.where(seeds[at] == names, at, out)
-        return np.where(names == end, size - 1, out)
+        return np.where(names == end, size - 1, np.minimum(names.view(np.uint64), np.uint64(seeds)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for a, b, n in _blocks(batches):
-            total += np.bincount(number(a) * size + number(b), n, size * size).astype(np.int64)
+            np.add.at(total, number(a) * size + number(b), n)
         pairs = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], ["pair", "n"])
 
@@ -184,90 +192,83 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return own
 
 
-def _summed(keys: np.ndarray, entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Distinct keys, and for each the list of n * ENTRIES + entry with equal entries summed."""
-    names, at = np.unique(keys, return_inverse=True)
-    both, at = np.unique(at * ENTRIES + entries, return_inverse=True)
-    sums = np.bincount(at, n, len(both)).astype(np.int64)
-    offsets = np.searchsorted(both, np.arange(len(names) + 1) * ENTRIES).astype(np.int32)
-    return names, pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums * ENTRIES + both % ENTRIES))
+def _classes_of(names: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Classes of held words and the end; all other words are UNSEEN here."""
+    places = np.minimum(names.view(np.uint64), np.uint64(len(classes))).astype(np.int64)
+    return np.append(classes, UNSEEN)[places]
+
 
+def _totals(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """The counts of rows with equal keys summed, as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            names = zip(*(batch.column(k).to_pylist() for k in keys))
+            for key, near in zip(names, batch.column("near")):
+                counts = np.frombuffer(near.as_buffer(), np.int64)
+                if key in sums:
+                    sums[key] += counts
+                else:
+                    sums[key] = counts.copy()
+        columns = [pa.array([key[i] for key in sums], pa.int32()) for i in range(len(keys))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([c.tobytes() for c in sums.values()], pa.binary())], [*keys, "near"])
 
-_NEAR = "word long, n long, class int, near array<long>"
+    return in_arrow(rows.repartition(parts, *keys), run, ", ".join(f"{k} int" for k in keys) + ", near binary")
 
 
-def _near(edges: DataFrame, classes: DataFrame, held_classes: np.ndarray, parts: int) -> DataFrame:
-    """(word, n, class, near): counts of every word by the classes of its neighbours, written.
+def _near(edges: DataFrame, classes: np.ndarray, first: int, last: int, parts: int) -> DataFrame:
+    """(block, near): counts of the words of ranks `first` to `last` by the classes of their neighbours, written.
 
-    Rows without a word hold the sums of a class. Tasks know the classes of the held words and the
-    end; those of all other neighbours come by a join. Every slice of pairs sends one row for a word, so
-    frequent words weigh no more than others.
+    A row holds the counts of BLOCK words, row -1 those of class after class over all pairs. Every task
+    adds up its pairs in one table, so a frequent word sends no more than others; the tables of TASKS
+    tasks are summed before those of all.
     """
-    last = len(held_classes) - 1
+    blocks = -(-(last - first) // BLOCK)
 
-    def by_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, table = np.zeros(blocks * BLOCK * ENTRIES, np.int64), np.zeros(TOTAL * TOTAL, np.int64)
         for a, b, n in _blocks(batches):
-            left, right, loop = (a >= 0) & (a <= last), (b >= 0) & (b <= last), a == b
-            words = np.concatenate([b[left], a[right], a[loop]])
-            entries = np.concatenate(
-                [held_classes[a[left]], TOTAL + held_classes[b[right]], np.full(loop.sum(), LOOP, np.int64)]
+            before, after = _classes_of(a, classes), _classes_of(b, classes)
+            np.add.at(table, before * TOTAL + after, n)
+            at = np.flatnonzero((b >= first) & (b < last))
+            np.add.at(sums, (b[at] - first) * ENTRIES + before[at], n[at])
+            at = np.flatnonzero((a >= first) & (a < last))
+            np.add.at(sums, (a[at] - first) * ENTRIES + TOTAL + after[at], n[at])
+            at = at[a[at] == b[at]]
+            np.add.at(sums, (a[at] - first) * ENTRIES + LOOP, n[at])
+        group = TaskContext.get().partitionId() // TASKS
+        rows = sums.reshape(blocks, BLOCK * ENTRIES)
+        some = np.flatnonzero(rows.any(axis=1))
+        for start in range(0, len(some), 256):
+            part = some[start:start + 256]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array([group] * len(part), pa.int32()), pa.array([rows[i].tobytes() for i in part], pa.binary())],
+                ["block", "group", "near"],
             )
-            words, near = _summed(words, entries, np.concatenate([n[left], n[right], n[loop]]))
-            yield pa.RecordBatch.from_arrays([pa.array(words), near], ["word", "near"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, entries, n = [], [], [], []
-        for batch in batches:
-            word, lists = batch.column("word").to_numpy(), batch.column("near")
-            items = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            keys.append(np.repeat(word, sizes))
-            entries.append(items % ENTRIES)
-            n.append(items // ENTRIES)
-            own = batch.column("class").is_valid().to_numpy(zero_copy_only=False)
-            words.append((word[own], *(batch.column(c).filter(pa.array(own)).to_numpy() for c in ("n", "class"))))
-        if not words:
-            return
-        word, count, own = (np.concatenate(c) for c in zip(*words))
-        order = np.argsort(word)
-        word, count, own = word[order], count[order], own[order].astype(np.int64)
-        keys, entries, n = np.concatenate(keys), np.concatenate(entries), np.concatenate(n)
-        names, near = _summed(keys, entries, n)  # every word has neighbours, if only ends
-        at = np.searchsorted(word, names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names), pa.array(count[at]), pa.array(own[at].astype(np.int32)), near], ["word", "n", "class", "near"]
-        )
-        ids, sums = _summed(own[np.searchsorted(word, keys)], entries, n)
-        nothing = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [nothing, nothing, pa.array(ids.astype(np.int32)), sums], ["word", "n", "class", "near"]
+            [pa.array([-1], pa.int32()), pa.array([group], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["block", "group", "near"]
         )
 
-    inside = lambda c: F.col(c).between(0, last)
-    after = edges.filter(~inside("b")).select(F.col("b").alias("other"), F.col("a").alias("word"), "n", F.lit(TOTAL).alias("side"))
-    before = edges.filter(~inside("a")).select(F.col("a").alias("other"), F.col("b").alias("word"), "n", F.lit(0).alias("side"))
-    rare = classes.filter(~inside("word")).select(F.col("word").alias("other"), "class")
-    joined = after.union(before).join(rare, "other")
-    far = joined.groupBy("word", (F.col("side") + F.col("class")).alias("entry")).agg(F.sum("n").alias("n"))
-    near = in_arrow(edges, by_held, "word long, near array<long>").union(
-        far.select("word", F.array(F.col("n") * ENTRIES + F.col("entry")))
-    )
-    rows = classes.select("word", "n", "class", F.array().cast("array<long>").alias("near")).union(
-        near.select("word", F.lit(None).cast("long"), F.lit(None).cast("int"), "near")
-    )
-    return stored(in_arrow(rows.repartition(parts, "word"), whole, _NEAR), "near")
+    grouped = _totals(in_arrow(edges, run, "block int, group int, near binary"), ["block", "group"], parts)
+    return stored(_totals(grouped.drop("group"), ["block"], PARTS), "near")
 
 
 def best_classes(here: np.ndarray, near: pa.ListArray, table: np.ndarray) -> np.ndarray:
+    """`best_of` for lists of n * ENTRIES + entry."""
+    items = near.flatten().to_numpy()
+    word = np.repeat(np.arange(len(here)), np.diff(near.offsets.to_numpy()))
+    counts = np.bincount(word * ENTRIES + items % ENTRIES, items // ENTRIES, len(here) * ENTRIES)
+    return best_of(here, counts.reshape(len(here), ENTRIES), table)
+
+
+def best_of(here: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class of every word in which the likelihood is highest, all other words staying.
 
     The change of sum n log n is that of `exchange`, summed over the classes that a word meets.
     """
     size, every = len(here), np.arange(CLASSES)
-    items = near.flatten().to_numpy()
-    word = np.repeat(np.arange(size), np.diff(near.offsets.to_numpy()))
-    counts = np.bincount(word * ENTRIES + items % ENTRIES, items // ENTRIES, size * ENTRIES).reshape(size, ENTRIES)
-    before, after, loop = counts[:, :TOTAL].copy(), counts[:, TOTAL:LOOP].copy(), counts[:, LOOP]
+    before, after, loop = counts[:, :TOTAL].astype(float), counts[:, TOTAL:LOOP].astype(float), counts[:, LOOP]
     incoming, outgoing = before.sum(axis=1), after.sum(axis=1)
     rows = np.arange(size)
     before[rows, here] -= loop
@@ -295,56 +296,115 @@ def best_classes(here: np.ndarray, near: pa.ListArray, table: np.ndarray) -> np.
     return np.where(stays, here, best)
 
 
-def _moved(near: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, n, class) with the best class of every word against `table`."""
+def _class_table(near: DataFrame) -> np.ndarray:
+    """Counts of class after class."""
+    rows = near.filter("block = -1").collect()
+    return np.frombuffer(rows[0]["near"], np.int64).reshape(TOTAL, TOTAL).astype(float) if rows else np.zeros((TOTAL, TOTAL))
+
+
+def _moved(near: DataFrame, classes: np.ndarray, first: int, last: int, table: np.ndarray) -> np.ndarray:
+    """`classes` with the best class against `table` of every word of ranks `first` to `last`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                here = batch.column("class").to_numpy().astype(np.int64)
-                best = best_classes(here, batch.column("near"), table)
-                best = np.where(here == END, END, best).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("word"), batch.column("n"), pa.array(best)], ["word", "n", "class"]
-                )
+            for start in range(0, whole.num_rows, 2048 // BLOCK):
+                batch = whole.slice(start, 2048 // BLOCK)
+                counts = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.int64).reshape(-1, ENTRIES)
+                words = first + (batch.column("block").to_numpy()[:, None].astype(np.int64) * BLOCK + np.arange(BLOCK)).ravel()
+                some = np.flatnonzero(counts.any(axis=1) & (words < last))
+                best = best_of(classes[words[some]], counts[some], table)
+                yield pa.RecordBatch.from_arrays([pa.array(words[some]), pa.array(best.astype(np.int32))], ["word", "class"])
 
-    return in_arrow(near.filter("word is not null"), run, "word long, n long, class int")
+    chosen = in_arrow(near.filter("block >= 0"), run, "word long, class int").toPandas()
+    out = classes.copy()
+    out[chosen["word"].to_numpy(np.int64)] = chosen["class"].to_numpy(np.int64)
+    return out
 
 
-def _class_table(near: DataFrame) -> np.ndarray:
-    """Counts of class after class; at most TOTAL rows of a task reach the driver."""
-    sums = near.filter("word is null").select("class", F.explode("near").alias("e")).groupBy(
-        "class", F.pmod("e", F.lit(ENTRIES)).alias("entry")
-    ).agg(F.sum(F.floor(F.col("e") / ENTRIES)).alias("n")).collect()
-    table = np.zeros((TOTAL, TOTAL))
-    for row in sums:
-        if TOTAL <= row["entry"] < LOOP:
-            table[row["class"], row["entry"] - TOTAL] = row["n"]
-    return table
-
-
-def cluster(edges: DataFrame, classes: DataFrame, end: int, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(classes of all words, those of the held words and the end, class table) by exchange rounds.
-
-    In a round every word chooses its best class against the table before the round. The round
-    with the highest likelihood stays.
+def _rare_classes(edges: DataFrame, classes: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, n, class, near) of every word that is not held, by its best class against `table`, written.
+
+    `near` counts its neighbours by class, where all that are not held are UNSEEN.
     """
+    end = len(classes) - 1
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, n in _blocks(batches):
+            left, right = (a < 0) | (a > end), (b < 0) | (b > end)
+            loop = left & (a == b)
+            entries = [_classes_of(a, classes)[right], TOTAL + _classes_of(b, classes)[left], np.full(loop.sum(), LOOP, np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([b[right], a[left], a[loop]])),
+                    pa.array(np.concatenate(entries).astype(np.int32)), pa.array(np.concatenate([n[right], n[left], n[loop]])),
+                ],
+                ["word", "entry", "n"],
+            )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                own = best_classes(np.full(batch.num_rows, UNSEEN), batch.column("near"), table).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["word", "n", "near", "class"])
+
+    far = edges.filter(~F.col("a").between(0, end) | ~F.col("b").between(0, end))
+    sums = in_arrow(far, sides, "word long, entry int, n long").groupBy("word", "entry").agg(F.sum("n").alias("n"))
+    # each time the word occurs it has one neighbour before it
+    words = sums.groupBy("word").agg(
+        F.sum(F.when(F.col("entry") < TOTAL, F.col("n")).otherwise(0)).alias("n"),
+        F.collect_list(F.col("n") * ENTRIES + F.col("entry")).alias("near"),
+    )
+    return stored(in_arrow(words, best, "word long, n long, near array<long>, class int"), "rare")
+
+
+def _with_rare(table: np.ndarray, edges: DataFrame, rare: DataFrame, end: int) -> np.ndarray:
+    """`table` with the pairs of words that are not held in the classes of these words, no longer in UNSEEN."""
+    out = table.copy()
+    out[UNSEEN], out[:, UNSEEN] = 0, 0
+    entry, n = F.pmod("e", F.lit(ENTRIES)).alias("entry"), F.floor(F.col("e") / ENTRIES).alias("n")
+    near = rare.select("class", F.explode("near").alias("e")).select("class", entry, n).groupBy("class", "entry")
+    for row in near.agg(F.sum("n").alias("n")).collect():
+        side, other = divmod(row["entry"], TOTAL)
+        if side < 2 and other != UNSEEN:
+            out[(other, row["class"]) if side == 0 else (row["class"], other)] += row["n"]
+    both = edges.filter(~F.col("a").between(0, end) & ~F.col("b").between(0, end))
+    of = lambda side: rare.select(F.col("word").alias(side), F.col("class").alias(f"class_{side}"))
+    pairs = both.join(of("a"), "a").join(of("b"), "b").groupBy("class_a", "class_b").agg(F.sum("n").alias("n"))
+    for row in pairs.collect():
+        out[row["class_a"], row["class_b"]] += row["n"]
+    return out
+
+
+def cluster(edges: DataFrame, start: np.ndarray, parts: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """(classes of the held words and the end, all other words, class table) by the exchange algorithm.
+
+    In a round every word of the core chooses its best class against the table before the round; the
+    round with the highest likelihood stays. Then all other words, which were one class until then,
+    choose theirs against that table: the held ones CORE at a time, the rest by one join.
+    """
+    classes, end = start, len(start) - 1
+    core = min(CORE, end)
     best, most = None, 0.0
     for turn in range(ROUNDS + 1):
-        held = classes.filter(F.col("word").between(0, end)).select("word", "class").toPandas()
-        held_classes = np.full(end + 1, UNSEEN, np.int64)
-        held_classes[held["word"].to_numpy(np.int64)] = held["class"].to_numpy(np.int64)
-        near = _near(edges, classes, held_classes, max(12, words // WORDS))
+        near = _near(edges, classes, 0, core, parts)
         table = _class_table(near)
         gain = float(_gain(table).sum() - _gain(table.sum(axis=0)).sum() - _gain(table.sum(axis=1)).sum() + _gain(table.sum()))
         rises = turn < 2 or gain > most + LEAST_RISE * abs(most)
         if turn < 2 or gain > most:  # the start leaves most words without a class of their own
-            best, most = (classes, held_classes, table), gain
-        if not rises or not words:
+            best, most = (classes, table), gain
+        if not rises or not core:
             break
-        classes = stored(_moved(near, table), "classes")
-    return best
+        classes = _moved(near, classes, 0, core, table)
+    of_core, table = best
+    classes = of_core.copy()
+    for first in range(core, end, CORE):
+        last = min(first + CORE, end)
+        near = _near(edges, of_core, first, last, parts)
+        classes[first:last] = _moved(near, of_core, first, last, table)[first:last]
+    table = _class_table(_near(edges, classes, 0, 0, parts))
+    rare = _rare_classes(edges, classes, table)
+    return classes, rare, _with_rare(table, edges, rare, end)
 
 
 @dataclass(frozen=True)
@@ -387,35 +447,17 @@ def train(counts: DataFrame, docs: DataFrame) -> ClassModel:
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     held, held_counts = most_frequent(counts, HELD)
-    end = len(held)
-    edges = stored(neighbours(docs, held), "edges")
-    seeds = np.sort(np.lexsort((held, -held_counts))[:SEEDS])
-    of_seeds = exchange(seed_pairs(edges, seeds, end), CLASSES)[:-2]
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.full(end + 1, UNSEEN, np.int32)
-        classes[seeds] = of_seeds
-        for batch in batches:
-            word = batch.column("word").to_numpy()
-            at = np.minimum(np.searchsorted(held, word.view(np.uint64)), max(0, end - 1))
-            is_held = held[at] == word.view(np.uint64) if end else np.zeros(len(word), bool)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(is_held, at, word)), batch.column("n"),
-                    pa.array(np.where(is_held, classes[at], np.int32(UNSEEN)).astype(np.int32)),
-                ],
-                ["word", "n", "class"],
-            )
-
-    schema = "word long, n long, class int"
-    last = docs.sparkSession.range(1).selectExpr(f"{end}L as word", f"{ends}L as n", f"{END} as class")
-    first = stored(in_arrow(counts, start, schema).union(last), "classes")
-    classes, held_classes, table = cluster(edges, first, end, int(sums["v"]))
+    end, rank = len(held), ranks(held_counts)
+    edges = stored(neighbours(docs, held, rank), "edges")
+    seeds = min(SEEDS, CORE, end)
+    start = np.full(end + 1, UNSEEN, np.int64)
+    start[:seeds], start[end] = exchange(seed_pairs(edges, seeds, end), CLASSES)[:-2], END
+    classes, rare, table = cluster(edges, start, max(PARTS, (int(sums["n"]) + ends) // TASK_TOKENS))
     tokens = table.sum(axis=0)
     table = table + DISCOUNT
     return ClassModel(
         tokens=int(sums["n"]) + ends, distinct=int(sums["v"]) + (ends > 0), ends=ends, held=held,
-        held_counts=held_counts, held_classes=held_classes, rare=classes.filter(~F.col("word").between(0, end)),
+        held_counts=held_counts, held_classes=np.append(classes[rank], END), rare=rare.select("word", "n", "class"),
         log_transition=np.log10(table / table.sum(axis=1, keepdims=True)), log_class=np.log10(np.maximum(tokens, 1)),
     )
 
@@ -456,7 +498,7 @@ def score(docs: DataFrame, model: ClassModel) -> DataFrame:
             bounds, codes, words = words_of(batch.column("text"))
             n = len(bounds) - 1
             hashes = word_hashes(words).view(np.int64)
-            place = _numbers(words, held)
+            place = _numbers(hashes.view(np.uint64), held)
             is_held = place >= 0
             at = np.maximum(place, 0)
             of_held = lambda values: np.where(is_held, values[at], 0.0) if len(held) else np.zeros(len(words))

@@ -207,9 +207,11 @@ def test_best_class_is_that_of_the_exchange():
         assert tries[found[w]] >= max(tries) - 1e-6
 
 
-@pytest.mark.parametrize("held, seeds", [(1 << 18, 1024), (40, 8), (0, 0)])
-def test_all_words_have_classes_and_scores_follow_them(spark, monkeypatch, held, seeds):
+@pytest.mark.parametrize("held, seeds, core", [(1 << 18, 1024, 1 << 16), (40, 8, 1 << 16), (0, 0, 1 << 16), (40, 8, 15)])
+def test_all_words_have_classes_and_scores_follow_them(spark, monkeypatch, held, seeds, core):
     monkeypatch.setattr(brown_lm, "HELD", held)
+    monkeypatch.setattr(brown_lm, "CORE", core)
+    monkeypatch.setattr(brown_lm, "TASKS", 2)
     monkeypatch.setattr(brown_lm, "SEEDS", seeds)
     rows = [(1000 + i, prose(i % 9, 30 + i), "en", "s", 1) for i in range(60)] + odd_rows()
     training = documents(spark, rows[:55]).select("text")
