@@ -30,6 +30,8 @@ LOOP = 2 * TOTAL
 ENTRIES = 2 * TOTAL + 1
 #: Neighbour pairs handled at once; words whose counts are one row; tasks whose counts are summed first.
 PAIRS, BLOCK, TASKS = 1 << 20, 16, 256
+#: Neighbours that are held, and their count; pairs of one stored row.
+PAIR, TOGETHER = np.dtype([("a", np.int32), ("b", np.int32), ("n", np.int64)]), 512
 #: Least number of partitions of summed counts; beyond, one for so many tokens.
 PARTS, TASK_TOKENS = 8, 1 << 22
 #: Most frequent words whose counts every task holds; other words' counts are joined.
@@ -80,11 +82,17 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+_EDGE = ["a", "b", "n", "pairs"]
+
+
 def neighbours(docs: DataFrame, held: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(a, b, n): neighbouring words of all texts, counted within slices.
+    """(a, b, n, pairs): neighbouring words of all texts, counted within slices.
 
     A held word is named by its rank, the end by the place after the last, all others by their hash.
+    Rows with `pairs` hold up to TOGETHER of all the pairs, where the place after the end stands for every
+    word that is not held; pairs with such a word are rows (a, b, n) of their own, too.
     """
+    end = len(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -96,11 +104,42 @@ def neighbours(docs: DataFrame, held: np.ndarray, rank: np.ndarray) -> DataFrame
             previous, own = _chained(codes, bounds, len(words))
             pairs, n = np.unique(previous * len(names) + own, return_counts=True)
             first, second = np.divmod(pairs, len(names))
+            a, b, n = names[first], names[second], n.astype(np.int64)
+            records = np.empty(len(n), PAIR)
+            records["a"], records["b"], records["n"] = _places(a, end), _places(b, end), n
+            together = [records[i:i + TOGETHER].tobytes() for i in range(0, len(records), TOGETHER)]
+            nothing = pa.nulls(len(together), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(together, pa.binary())], _EDGE)
+            far = np.flatnonzero((records["a"] > end) | (records["b"] > end))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[first]), pa.array(names[second]), pa.array(n.astype(np.int64))], ["a", "b", "n"]
+                [pa.array(a[far]), pa.array(b[far]), pa.array(n[far]), pa.nulls(len(far), pa.binary())], _EDGE
             )
 
-    return in_arrow(docs.select("text"), run, "a long, b long, n long")
+    return in_arrow(docs.select("text"), run, "a long, b long, n long, pairs binary")
+
+
+def _places(names: np.ndarray, end: int) -> np.ndarray:
+    """Places of held words and the end; the place after it for all other words."""
+    return np.minimum(names.view(np.uint64), np.uint64(end + 1)).astype(np.int64)
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    """All pairs, many in a row."""
+    return edges.filter("pairs is not null").select("pairs")
+
+
+def _far(edges: DataFrame) -> DataFrame:
+    """(a, b, n) of the pairs with a word that is not held."""
+    return edges.filter("pairs is null").select("a", "b", "n")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Columns (a, b, n) of packed pairs in blocks of at most PAIRS."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, PAIRS // TOGETHER):
+            column = whole.column("pairs").slice(start, PAIRS // TOGETHER)
+            pairs = np.frombuffer(b"".join(column.to_pylist()), PAIR)
+            yield tuple(np.ascontiguousarray(pairs[c]) for c in ("a", "b", "n"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,16 +163,16 @@ def seed_pairs(edges: DataFrame, seeds: int, end: int) -> np.ndarray:
     size = seeds + 2
 
     def number(names: np.ndarray) -> np.ndarray:
-        return np.where(names == end, size - 1, np.minimum(names.view(np.uint64), np.uint64(seeds)).astype(np.int64))
+        return np.where(names == end, size - 1, np.minimum(names, seeds)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for a, b, n in _blocks(batches):
+        for a, b, n in _records(batches):
             np.add.at(total, number(a) * size + number(b), n)
         pairs = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], ["pair", "n"])
 
-    sums = in_arrow(edges, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_arrow(_packed(edges), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)
     out[sums["pair"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out.reshape(size, size)
@@ -194,8 +233,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
 
 def _classes_of(names: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Classes of held words and the end; all other words are UNSEEN here."""
-    places = np.minimum(names.view(np.uint64), np.uint64(len(classes))).astype(np.int64)
-    return np.append(classes, UNSEEN)[places]
+    return np.append(classes, UNSEEN)[_places(names, len(classes) - 1)]
 
 
 def _totals(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
@@ -228,15 +266,16 @@ def _near(edges: DataFrame, classes: np.ndarray, first: int, last: int, parts: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, table = np.zeros(blocks * BLOCK * ENTRIES, np.int64), np.zeros(TOTAL * TOTAL, np.int64)
-        for a, b, n in _blocks(batches):
-            before, after = _classes_of(a, classes), _classes_of(b, classes)
+        known = np.append(classes, UNSEEN)
+        for a, b, n in _records(batches):
+            before, after = known[a], known[b]
             np.add.at(table, before * TOTAL + after, n)
             at = np.flatnonzero((b >= first) & (b < last))
-            np.add.at(sums, (b[at] - first) * ENTRIES + before[at], n[at])
+            np.add.at(sums, (b[at] - first).astype(np.int64) * ENTRIES + before[at], n[at])
             at = np.flatnonzero((a >= first) & (a < last))
-            np.add.at(sums, (a[at] - first) * ENTRIES + TOTAL + after[at], n[at])
+            np.add.at(sums, (a[at] - first).astype(np.int64) * ENTRIES + TOTAL + after[at], n[at])
             at = at[a[at] == b[at]]
-            np.add.at(sums, (a[at] - first) * ENTRIES + LOOP, n[at])
+            np.add.at(sums, (a[at] - first).astype(np.int64) * ENTRIES + LOOP, n[at])
         group = TaskContext.get().partitionId() // TASKS
         rows = sums.reshape(blocks, BLOCK * ENTRIES)
         some = np.flatnonzero(rows.any(axis=1))
@@ -250,7 +289,7 @@ def _near(edges: DataFrame, classes: np.ndarray, first: int, last: int, parts: i
             [pa.array([-1], pa.int32()), pa.array([group], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["block", "group", "near"]
         )
 
-    grouped = _totals(in_arrow(edges, run, "block int, group int, near binary"), ["block", "group"], parts)
+    grouped = _totals(in_arrow(_packed(edges), run, "block int, group int, near binary"), ["block", "group"], parts)
     return stored(_totals(grouped.drop("group"), ["block"], PARTS), "near")
 
 
@@ -348,8 +387,7 @@ def _rare_classes(edges: DataFrame, classes: np.ndarray, table: np.ndarray) -> D
                 own = best_classes(np.full(batch.num_rows, UNSEEN), batch.column("near"), table).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["word", "n", "near", "class"])
 
-    far = edges.filter(~F.col("a").between(0, end) | ~F.col("b").between(0, end))
-    sums = in_arrow(far, sides, "word long, entry int, n long").groupBy("word", "entry").agg(F.sum("n").alias("n"))
+    sums = in_arrow(_far(edges), sides, "word long, entry int, n long").groupBy("word", "entry").agg(F.sum("n").alias("n"))
     # each time the word occurs it has one neighbour before it
     words = sums.groupBy("word").agg(
         F.sum(F.when(F.col("entry") < TOTAL, F.col("n")).otherwise(0)).alias("n"),
@@ -368,7 +406,7 @@ def _with_rare(table: np.ndarray, edges: DataFrame, rare: DataFrame, end: int) -
         side, other = divmod(row["entry"], TOTAL)
         if side < 2 and other != UNSEEN:
             out[(other, row["class"]) if side == 0 else (row["class"], other)] += row["n"]
-    both = edges.filter(~F.col("a").between(0, end) & ~F.col("b").between(0, end))
+    both = _far(edges).filter(~F.col("a").between(0, end) & ~F.col("b").between(0, end))
     of = lambda side: rare.select(F.col("word").alias(side), F.col("class").alias(f"class_{side}"))
     pairs = both.join(of("a"), "a").join(of("b"), "b").groupBy("class_a", "class_b").agg(F.sum("n").alias("n"))
     for row in pairs.collect():
