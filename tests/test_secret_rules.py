@@ -64,3 +64,26 @@ def test_no_rules_and_too_many(spark, monkeypatch):
     monkeypatch.setattr(secret_rules, "LIMIT_CHARS", 10)
     with pytest.raises(ValueError, match="characters"):
         secret_matches_by_rules(files, rules_table(spark, secrets.SECRET_RULES))
+
+
+def test_joined_rules_equal_the_plain_rules(spark, monkeypatch):
+    files = corpus(spark, FILES).unionByName(corpus(spark, FILES))
+    rules = [*secrets.SECRET_RULES, *odd_rules(), odd_rules()[4], secrets.SecretRule("EMPTY", "LOW", "token{2,}", "t", "r", hints=("",))]
+    table = rules_table(spark, rules)
+    plain = rows(secrets.secret_matches(files, rules=rules))
+    monkeypatch.setattr(secret_rules, "HELD_CHARS", 0)
+    # the driver must not take the table
+    monkeypatch.setattr(secret_rules, "_collected", None)
+    for chunk in (secret_rules.CHUNK_CHARS, 5):
+        monkeypatch.setattr(secret_rules, "CHUNK_CHARS", chunk)
+        found = secret_matches_by_rules(files, table)
+        assert rows(found) == plain
+    hinted = [r for r in rules if any(r.hints)]
+    found = secret_matches_by_rules(files, rules_table(spark, hinted))
+    assert rows(found) == rows(secrets.secret_matches(files, rules=hinted))
+
+
+def test_findings_by_rules_broadcasts_no_hint(spark):
+    table = rules_table(spark, odd_rules())
+    found = findings_by_rules(secret_matches_by_rules(corpus(spark, FILES), table), table)
+    assert "strategy=broadcast" not in found._jdf.queryExecution().toString()
