@@ -102,3 +102,22 @@ def test_no_manifest_no_row(spark):
 def test_repeats_scale(spark):
     names = spark.range(1).select(F.expr("transform(sequence(1, 20000), i -> named_struct('name', 'N' || (i % 9000)))").alias("e"))
     assert len(names.select(deps.repeated_names(F.col("e"))).first()[0]) == 11000
+
+
+def test_a_section_is_looked_for_once(spark):
+    plan = spark.range(1).select(deps.parse_cargo(F.col("id").cast("string")).alias("e"))._jdf.queryExecution().toString()
+    # as a header to look for and within one pattern, in each of four plans
+    assert plan.count("dev-dependencies") <= 8
+
+
+def test_sections_end_where_a_line_opens_the_next(spark):
+    lines = "".join(f'k{i} = "1"\n' for i in range(50_000))
+    texts = [
+        "[dependencies]", "[dependencies]\n", "[dependencies]\n[x]\nb = 1", "x = 1\n[dependencies] a = 1\n\n[[y]]\nc = 1\n[dependencies]\nd = 1",
+        "[dependencies]\r\na = 1\r\nb = 1\n [x]\nc = 1\n[x]\n", " [dependencies]\na = 1", "[dependencies]\n" + lines + "[x]\nz = 1\n", None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    parsed = frame.select("n", F.transform(deps.parse_cargo(F.col("text")), lambda e: e["name"]).alias("names"))
+    found = [r.names for r in parsed.orderBy("n").collect()]
+    assert found[:6] == [[], [], [], ["a"], ["a", "b", "c"], []]
+    assert len(found[6]) == 50_000 and found[6][-1] == "k49999" and found[7] is None
