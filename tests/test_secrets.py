@@ -116,3 +116,11 @@ def test_hits_are_computed_once(spark):
     matches = secrets.secret_matches(corpus(spark, {"a.txt": "x"}))
     plan = matches._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (size(" not in plan
+
+
+def test_lines_of_many_values_are_hidden_to_the_end(spark):
+    values = [f"AKIA{i:016d}" for i in range(9)]
+    line = " ".join(values)
+    found = secrets.secret_matches(corpus(spark, {"a.txt": line})).collect()
+    shown = " ".join(["AKIA" + "*" * 16] * 9)[:160]
+    assert len(found) == 9 and {r.evidence for r in found} == {shown}
