@@ -10,6 +10,7 @@ from corpaudit.operators.findings import error_limit
 from corpaudit.sources import packed, repo_dirs
 from corpaudit.sources.repo_dirs import list_repo_dirs
 from corpaudit.sources import read_errors, read_files, read_repo_dirs, size_gate_drop, write_files
+from registry import bindings
 from tests.helpers import column, corpus
 
 
@@ -167,3 +168,12 @@ def test_more_repositories_than_a_filter_names(spark, tmp_path, monkeypatch):
     write_files(corpus(spark, {"a": "x"}, "one").union(corpus(spark, {"b": "y"}, "two")), str(tmp_path / "p"))
     names = spark.createDataFrame([("two",), ("three",), ("two",)], "repo_id string")
     assert column(read_files(spark, str(tmp_path / "p"), names), "path") == ["b"]
+
+
+def test_path_files_are_dealt_to_all_cores(spark, tmp_path):
+    # a table of one row group is one split, and all that is made from it would be one task
+    rows = spark.range(64).selectExpr("id AS p_partkey", "'blue ring' AS p_name", "cast(id % 50 AS int) AS p_size")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = bindings.path_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert files.count() == 64
