@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpaudit.plans import reuse
-from corpaudit.plans.reuse import FeatureStore
+from corpaudit.plans.reuse import KEY, FeatureStore, features_once
 from corpaudit.plans.scan import ScanOptions, features_of, file_features, options_key, scan, scan_compact
 from corpaudit.storage import work_folder
 from tests.helpers import corpus, raw_rows
@@ -100,3 +100,21 @@ def test_content_that_is_gone_ends_the_scan(spark, store):
             files, files.drop("content").withColumn(reuse.KEY, F.lit("other")), key,
             lambda found: file_features(found, carried=[reuse.KEY]), CONTENT_FEATURES, store, "o",
         ).collect()
+
+
+def test_only_files_to_examine_are_hashed_a_second_time(spark, tmp_path):
+    files = spark.range(20).selectExpr("'r' AS repo_id", "'f' || id AS path", "cast('text ' || id % 4 AS binary) AS content")
+    hashed = spark.sparkContext.accumulator(0)
+
+    def counted(content):
+        hashed.add(1)
+        return bytes(content).decode()
+
+    key = F.udf(counted, "string").asNondeterministic()(F.col("content"))
+    metadata = files.select("repo_id", "path", F.col("content").cast("string").alias(KEY))
+    told = features_once(
+        files, metadata, key, lambda rows: rows.withColumn("n", F.length("content")), ["n"],
+        FeatureStore(spark, str(tmp_path / "store")), "o",
+    )
+    assert told.count() == 20 and told.filter("n = 6").count() == 20
+    assert hashed.value == 4
