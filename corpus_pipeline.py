@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpaudit.llm import jaccard, langid, mixing, packing, pii
 from corpaudit.llm.common import stored, table
@@ -43,15 +44,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: the one with the least doc_id (null last), of equal ids any one.
 
-    Documents without words are groups of their own by row, so all of them stay. Rows are numbered
-    and written before they are grouped, so repeated and null ids name single rows.
+    Documents without words are groups of their own by row, so all of them stay. A row goes by its
+    doc_id and its text, so no copy of the texts is written to number them; of the rows that have
+    both in common, all without words stay and one of the others.
     """
-    rows = stored(_held(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard.groups(rows.select(F.col("row").alias("doc_id"), "text"), WIDTH, NUM, DEN)
-    named = rows.select("row", "doc_id").join(groups.withColumnRenamed("doc_id", "row").drop("n_shingles"), "row")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return _restored(rows.join(first, "row", "left_semi"), docs, "doc_id", "text")
+    rows = _held(docs, "doc_id", "text").withColumn("name", F.struct("doc_id", jaccard.node_of(F.col("text")).alias("node")))
+    groups = jaccard.groups(rows.select("doc_id", "text"), WIDTH, NUM, DEN, named=True)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    first = groups.filter("root is not null").groupBy("root").agg(F.min(order).alias("first"))
+    chosen = first.select(F.struct("first.doc_id", "first.node").alias("name"), F.lit(False).alias("all"))
+    bare = groups.filter("root is null").select(F.struct("doc_id", "node").alias("name"), F.lit(True).alias("all")).distinct()
+    # one row of a name: the join has dealt and sorted the rows by it
+    place = F.row_number().over(W.partitionBy("name").orderBy("name"))
+    kept = rows.join(chosen.union(bare), "name").withColumn("place", place).filter("all or place = 1")
+    return _restored(kept, docs, "doc_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from corpaudit.llm import common
+from corpaudit.storage import stored
 from tests.llm.helpers import documents, edited, prose
 from tests.llm.test_jaccard import brute_force
 from tests.llm.test_mixing import filled
@@ -107,3 +109,18 @@ def test_stages_hand_on_columns_of_any_name(spark):
 def test_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_write_no_text_and_tell_rows_of_one_id_apart(spark, monkeypatch):
+    written = []
+    for module in (corpus_pipeline, corpus_pipeline.jaccard, common):
+        monkeypatch.setattr(module, "stored", lambda table, name: written.append(table.columns) or stored(table, name))
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = a + " zz"
+    table = [(7, a, "en", "s", 1)] * 3 + [(7, b, "en", "s", 1), (3, near, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "de", "s", 1)]
+    table += [(None, b, "en", "s", 1), (None, prose(4, 60), "en", "s", 1)]
+    bare = [(7, "", "en", "s", 1), (7, "", "en", "s", 1), (None, None, "en", "s", 1), (None, None, "en", "s", 1), (None, " ", "en", "s", 1)]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, table + bare), "").collect()
+    expected = [(3, near), (7, b), (None, c), (None, table[-1][1])] + [r[:2] for r in bare]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept) == sorted(map(repr, expected))
+    assert written and not [columns for columns in written if "text" in columns]
