@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpaudit.llm import passages
@@ -53,3 +55,32 @@ def test_empty_table_and_clashing_columns(spark):
     extra = documents(spark, [(1, "a" * 900, "en", "s", 1)]).selectExpr("*", "1 as node", "2 as flags", "3 as n_bytes", "4 as idx")
     row = passages.without_repeats(extra).collect()[0]
     assert (row.n_bytes, row.n_removed, row.n_spans) == (900, 900, 1)
+
+
+def peak_of(run, batch):
+    passages._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        return rows, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def letters(draw, size):
+    return draw.integers(97, 123, size).astype(np.uint8).tobytes()
+
+
+def test_memory_of_a_task_does_not_follow_its_batch(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(passages, "in_arrow", lambda rows, run, schema: runs.append(run))
+    passages.occurrences(documents(spark, []), 400)
+    draw = np.random.default_rng(1)
+    texts = [letters(draw, 2000).decode() for _ in range(4000)]
+    rows, peak = peak_of(runs[0], pa.RecordBatch.from_pydict({"node": list(range(4000)), "text": texts}))
+    assert rows > 4000 and peak < 200 << 20
+    phrases = [letters(draw, 780) + b"a" * 20 for _ in range(6000)]
+    phrases[1] = phrases[0]
+    columns = {"anchor": [1] * 6000, "node": list(range(6000)), "idx": [0] * 6000, "whole": [False] * 6000, "ahead": [0] * 6000, "bytes": phrases}
+    rows, peak = peak_of(passages._common(400), pa.RecordBatch.from_pydict(columns))
+    assert rows == 2 and peak < 200 << 20
