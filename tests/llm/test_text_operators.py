@@ -1,5 +1,6 @@
 import math
 import time
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpaudit.llm import brown_lm, crf, langid, pages, pii, quality, queries, vectors
+from corpaudit.llm import brown_lm, crf, fields, langid, pages, pii, quality, queries, vectors
 from registry.check import compare, database
 from tests.llm.helpers import SCHEMA, documents, odd_rows, prose
 
@@ -50,6 +51,48 @@ def test_field_adds_spans_and_leaves_clean_text_alone():
         assert find(clean) == []
 
 
+@pytest.mark.parametrize("text,found", [
+    ("contact " + "j.smith." * 8 + "x [at] example [dot] com for details", "j.smith." * 8 + "x [at] example [dot] com"),
+    ("mail me: a_very_long_name_of_many_parts_and_words_indeed (at) post (dot) example (dot) net thanks",
+     "a_very_long_name_of_many_parts_and_words_indeed (at) post (dot) example (dot) net"),
+])
+def test_field_decodes_beyond_what_marks_personal_data(text, found):
+    (span,) = pii.added_spans([text], [pii.base_spans(text)], pii.train())[0]
+    assert text[span[1]:span[2]] == found
+
+
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_field_labels_are_the_best_path_over_all_tokens(block, monkeypatch):
+    monkeypatch.setattr(fields, "BLOCK_CHARS", block)
+    monkeypatch.setattr(fields, "DECODED_TOKENS", block)
+    chain = pii.train()
+    field = fields.Field(chain)
+    draw = np.random.default_rng(3)
+    alphabet = list("ab.@+-_%12 5()9\n[]#xX\u0663\u00bd\u0130")
+    lines = [re.sub(r"\[\[\w+:(.*?)\]\](?!\])", r"\1", line) for line in pii.LABELLED]
+    texts = ["".join(draw.choice(alphabet, 50)) for _ in range(150)] + [
+        "", " ", "\u0663" + "4 4\u06635 1\u06632", "\u00bdab \u00b2x x\u00b2", "\u0130stanbul \u212aim \u0391\u03a3 \u01c5", "1" * 30 + " " + "x" * 30,
+        "\u4e2d\u6587 12-34", *lines, prose(5, 300).join(lines),
+    ]
+    got = [[] for _ in texts]
+    for owner, *places in field.labels(texts):
+        got[owner] = list(zip(*(p.tolist() for p in places)))
+    for text, own in zip(texts, got):
+        found = pii._tokens(text)
+        tags = chain.decode(chain.scores(pii._features(found)), np.array([len(found)])) if found else []
+        assert own == [(i, a, b, t) for i, ((_, a, b), t) in enumerate(zip(found, tags)) if t]
+
+
+def test_field_takes_memory_in_proportion():
+    field = fields.Field(pii.train())
+    tracemalloc.start()
+    # all one window: tokens by the string took 550 MB
+    assert pii.added_spans(["12 34 " * 20_000], [[]], field) == [[]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_viterbi_equals_all_paths():
     draw = np.random.default_rng(1)
     chain = crf.Chain(("a", "b", "c"), {}, np.zeros((0, 3)), draw.normal(size=(3, 3)), draw.normal(size=3))
