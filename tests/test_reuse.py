@@ -118,3 +118,24 @@ def test_only_files_to_examine_are_hashed_a_second_time(spark, tmp_path):
     )
     assert told.count() == 20 and told.filter("n = 6").count() == 20
     assert hashed.value == 4
+
+
+def test_lookup_leaves_the_store_alone_on_disk(spark, monkeypatch, tmp_path):
+    from corpaudit import storage
+
+    monkeypatch.setattr(storage, "work_folder", lambda _: str(tmp_path / "work"))
+    held = FeatureStore(spark, str(tmp_path / "store"))
+    assert features_of(both(spark), store=held).count() == both(spark).count()
+    assert [f for f in (tmp_path / "work").rglob("*") if f.is_file()] == []
+    kept = held.read(options_key(ScanOptions()))
+    assert {len(r[KEY]) for r in kept.select(KEY).collect()} == {32}
+
+
+@pytest.mark.parametrize("limit", [0, 8 << 20])
+def test_files_that_share_a_number(spark, store, monkeypatch, limit):
+    monkeypatch.setattr(reuse, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(reuse, "_number", lambda: F.pmod(F.xxhash64("repo_id", "path"), F.lit(3)))
+    files = both(spark)
+    assert rows(features_of(files, store=store)) == rows(file_features(files))
+    told = size(store)
+    assert rows(features_of(files, store=store)) == rows(file_features(files)) and size(store) == told
