@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpaudit.plans.reuse import FeatureStore
 from corpaudit.plans.scan import ScanOptions, scan
 from corpaudit.schemas import FILES
+from corpaudit.storage import measured_broadcasts
 
 # Tables of a scan that are kept; `repos` is written last and commits a batch.
 TABLES = ("findings", "scores", "summary", "duplicates", "technologies", "recommendations", "errors")
@@ -23,10 +24,11 @@ def apply_batch(files: DataFrame, batch: int, folder: str, options: ScanOptions,
 
     A batch that comes again writes the same folders again, so replays change nothing.
     """
-    tables = scan(files, None, options, feature_store=store)
-    for name in TABLES:
-        getattr(tables, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
-    tables.repos.write.mode("overwrite").parquet(f"{folder}/repos/batch={batch}")
+    with measured_broadcasts(files.sparkSession):
+        tables = scan(files, None, options, feature_store=store)
+        for name in TABLES:
+            getattr(tables, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        tables.repos.write.mode("overwrite").parquet(f"{folder}/repos/batch={batch}")
 
 
 def follow(

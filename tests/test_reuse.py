@@ -139,3 +139,12 @@ def test_files_that_share_a_number(spark, store, monkeypatch, limit):
     assert rows(features_of(files, store=store)) == rows(file_features(files))
     told = size(store)
     assert rows(features_of(files, store=store)) == rows(file_features(files)) and size(store) == told
+
+
+def test_many_known_contents_are_not_sent_through_the_driver(spark, store, monkeypatch):
+    files = both(spark)
+    features_of(files, store=store).count()
+    monkeypatch.setattr(reuse, "KNOWN_ROWS", 0)
+    looked_up = features_of(files, store=store)
+    assert looked_up.count() == files.count()
+    assert "Broadcast" not in looked_up._jdf.queryExecution().executedPlan().toString()

@@ -177,3 +177,10 @@ def test_path_files_are_dealt_to_all_cores(spark, tmp_path):
     files = bindings.path_files(spark, str(tmp_path))
     assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert files.count() == 64
+
+
+def test_parts_go_by_content_not_by_recorded_sizes(spark, tmp_path):
+    files = corpus(spark, {f"f{i}.py": f"x = {i}" for i in range(8)}).withColumn("size", F.lit(packed.FILE_BYTES))
+    write_files(files, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) == 1
+    assert sorted(column(read_files(spark, str(tmp_path / "packed")), "path")) == [f"f{i}.py" for i in range(8)]

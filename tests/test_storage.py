@@ -37,3 +37,12 @@ def test_the_users_setting_is_as_before(spark, own):
         assert spark.conf.get(CLEANUP, None) == own
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def test_broadcasts_go_by_measured_sizes_meanwhile(spark):
+    from corpaudit.storage import ADAPTIVE_LIMIT, LIMIT, measured_broadcasts
+
+    before = spark.conf.get(LIMIT), spark.conf.get(ADAPTIVE_LIMIT, None)
+    with measured_broadcasts(spark):
+        assert spark.conf.get(LIMIT) == "-1" and spark.conf.get(ADAPTIVE_LIMIT) == (before[1] or before[0])
+    assert (spark.conf.get(LIMIT), spark.conf.get(ADAPTIVE_LIMIT, None)) == before
